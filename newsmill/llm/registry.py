@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import secrets
+from . import secrets, token_counts
 
 
 def queries() -> dict:
     return {
+        "op4_token_counts": token_counts.op4_token_counts,
         "op10_secret_scan": secrets.op10_secret_scan,
     }
 
