@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import secrets, token_counts
+from . import mixing, secrets, token_counts
 
 
 def queries() -> dict:
     return {
         "op4_token_counts": token_counts.op4_token_counts,
+        "op9_source_mix": mixing.op9_source_mix,
         "op10_secret_scan": secrets.op10_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_source_mix": mixing.OP9_SQL,
+    }
