@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets, token_counts
+from . import mixing, secrets, token_counts, warc
 
 
 def queries() -> dict:
     return {
         "op4_token_counts": token_counts.op4_token_counts,
+        "op8_warc_normalise": warc.op8_warc_normalise,
         "op9_source_mix": mixing.op9_source_mix,
         "op10_secret_scan": secrets.op10_secret_scan,
     }
@@ -15,5 +16,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_warc_normalise": warc.OP8_SQL,
         "op9_source_mix": mixing.OP9_SQL,
     }
