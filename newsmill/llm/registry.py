@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets, token_counts, warc
+from . import mixing, near_dedup, secrets, token_counts, warc
 
 
 def queries() -> dict:
     return {
         "op4_token_counts": token_counts.op4_token_counts,
+        "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_warc_normalise": warc.op8_warc_normalise,
         "op9_source_mix": mixing.op9_source_mix,
         "op10_secret_scan": secrets.op10_secret_scan,
