@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dedup, secrets, token_counts, warc
+from . import line_crf, mixing, near_dedup, quality_model, secrets, token_counts, warc
 
 
 def queries() -> dict:
     return {
+        "op2_quality_model": quality_model.op2_quality_model,
+        "op3_quality_rules": line_crf.op3_quality_rules,
         "op4_token_counts": token_counts.op4_token_counts,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_warc_normalise": warc.op8_warc_normalise,
