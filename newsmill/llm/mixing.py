@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import WORD, stored
 
 #: Rows that one task may sort: of one hash prefix, and of the finish-time bin that holds the cut.
-IN_TASK = 20_000
+IN_TASK = 2_000
 
 
 def _key() -> Column:
