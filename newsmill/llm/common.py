@@ -108,14 +108,16 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
 
 
 def bitmap_of(hashes: DataFrame, column: str, bits: int) -> bytes:
-    """The low ``bits`` bits of every hash as a bitmap of 2**bits bits.
+    """A bitmap of 2**bits bits in which every hash sets two: its low bits and the bits from 32 on.
 
     Its size is fixed by ``bits`` and not by the data, which bounds what is sent to the driver and to executors. It only
     pre-selects: whatever passes is joined exactly afterwards, so a full bitmap costs time and loses nothing.
     """
-    at = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    mask = F.lit((1 << bits) - 1)
+    at = F.explode(F.array(F.col(column).bitwiseAND(mask), F.shiftrightunsigned(F.col(column), 32).bitwiseAND(mask)))
     rows = (
-        hashes.select(F.shiftright(at, 15).alias("part"), at.bitwiseAND(F.lit(32767)).cast("long").alias("bit"))
+        hashes.select(at.alias("at"))
+        .select(F.shiftright("at", 15).alias("part"), F.col("at").bitwiseAND(F.lit(32767)).alias("bit"))
         .groupBy("part")
         .agg(F.bitmap_construct_agg("bit").alias("bits"))
     )
@@ -126,5 +128,13 @@ def bitmap_of(hashes: DataFrame, column: str, bits: int) -> bytes:
 
 
 def in_bitmap(bitmap: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
-    at = h & np.uint64((1 << bits) - 1)
-    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
+    """Which hashes may be in the bitmap. ``bits`` is 32 at most."""
+
+    def probe(at):
+        at = at & np.uint64((1 << bits) - 1)
+        return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
+
+    out = probe(h)
+    first = np.flatnonzero(out)
+    out[first] = probe(h[first] >> np.uint64(32))
+    return out
