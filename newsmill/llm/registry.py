@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_crf, mixing, near_dedup, quality_model, secrets, token_counts, warc
+from . import decontaminate, line_crf, mixing, near_dedup, quality_model, secrets, suffix_dedup, token_counts, warc
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_quality_model": quality_model.op2_quality_model,
         "op3_quality_rules": line_crf.op3_quality_rules,
         "op4_token_counts": token_counts.op4_token_counts,
@@ -20,6 +21,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_suffix_dedup": suffix_dedup.OP1_SQL,
         "op8_warc_normalise": warc.OP8_SQL,
         "op9_source_mix": mixing.OP9_SQL,
     }
