@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_crf, mixing, near_dedup, quality_model, secrets, suffix_dedup, token_counts, warc
+from . import decontaminate, katz, line_crf, mixing, near_dedup, quality_model, secrets, suffix_dedup, token_counts, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_quality_rules": line_crf.op3_quality_rules,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_decontamination": decontaminate.op5_decontamination,
+        "op6_katz_scores": katz.op6_katz_scores,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_warc_normalise": warc.op8_warc_normalise,
         "op9_source_mix": mixing.op9_source_mix,
