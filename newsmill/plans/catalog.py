@@ -1,11 +1,462 @@
-"""Names of the article queries and their SQL."""
+"""Named article queries and the SQL each is checked against."""
 
 from __future__ import annotations
 
+from datetime import datetime
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .. import articles_run, models
+from ..functions import dates, markup, text, urls, vectors
+from ..operators import feed, state, steps
+from . import articles as view
+from .articles import AS_OF, SQL, articles, read
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+PUBLIC = "id, title, source, source_type, url, published_at, score, summary, categories, kind, created_at"
+SINCE = "published_at >= TIMESTAMP '2026-05-30 00:00:00'"
+HOST = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '^www\.', '')"
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _feed_sql(where: str = "", order: str = "score DESC, id", limit: int = 20) -> str:
+    return f"WITH {SQL} SELECT {PUBLIC} FROM articles WHERE score IS NOT NULL AND {SINCE}{where} ORDER BY {order} LIMIT {limit}"
+
+
+# --- feed -----------------------------------------------------------------------------------
+
+
+@_query(_feed_sql())
+def feed_default(spark, d):
+    return feed.feed(articles(spark, d), AS_OF)
+
+
+@_query(_feed_sql(order="published_at DESC, id"))
+def feed_by_date(spark, d):
+    return feed.feed(articles(spark, d), AS_OF, sort="published_at")
+
+
+@_query(_feed_sql(" AND score >= 8"))
+def feed_min_score(spark, d):
+    return feed.feed(articles(spark, d), AS_OF, min_score=8)
+
+
+@_query(_feed_sql(" AND list_contains(categories, 'research')"))
+def feed_category(spark, d):
+    return feed.feed(articles(spark, d), AS_OF, category="research")
+
+
+@_query(_feed_sql(" AND kind = 'paper'"))
+def feed_kind(spark, d):
+    return feed.feed(articles(spark, d), AS_OF, kind="paper")
+
+
+@_query(f"WITH {SQL} SELECT {PUBLIC} FROM articles WHERE score IS NOT NULL AND published_at >= TIMESTAMP '2026-06-09 00:00:00' AND score >= 5 AND list_contains(categories, 'dev') AND kind = 'blog' ORDER BY published_at DESC, id LIMIT 50")
+def feed_all_filters(spark, d):
+    return feed.feed(articles(spark, d), AS_OF, limit=50, sort="published_at", since="2026-06-09T00:00:00Z", min_score=5, category="dev", kind="blog")
+
+
+@_query(f"WITH {SQL} SELECT count(*) AS count FROM articles WHERE score IS NOT NULL AND {SINCE} AND list_contains(categories, 'models')")
+def feed_count(spark, d):
+    return feed.feed_count(articles(spark, d), AS_OF, category="models")
+
+
+# --- search and statistics ------------------------------------------------------------------
+
+_DIST = "round(1 - list_cosine_similarity(CAST({a} AS DOUBLE[]), {b}), 6)"
+
+
+@_query(f"WITH {SQL} SELECT id, title, {_DIST.format(a='embedding', b='list_transform(range(64), lambda i: 0.05::DOUBLE)')} AS distance FROM articles WHERE score IS NOT NULL AND embedding IS NOT NULL ORDER BY distance, id LIMIT 20")
+def search_topk(spark, d):
+    found = feed.search(articles(spark, d), [0.05] * 64)
+    return found.select("id", "title", F.round("distance", 6).alias("distance"))
+
+
+@_query(f"""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS query FROM embeddings WHERE vec_id % 20 = 0),
+p AS (SELECT query_id, vec_id AS id, {_DIST.format(a='embedding', b='query')} AS distance FROM embeddings, q)
+SELECT query_id, id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM p) WHERE rank <= 10""")
+def search_topk_batch(spark, d):
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    found = feed.search_batch(e, e.where("id % 20 = 0").withColumnRenamed("id", "query_id"), 40)
+    # Ranked anew on rounded distances, as the two engines differ in the last digits.
+    rounded = found.select("query_id", "id", F.round("distance", 6).alias("distance"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return rounded.withColumn("rank", rank.cast("long")).where("rank <= 10")
+
+
+@_query(f"WITH {SQL} SELECT count(*) AS total, strftime(max(created_at), '%Y-%m-%dT%H:%M:%S.%f') AS last_updated FROM articles")
+def article_stats(spark, d):
+    return feed.stats(articles(spark, d))
+
+
+# --- known URLs, scores, argmax -----------------------------------------------------------------
+
+
+@_query(f"WITH {SQL}, known AS (SELECT url FROM articles WHERE score >= 95 UNION SELECT url FROM pages WHERE page_id < 20) SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM known WHERE url IS NOT NULL)")
+def fresh_urls(spark, d):
+    pages = read(spark, d, "pages")
+    return state.fresh(pages.select("page_id", "url"), articles(spark, d).where("score >= 95"), pages.where("page_id < 20"))
+
+
+def _verdicts(spark, d):
+    return read(spark, d, "labels").select(F.concat(F.lit("u"), F.col("doc_id")).alias("url"), (F.col("quality") * 60 + F.col("doc_id") % 41).cast("int").alias("score"), F.col("doc_id").alias("pos"))
+
+
+def _to_score(spark, d):
+    source = F.when(F.col("source") == "src1", F.lit("Ben's Bites")).otherwise(F.col("source"))
+    return read(spark, d, "documents").select(F.concat(F.lit("u"), F.col("doc_id")).alias("url"), source.alias("source"))
+
+
+_SCORED = """s AS (SELECT 'u' || d.doc_id AS url, CASE WHEN source = 'src1' THEN 'Ben''s Bites' ELSE source END AS source,
+  CASE WHEN source = 'src1' THEN least(coalesce(quality * 60 + l.doc_id % 41, 0) + 10, 100) ELSE coalesce(quality * 60 + l.doc_id % 41, 0) END AS score
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+@_query(f"WITH {_SCORED} SELECT url, source, CAST(score AS INTEGER) AS score FROM s")
+def scored_join(spark, d):
+    return steps.with_scores(_to_score(spark, d), _verdicts(spark, d)).select("url", "source", F.col("score").cast("int").alias("score"))
+
+
+@_query(f"WITH {_SCORED} SELECT url, CAST(score AS INTEGER) AS score FROM s WHERE score >= 76")
+def score_threshold(spark, d):
+    return steps.passing(steps.with_scores(_to_score(spark, d), _verdicts(spark, d))).select("url", F.col("score").cast("int").alias("score"))
+
+
+@_query(f"WITH {_SCORED} SELECT source, count(*) AS n, CAST(sum(score) AS BIGINT) AS total, CAST(max(score) AS INTEGER) AS best FROM s GROUP BY source")
+def source_bonus(spark, d):
+    s = steps.with_scores(_to_score(spark, d), _verdicts(spark, d))
+    return s.groupBy("source").agg(F.count("*").alias("n"), F.sum("score").cast("long").alias("total"), F.max("score").cast("int").alias("best"))
+
+
+def _dedup_sql(order: str) -> str:
+    return f"WITH {SQL} SELECT url, id, score FROM articles WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY {order}) = 1"
+
+
+def _positions(spark, d):
+    return articles(spark, d).where("score IS NOT NULL").select("url", "id", "score", F.col("id").alias("pos"))
+
+
+@_query(_dedup_sql("score DESC, id"))
+def dedup_argmax(spark, d):
+    return state.argmax(_positions(spark, d), "url", "score", "pos").select("url", "id", "score")
+
+
+@_query(_dedup_sql("id"))
+def dedup_first(spark, d):
+    return state.first_wins(_positions(spark, d), "url", "pos").select("url", "id", "score")
+
+
+@_query(_dedup_sql("id DESC"))
+def dedup_last(spark, d):
+    return state.last_wins(_positions(spark, d), "url", "pos").select("url", "id", "score")
+
+
+@_query("SELECT md5(text) AS key, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
+def dedup_exact_text(spark, d):
+    return read(spark, d, "documents").groupBy(F.md5(F.col("text").cast("binary")).alias("key")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+# --- fills, joins by id -----------------------------------------------------------------------
+
+
+@_query(f"""WITH {SQL}, f AS (SELECT url, html FROM pages WHERE page_id % 2 = 0)
+SELECT id, md5(CASE WHEN source_type IN ('aiNews', 'rss') THEN coalesce(content, '') ELSE coalesce(html, '') END) AS full_content FROM articles LEFT JOIN f ON articles.url = f.url""")
+def content_fill(spark, d):
+    fetched = read(spark, d, "pages").where("page_id % 2 = 0").select("url", F.col("html").alias("content"))
+    return steps.fill_content(articles(spark, d), fetched).select("id", F.md5(F.col("full_content").cast("binary")).alias("full_content"))
+
+
+@_query("SELECT doc_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS norm FROM documents LEFT JOIN embeddings ON doc_id = vec_id")
+def embedding_join(spark, d):
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return read(spark, d, "documents").join(e, "doc_id", "left").select("doc_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"))
+
+
+@_query("SELECT o_orderkey, (SELECT c_name FROM customer WHERE c_custkey = o_custkey) AS owner_name FROM orders")
+def owner_backfill(spark, d):
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("owner_name"))
+    return read(spark, d, "orders").join(c, "o_custkey", "left").select("o_orderkey", "owner_name")
+
+
+@_query("SELECT o_orderkey, o_orderdate FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 50 <> 0 THEN o_orderdate END AS o_orderdate FROM orders) ORDER BY o_orderdate DESC NULLS FIRST, o_orderkey LIMIT 100 OFFSET 10")
+def page_items(spark, d):
+    o = read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 50 != 0, F.col("o_orderdate")).alias("o_orderdate"))
+    return feed.page(o, "o_orderdate", "o_orderkey", 10, 100)
+
+
+@_query("SELECT c_custkey, c_name, c_acctbal, c_custkey = 7 AS is_current FROM customer ORDER BY c_acctbal DESC NULLS FIRST, c_custkey LIMIT 25")
+def page_users(spark, d):
+    c = read(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", (F.col("c_custkey") == 7).alias("is_current"))
+    return feed.page(c, "c_acctbal", "c_custkey", 0, 25)
+
+
+@_query("SELECT count(*) AS n, count(DISTINCT o_custkey) AS owners FROM orders WHERE o_custkey = 7")
+def owned_count(spark, d):
+    return feed.owned(read(spark, d, "orders"), "o_custkey", 7).agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("owners"))
+
+
+# --- upserts and deletes ------------------------------------------------------------------------
+
+
+@_query("WITH o AS (SELECT DISTINCT 'u' || user_id AS url FROM events WHERE event_type = 'click') SELECT url FROM o UNION SELECT 'u' || user_id FROM events WHERE event_type <> 'click' AND user_id IS NOT NULL")
+def upsert_scored(spark, d):
+    e = read(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id")).alias("url"), "event_type")
+    return state.upsert_keys(e.where("event_type = 'click'").select("url").distinct(), e.where("event_type <> 'click'"), "url")
+
+
+@_query("""WITH e AS (SELECT *, CASE WHEN user_id % 7 = 0 THEN 'user' || user_id ELSE 'user' || user_id || '@example.com' END AS email FROM events),
+o AS (SELECT email, max(event_id) AS first FROM e WHERE event_type = 'click' GROUP BY email),
+n AS (SELECT email, event_type, event_id FROM e WHERE event_type <> 'click' AND contains(email, '@') QUALIFY row_number() OVER (PARTITION BY email ORDER BY event_id DESC) = 1)
+SELECT coalesce(o.email, n.email) AS email,
+  CASE WHEN n.email IS NOT NULL THEN CASE WHEN event_type = 'view' THEN ['all'] ELSE [event_type] END ELSE ['old'] END AS categories,
+  CASE WHEN o.email IS NOT NULL THEN TIMESTAMP '2026-01-01 00:00:00' ELSE TIMESTAMP '2026-06-29 00:00:00' END AS created_at,
+  CASE WHEN n.email IS NOT NULL THEN TIMESTAMP '2026-06-29 00:00:00' ELSE TIMESTAMP '2026-01-01 00:00:00' END AS updated_at
+FROM o FULL JOIN n ON o.email = n.email""")
+def upsert_subscribers(spark, d):
+    email = F.concat(F.lit("user"), F.col("user_id"), F.when(F.col("user_id") % 7 == 0, "").otherwise("@example.com"))
+    e = read(spark, d, "events").select(email.alias("email"), "event_type", F.col("event_id").alias("pos"))
+    at = F.lit(datetime(2026, 1, 1)).cast("timestamp")
+    none = F.lit(None).cast("string")
+    old = e.where("event_type = 'click'").select("email").distinct()
+    old = old.select("email", F.array(F.lit("old")).alias("categories"), none.alias("custom_category"), none.alias("utm_source"), at.alias("created_at"), at.alias("updated_at"))
+    empty = F.array().cast("array<string>")
+    new = e.where("event_type <> 'click'").select("email", F.when(F.col("event_type") == "view", empty).otherwise(F.array("event_type")).alias("categories"), none.alias("custom_category"), none.alias("utm_source"), "pos")
+    out = state.upsert_subscribers(old, new, AS_OF)
+    return out.select("email", "categories", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("created_at", "updated_at")])
+
+
+@_query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def cascade_delete(spark, d):
+    c, o = read(spark, d, "customer"), read(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return state.cascade_delete(c, o, c.where("c_acctbal < 0"), "c_custkey", "o_custkey")[1]
+
+
+@_query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal FROM customer")
+def partial_update(spark, d):
+    c = read(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    change = c.where("c_custkey % 3 = 0").select(
+        "c_custkey", F.lit("NEW").alias("c_mktsegment"), F.lit(True).alias("c_mktsegment_set"), F.lit(None).cast("double").alias("c_acctbal"), (F.col("c_custkey") % 6 == 0).alias("c_acctbal_set")
+    )
+    return state.update_set(c, change, "c_custkey", ["c_mktsegment", "c_acctbal"])
+
+
+@_query("SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(DISTINCT c_custkey) > 1)")
+def key_conflicts(spark, d):
+    return state.conflicts(read(spark, d, "customer"), "c_custkey", "c_nationkey").select("c_custkey")
+
+
+@_query("SELECT page_id, (SELECT max(page_id) FROM pages) + row_number() OVER (ORDER BY md5(url)) > (SELECT max(page_id) FROM pages) AS above, count(*) OVER () AS n FROM pages")
+def next_ids(spark, d):
+    p = read(spark, d, "pages")
+    new = state.next_ids(p, p.select(F.col("page_id").alias("old"), "url"), "page_id", "url")
+    top = p.agg(F.max("page_id").alias("top"))
+    ids = new.agg(F.countDistinct("page_id").alias("n"))
+    return new.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(ids)).select(F.col("old").alias("page_id"), (F.col("page_id") > F.col("top")).alias("above"), "n")
+
+
+# --- scalar functions over the pages' URLs and texts -------------------------------------------------
+
+
+@_query(f"SELECT page_id, {HOST} AS host FROM pages")
+def host_of(spark, d):
+    return read(spark, d, "pages").select("page_id", urls.host_of(F.col("url")).alias("host"))
+
+
+_NEW_HOST = "CASE page_id % 9 WHEN 0 THEN 'github.com' WHEN 1 THEN 'hf.co' WHEN 2 THEN 'arxiv.org' WHEN 3 THEN 'old.reddit.com' WHEN 4 THEN 'mobile.x.com' WHEN 5 THEN 'foo.github.io' WHEN 6 THEN 'blog.openai.com' WHEN 7 THEN 'x.com' ELSE 'netflix.com' END"
+
+
+def _hosts(spark, d):
+    h = F.expr(_NEW_HOST)
+    return read(spark, d, "pages").select("page_id", h.alias("host"), F.concat(F.lit("https://www."), h, F.lit("/"), F.col("page_id")).alias("url"))
+
+
+@_query(f"WITH h AS (SELECT page_id, {_NEW_HOST} AS host FROM pages) SELECT page_id, CASE host WHEN 'github.com' THEN 'repo' WHEN 'hf.co' THEN 'model' WHEN 'arxiv.org' THEN 'paper' END AS kind FROM h")
+def kind_from_url(spark, d):
+    return _hosts(spark, d).select("page_id", urls.kind_from_url(F.col("url")).alias("kind"))
+
+
+@_query(f"WITH h AS (SELECT page_id, {_NEW_HOST} AS host FROM pages) SELECT page_id, CASE host WHEN 'github.com' THEN 'github' WHEN 'foo.github.io' THEN 'github' WHEN 'hf.co' THEN 'huggingface' WHEN 'arxiv.org' THEN 'arxiv' WHEN 'blog.openai.com' THEN 'blog' WHEN 'old.reddit.com' THEN 'reddit' WHEN 'x.com' THEN 'tweet' END AS class FROM h")
+def classify_host(spark, d):
+    return _hosts(spark, d).select("page_id", urls.classify_host(F.col("host")).alias("class"))
+
+
+@_query(f"WITH h AS (SELECT page_id, {_NEW_HOST} AS host FROM pages) SELECT page_id, ('www.' || host) IN ('x.com', 'twitter.com') OR ('www.' || host) LIKE '%.x.com' OR ('www.' || host) LIKE '%.twitter.com' AS skip FROM h")
+def skip_domain(spark, d):
+    return _hosts(spark, d).select("page_id", urls.skip_domain(F.col("url")).alias("skip"))
+
+
+@_query(r"SELECT page_id, regexp_replace(regexp_replace(url, '([?&])utm_[^&#]*&?', '\1', 'g'), '[?&]+(#|$)', '\1', 'g') AS url FROM pages")
+def strip_utm(spark, d):
+    return read(spark, d, "pages").select("page_id", urls.strip_utm(F.col("url")).alias("url"))
+
+
+@_query(r"SELECT doc_id, md5(trim(regexp_replace(text, '^\s*(?:[Ss]how|[Aa]sk) HN:\s*', ''), ' ' || chr(10))) AS title FROM documents")
+def clean_title(spark, d):
+    c = F.concat(F.when(F.col("doc_id") % 2 == 0, "Show HN: ").otherwise("ask hn: "), F.col("text"))
+    return read(spark, d, "documents").select("doc_id", F.md5(text.clean_title(c).cast("binary")).alias("title"))
+
+
+@_query("SELECT doc_id, md5(trim(text, ' ' || chr(10))) AS title FROM documents")
+def strip_wrappers(spark, d):
+    c = F.concat(F.lit('[HN] 1. "'), F.col("text"), F.lit('"'))
+    return read(spark, d, "documents").select("doc_id", F.md5(text.strip_wrappers(c).cast("binary")).alias("title"))
+
+
+@_query(r"""SELECT doc_id, md5(trim(regexp_replace('"a" - it''s -> ... - ' || text, ' {2,}', ' ', 'g'), ' ' || chr(10))) AS title FROM documents""")
+def sanitize_text(spark, d):
+    c = F.concat(F.lit("“a” – it’s → … ▪ 🚀 "), F.col("text"))
+    return read(spark, d, "documents").select("doc_id", F.md5(text.sanitize(c).cast("binary")).alias("title"))
+
+
+_STRIPPED = r"trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[\s\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g'), ' ')"
+
+
+@_query(f"SELECT page_id, md5({_STRIPPED}) AS text FROM pages")
+def strip_tags(spark, d):
+    return read(spark, d, "pages").select("page_id", F.md5(markup.strip_tags(F.col("html")).cast("binary")).alias("text"))
+
+
+@_query(r"SELECT doc_id, md5(trim(regexp_replace(text, '[\s\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g'), ' ')) AS text FROM documents")
+def whitespace_norm(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.md5(text.whitespace_norm(F.col("text")).cast("binary")).alias("text"))
+
+
+_LINK = """'<a[^>]+href="([^"]+)"[^>]*>([\\s\\S]*?)</a>'"""
+
+
+@_query(f"SELECT page_id, len(regexp_extract_all(html, {_LINK})) AS n, array_to_string(regexp_extract_all(html, {_LINK}, 1), ' ') AS links FROM pages")
+def collect_links(spark, d):
+    links = markup.collect_links(F.col("html"))
+    return read(spark, d, "pages").select("page_id", F.size(links).cast("long").alias("n"), F.array_join(F.transform(links, lambda x: x["url"]), " ").alias("links"))
+
+
+@_query(f"SELECT page_id, coalesce(regexp_extract_all(html, {_LINK}, 1)[1], '') AS url, 'other' AS kind FROM pages")
+def primary_link(spark, d):
+    p = markup.pick_primary(markup.collect_links(F.col("html")))
+    return read(spark, d, "pages").select("page_id", p["url"].alias("url"), p["kind"].alias("kind"))
+
+
+@_query(r"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '<li>([\s\S]*?)</li>', 1)[1:3], lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '[\s\x{85}\p{Z}]+', ' ', 'g'), ' ')), ' ') AS bullets FROM pages""")
+def first_bullets(spark, d):
+    return read(spark, d, "pages").select("page_id", markup.bullets(F.col("html")).alias("bullets"))
+
+
+@_query(r"SELECT page_id, md5(regexp_extract(html, '(?s)<h1[^>]*>[^<]*</h1>(.*)$', 1)) AS section FROM pages")
+def section_slice(spark, d):
+    named = F.regexp_replace("html", r"<h1[^>]*>[^<]*</h1>", "<h1 class=x> Head </h1>")
+    return read(spark, d, "pages").select("page_id", F.md5(markup.slice_section(named, "Head").cast("binary")).alias("section"))
+
+
+@_query(r"""WITH s AS (SELECT page_id, string_split(html, '<a ') AS parts FROM pages),
+x AS (SELECT page_id, unnest(range(2, len(parts) + 1)) AS n, parts FROM s),
+o AS (SELECT page_id, n - 1 AS n, 1 + length(array_to_string(parts[1:n - 1], '<a ')) AS start, length(array_to_string(parts, '<a ')) AS size FROM x)
+SELECT page_id, CAST(n AS INTEGER) AS n, start, lead(start, 1, size + 1) OVER (PARTITION BY page_id ORDER BY n) AS stop FROM o""")
+def lead_segments(spark, d):
+    p = read(spark, d, "pages").select("page_id", F.length("html").cast("long").alias("size"), F.posexplode(F.split("html", "(?=<a )", -1)).alias("n", "part"))
+    before = Window.partitionBy("page_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    at = p.withColumn("start", (F.coalesce(F.sum(F.length("part")).over(before), F.lit(0)) + 1).cast("long")).where(F.col("part").startswith("<a "))
+    w = Window.partitionBy("page_id").orderBy("start")
+    return at.select("page_id", F.row_number().over(w).alias("n"), "start", F.coalesce(F.lead("start").over(w), F.col("size") + 1).alias("stop"))
+
+
+@_query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 5 AS batch FROM documents")
+def batch_ids(spark, d):
+    return steps.batches(read(spark, d, "documents").select("doc_id", "source"), "doc_id", by="source").withColumn("pos", F.col("pos").cast("long"))
+
+
+@_query("SELECT conv_id, md5(string_agg(pos || '. ' || line, chr(10) ORDER BY pos)) AS prompt FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, role || ': ' || text AS line FROM conversations) GROUP BY conv_id")
+def prompt_lines(spark, d):
+    c = read(spark, d, "conversations")
+    out = steps.prompt_lines(c, "conv_id", "turn", F.concat("role", F.lit(": "), "text"))
+    return out.select("conv_id", F.md5(F.col("prompt").cast("binary")).alias("prompt"))
+
+
+@_query("SELECT doc_id, CASE WHEN length(text) > 0 THEN md5(substring(text, 1, 200)) END AS snippet, CASE WHEN source = 'src1' THEN 'high' END AS trust FROM documents")
+def prompt_inputs(spark, d):
+    source = F.when(F.col("source") == "src1", "Hacker News").otherwise(F.col("source"))
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("url"), F.lit("t").alias("title"), source.alias("source"), F.col("text").alias("content"))
+    return steps.prompt_input(rows).select(F.col("url").alias("doc_id"), F.md5(F.col("snippet").cast("binary")).alias("snippet"), "trust")
+
+
+@_query(rf"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_])({text.KEYWORDS})($|[^\p{{L}}\p{{N}}_])')")
+def keyword_filter(spark, d):
+    return read(spark, d, "documents").where(text.keyword_match(F.col("text"))).select("doc_id")
+
+
+@_query(r"SELECT doc_id FROM documents WHERE length(text) < 50 OR regexp_matches(text || ' Access  denied', '(?i)access\s+denied') AND doc_id % 3 = 0")
+def blocker_filter(spark, d):
+    c = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" Access  denied"))).otherwise(F.col("text"))
+    return read(spark, d, "documents").where(text.is_blocker(c) | (F.length("text") < 50)).select("doc_id")
+
+
+@_query(f"WITH {SQL} SELECT id FROM articles WHERE published_at IS NULL OR published_at >= TIMESTAMP '2026-06-22 00:00:00'")
+def window_filter(spark, d):
+    return articles(spark, d).where(dates.within_window(F.col("published_at"), AS_OF)).select("id")
+
+
+@_query("SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS at FROM orders")
+def parse_dates(spark, d):
+    at = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
+    rfc = F.concat(F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    shown = F.when(F.col("o_orderkey") % 2 == 0, rfc).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return read(spark, d, "orders").select("o_orderkey", dates.parse(shown).cast("timestamp_ntz").alias("at"))
+
+
+@_query("SELECT event_type, date_trunc('hour', ts) AS window_start, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    from ..streaming.admission import windowed_counts
+
+    return windowed_counts(read(spark, d, "events"), "ts", "event_type").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# --- dedup, extraction, the run ----------------------------------------------------------------------
+
+
+@_query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS similarity FROM e x JOIN e y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= 0.4""")
+def semantic_dedup_cosine(spark, d):
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return steps.near_vectors(e, 0.4).withColumn("similarity", F.round("similarity", 6))
+
+
+@_query()
+def extract_main_text(spark, d):
+    return read(spark, d, "pages").select("page_id", markup.main_text(F.col("html")).alias("text"))
+
+
+_SCORE = "least(100, CAST(floor(length(text) / 20.0) AS INTEGER) + len(string_split(title, ' ')) * 2)"
+
+
+@_query(f"""WITH {SQL}, f AS (SELECT id AS pos, url, title, content AS text, source, source_type, published_at FROM articles WHERE title <> ''),
+fresh AS (SELECT * FROM f WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 5 = 0)),
+j AS (SELECT *, {_SCORE} AS score FROM fresh),
+k AS (SELECT * FROM j WHERE score >= 76 QUALIFY row_number() OVER (PARTITION BY url ORDER BY score DESC, pos) = 1)
+SELECT url, source, source_type, score, published_at,
+  CASE WHEN source_type IN ('aiNews', 'rss') THEN CASE WHEN contains(substring(text, 1, 1500), '|') THEN 'product' WHEN length(substring(text, 1, 1500)) < 400 THEN 'announcement' ELSE 'blog' END
+    WHEN contains(title, '|') THEN 'product' ELSE 'announcement' END AS kind FROM k""")
+def article_run(spark, d):
+    a = articles(spark, d).where("title <> ''")
+    fetched = a.select(F.regexp_replace("title", "[‘’‚“”„…]", "x").alias("title"), "url", "content", F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_date"), "source", "source_type", F.col("id").alias("pos"))
+    known = read(spark, d, "pages").where("page_id % 5 = 0").select("url")
+    new, _ = articles_run.run(fetched, a.limit(0), known, AS_OF)
+    return new.select("url", "source", "source_type", "score", F.col("published_at").cast("timestamp_ntz").alias("published_at"), "kind")
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
