@@ -16,9 +16,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, by five-word shingles at a similarity of 0.8."""
-    marked = near_dedup.near_duplicates(docs, k=5, percent=80, n_hashes=100, rows_per_band=4)
-    gone = marked.where(~F.col("kept")).select(F.col("doc_id").alias("copy")).distinct()
-    return docs.join(stored(gone, "pipeline-copies"), F.col("doc_id").eqNullSafe(F.col("copy")), "left_anti")
+    key = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    marked = near_dedup.near_duplicates(docs, k=5, percent=80, n_hashes=100, rows_per_band=4, row_key=key)
+    gone = marked.where(~F.col("kept")).select(F.col("doc_id").alias("copy"), F.col("row_key").alias("copy_key")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("copy")) & (key == F.col("copy_key"))
+    return docs.join(stored(gone, "pipeline-copies"), same, "left_anti")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -189,9 +189,11 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, percent: int = 80, leas
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark passage; rows with a null doc_id go if any of these holds one."""
-    found = stored(find_overlaps(docs, benchmark).select(F.col("doc_id").alias("contaminated")).distinct(), "decon-found")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("contaminated")), "left_anti")
+    """The rows of ``docs`` whose text holds no benchmark passage; texts stand for their rows here, so ids may repeat or be null."""
+    key = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    found = find_overlaps(docs.select(key.alias("doc_id"), "text"), benchmark)
+    dirty = stored(found.select(F.col("doc_id").alias("dirty")).distinct(), "decon-found")
+    return docs.join(dirty, key == F.col("dirty"), "left_anti")
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -23,13 +23,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bitmap_of, in_bitmap, mix, pieces, stored, text_bytes, windows
+from .common import WordHashes, bitmap_of, in_bitmap, pieces, stored, text_bytes, windows
 from .components import components
 
 BLOCK = 256
+MEMORY = 150_000  # words that a task remembers
 BITS = 24
 #: Minima that may disagree with a pair's expected agreement before it is thrown out, in standard deviations.
 SLACK = 5.0
@@ -53,12 +54,12 @@ def shingle_set(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int, n_hashes: int) -> DataFrame:
-    """doc_id, key (of the word sequence), n (set size), sig (n_hashes 32-bit minima; null without shingles)."""
+    """doc_id, row_key (both as given), key (of the word sequence), n (set size), sig (n_hashes 32-bit minima; null without shingles)."""
     a, b = _coefficients(n_hashes)
 
     def run(batches):
-        hashes = WordHashes()
-        for batch in pieces(batches, 500):
+        hashes = WordHashes(MEMORY)
+        for batch in pieces(batches, 300):
             keys, sets = [], []
             for t in batch.column(1).to_pylist():
                 words, h = _words(t, hashes)
@@ -76,11 +77,10 @@ def sketches(docs: DataFrame, k: int, n_hashes: int) -> DataFrame:
             for row, i in zip(sig, full):
                 sigs[i] = row.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.binary()), pa.array(n), pa.array(sigs, pa.binary())], ["doc_id", "key", "n", "sig"]
+                [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(n), pa.array(sigs, pa.binary())], ["doc_id", "row_key", "key", "n", "sig"]
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(run, f"doc_id {kind}, key binary, n long, sig binary")
+    return docs.select("doc_id", text_bytes().alias("text"), "row_key").mapInArrow(run, "doc_id long, row_key string, key binary, n long, sig binary")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -92,8 +92,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         bits = np.frombuffer(shared.value, np.uint8)
-        hashes = WordHashes()
-        for batch in pieces(batches, 500):
+        hashes = WordHashes(MEMORY)
+        for batch in pieces(batches, 300):
             hit = in_bitmap(bits, BITS, batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
             keys, sets = [], []
             for t in batch.column(0).filter(pa.array(hit)).to_pylist():
@@ -128,21 +128,14 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, n_hashes: int,
     """Those of ``pairs`` (a, b) whose minima agree and whose sets are similar; sets travel only for pairs that pass the minima."""
     least = _least_agreement(n_hashes, percent)
 
-    def by_minima(batches):
-        for x in pieces(batches, 5000):
-            if x.num_rows:
-                sa, sb = (np.frombuffer(b"".join(x.column(i).to_pylist()), ">u4").reshape(-1, n_hashes) for i in (2, 3))
-                yield pa.RecordBatch.from_struct_array(pa.StructArray.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(_agree(sa, sb) >= least)))
-
     def by_sets(batches):
         for x in pieces(batches, 200):
             ok = [_linked(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), percent) for s, t in zip(x.column(2).to_pylist(), x.column(3).to_pylist())]
             yield pa.RecordBatch.from_struct_array(pa.StructArray.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_())))
 
     sig = nodes.select("key", "sig")
-    likely = (
-        pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(by_minima, "a binary, b binary")
-    )
+    same = F.filter(F.sequence(F.lit(0), F.lit(n_hashes - 1)), lambda i: F.col("sa").substr(4 * i + 1, F.lit(4)) == F.col("sb").substr(4 * i + 1, F.lit(4)))
+    likely = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").where(F.size(same) >= least).select("a", "b")
     both = likely.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
     return both.mapInArrow(by_sets, "a binary, b binary")
 
@@ -201,12 +194,13 @@ def _blocks(opened: DataFrame, nodes: DataFrame, sets: DataFrame, n_hashes: int,
     return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, n_hashes: int = 80, rows_per_band: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``; doc_id must be an integer.
+def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, n_hashes: int = 80, rows_per_band: int = 4, row_key: Column | None = None) -> DataFrame:
+    """doc_id, row_key, n_shingles, component_id, kept for every row of ``docs``; doc_id must be an integer.
 
-    Links: 100 * |A and B| >= percent * |A or B|. component_id is the least doc_id that can be reached.
+    Links: 100 * |A and B| >= percent * |A or B|. component_id is the least doc_id that can be reached. ``row_key`` (text) is carried
+    along for callers that must tell rows of one doc_id apart.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(None) if row_key is None else row_key).cast("string").alias("row_key"))
     sk = stored(sketches(docs, k, n_hashes), "near-sketch")
     nodes = stored(sk.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig")), "near-class")
 
@@ -243,12 +237,12 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, n_hashes: in
     placed = nodes.select("key", "doc").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = placed.groupBy("root").agg(F.min("doc").alias("component"))
     place = stored(placed.join(least, "root").select("key", "component"), "near-place")
-    out = sk.select("doc_id", "key", "n").join(place, "key", "left")
+    out = sk.select("doc_id", "row_key", "key", "n").join(place, "key", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+        "doc_id", "row_key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_key")
