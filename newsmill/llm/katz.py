@@ -179,6 +179,7 @@ def _packed(docs: DataFrame, deal: _Deal) -> DataFrame:
             ph, pw, pb, pd, phot = h[head], w[head], bucket[head], doc[order], hot[head]
             first = np.concatenate([[0], np.cumsum(occ)])
             rows = []
+            anywhere = int(mix(np.array([chunk], np.uint64))[0] % np.uint64(parts))
 
             def send(b, at, train, with_docs):
                 uh, hi = np.unique(ph[at], return_inverse=True)
@@ -196,9 +197,9 @@ def _packed(docs: DataFrame, deal: _Deal) -> DataFrame:
                     send(b, both, train[both], False)
             both = np.flatnonzero(phot)
             if len(both):  # the documents of frequent pairs go anywhere
-                send(chunk % parts, both, np.zeros(len(both), np.int64), True)
+                send(anywhere, both, np.zeros(len(both), np.int64), True)
             numbers = np.array([-1 if i is None else i for i in ids], np.int64)
-            rows.append(_row(chunk % parts, DOCS, chunk, len(ids), numbers, np.array([i is None for i in ids]), _small(sizes)))
+            rows.append(_row(anywhere, DOCS, chunk, len(ids), numbers, np.array([i is None for i in ids]), _small(sizes)))
             yield _batch(rows)
             chunk += 1
 
