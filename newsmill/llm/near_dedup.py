@@ -5,8 +5,8 @@
 2. Bands of ``rows_per_band`` minima give buckets. At a similarity of 0.85 a pair misses all of 20 bands of 4 with a
    probability of 4e-7.
 3. A bucket's members are compared with its pivot, the member whose buckets are fullest over all bands (in a group of
-   near copies that is the text they derive from): as many pairs as members. This is done twice; members that are
-   already in one component need no more comparing.
+   near copies that is the text they derive from): as many pairs as members. Members that are in one component after
+   that need no more comparing.
 4. What is left (members of one bucket that are still in different components) is compared in blocks of ``BLOCK`` members, pair
    by pair inside a task, which returns links only.
 5. A pair passes if its minima agree nearly enough, and is confirmed on the full shingle sets.
@@ -213,26 +213,16 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, n_hashes: in
     shared = stored(members.select("key").distinct().join(nodes, "key"), "near-shared")
     sets = stored(_sets(docs, shared, k), "near-set")
 
-    links = roots = None
-    left = members
-    for _ in range(2):
-        opened = left.withColumn("root", F.col("key")) if roots is None else stored(_open(left, roots), "near-open")
-        if roots is not None and opened.isEmpty():
-            left = None
-            break
-        pivots = opened.groupBy("bucket").agg(F.max(F.struct("weight", "key", "root")).alias("p")).select("bucket", F.col("p")["key"].alias("pivot"), F.col("p")["root"].alias("pivot_root"))
-        against = opened.join(pivots, "bucket")
-        pairs = against.where((F.col("key") != F.col("pivot")) & ((F.col("root") != F.col("pivot_root")) if roots is not None else F.lit(True)))
-        found = stored(_confirm(pairs.select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), shared, sets, n_hashes, percent), "near-link")
-        links = found if links is None else links.union(found)
-        left = stored(against.where(F.col("key") != F.col("pivot")).select("bucket", "band", "key", "weight"), "near-left")
-        roots = components(links)
-    if left is not None:
-        opened = stored(_open(left, roots), "near-open")
-        if not opened.isEmpty():
-            rest = stored(_blocks(opened, shared, sets, n_hashes, rows_per_band, percent), "near-link")
-            links = links.union(rest)
-            roots = components(links)
+    pivots = members.groupBy("bucket").agg(F.max_by("key", F.struct("weight", "key")).alias("pivot"))
+    against = stored(members.join(pivots, "bucket").where("key <> pivot"), "near-against")
+    pairs = against.select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
+    links = stored(_confirm(pairs, shared, sets, n_hashes, percent), "near-link")
+    roots = components(links)
+    opened = stored(_open(against.select("bucket", "band", "key"), roots), "near-open")
+    if not opened.isEmpty():
+        more = stored(_blocks(opened, shared, sets, n_hashes, rows_per_band, percent), "near-link")
+        if not more.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     placed = nodes.select("key", "doc").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = placed.groupBy("root").agg(F.min("doc").alias("component"))
