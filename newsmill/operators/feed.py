@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,21 +57,35 @@ def search(articles: DataFrame, query: list[float], limit: int = 20) -> DataFram
     return found.select(*schema.PUBLIC, vectors.cosine_distance(F.col("embedding"), q).alias("distance")).orderBy("distance", "id").limit(check_limit(limit))
 
 
-def search_batch(vectors_: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, id, distance, rank: the k nearest of ``vectors_`` (id, embedding) for each of ``queries`` (query_id, embedding).
+def search_batch(vectors_: DataFrame, queries: DataFrame, k: int, query_rows: int = 2048, vector_rows: int = 16384) -> DataFrame:
+    """query_id, id, distance, rank: the k nearest of ``vectors_`` (id, embedding) for each of ``queries`` (query_id, embedding), exactly.
 
-    The stated query set goes to the vectors by broadcast join, in blocks of queries; every task keeps its own k best before
-    they are merged, so only k rows for a query and partition are shuffled.
+    Queries and vectors are dealt into blocks of bounded size, and a pair of blocks is a task that multiplies two matrices and
+    returns each query's k best of the block. Zero vectors have distance NaN, which sorts last; null vectors are left out.
     """
-    norms = vectors_.withColumn("norm", vectors.norm(F.col("embedding")))
-    q = queries.select("query_id", F.col("embedding").alias("query"), vectors.norm(F.col("embedding")).alias("query_norm"))
-    pairs = norms.crossJoin(F.broadcast(q)).select(
-        "query_id",
-        "id",
-        F.coalesce(1 - F.try_divide(vectors.dot(F.col("embedding"), F.col("query")), F.col("norm") * F.col("query_norm")), F.lit(float("nan"))).alias("distance"),
-    )
+    size = lambda df, rows: max(1, -(-df.count() // rows))
+    n_q, n_v = size(queries, query_rows), size(vectors_, vector_rows)
+    # One schema for both sides: queries are sent to every vector block and vectors to every query block.
+    q = queries.where("embedding is not null").select(F.lit(True).alias("is_query"), F.col("query_id").alias("id"), "embedding", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_v - 1).cast("long"))).alias("vb"))
+    v = vectors_.where("embedding is not null").select(F.lit(False).alias("is_query"), "id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(n_v)).alias("vb"))
+
+    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf.is_query], pdf[~pdf.is_query]
+        if a.empty or b.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
+        x, y = (np.stack(t.embedding.to_numpy()).astype(float) for t in (a, b))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = 1 - (x @ y.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(y, axis=1)
+        ids, rows = b.id.to_numpy(), []
+        order = np.argsort(ids, kind="stable")
+        for i, query in enumerate(a.id):
+            best = order[np.argsort(d[i][order], kind="stable")[:k]]  # NaN last, ties by id
+            rows.append(pd.DataFrame({"query_id": query, "id": ids[best], "distance": d[i][best]}))
+        return pd.concat(rows)
+
+    found = q.unionByName(v).groupBy("qb", "vb").applyInPandas(nearest, "query_id long, id long, distance double")
     best = Window.partitionBy("query_id").orderBy("distance", "id")
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def stats(articles: DataFrame) -> DataFrame:

@@ -69,12 +69,13 @@ def embedding_inputs(articles: DataFrame) -> DataFrame:
     return articles.select("id", text.embedding_text(F.col("title"), F.col("summary")).alias("text"))
 
 
-def near_vectors(vecs: DataFrame, least: float, blocks: int = 8) -> DataFrame:
+def near_vectors(vecs: DataFrame, least: float, rows: int = 4096) -> DataFrame:
     """Pairs (a, b, similarity), a < b, of vectors (id, embedding) with a cosine of ``least`` or more.
 
     Every vector meets every other once, in blocks: a pair of blocks is a task of bounded size that multiplies two matrices and
-    returns only pairs that pass.
+    returns only pairs that pass. A block has about ``rows`` vectors.
     """
+    blocks = max(1, -(-vecs.count() // rows))
     unit = vecs.where(vectors.norm(F.col("embedding")) > 0).select("id", vectors.normalise(F.col("embedding")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("mine"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     dealt = unit.select("id", "v", "mine", other.alias("other")).select("id", "v", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
