@@ -43,7 +43,7 @@ def minimisers(each: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         return none, none, np.empty(0, np.uint64), none, none
     every = np.concatenate(each)
     run = windows(every, RUN)
-    place_mask = np.uint64((1 << 24) - 1)
+    place_mask = np.uint64((1 << 28) - 1)  # the same for every batch, since it decides which bits of a hash count
     m = (run & ~place_mask) | np.arange(len(run), dtype=np.uint64)
     span = 1
     while span * 2 <= _REACH:
