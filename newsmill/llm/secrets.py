@@ -3,8 +3,8 @@
 Three base kinds are found by pattern, leftmost and without overlap: ``assign`` (``password = ...``), ``access`` (``AKIA...``)
 and ``hex`` (24 or more hexadecimal digits). Weak candidates (client identifiers, bare high-variety secrets, service
 endpoints) say little alone; a document's weak candidates are put into scopes of ``scope`` code points and one is reported
-only when a complementary part lies in its own or a neighbouring scope, at most ``scope`` code points away: that is an
-equi-join on the scope number, widened by one, followed by the exact distance test.
+only when a complementary part lies in a scope that it covers or in a neighbouring one, at most ``scope`` code points away:
+that is an equi-join on the numbers of all covered scopes, widened by one, followed by the exact distance test.
 
 Rules for odd input: a null text is an empty one and gives zeros, the digest of the empty string and an empty ``spans``;
 repeated rows give repeated rows; ties in ``start`` go by kind in the order of ``KINDS``; other columns of the input, of any
@@ -77,12 +77,13 @@ def _any(text: Column, words) -> Column:
 
 def _near(parts: Column, others: Column, scope: int) -> Column:
     """Those of ``parts`` that have one of ``others`` within ``scope`` code points."""
-    cell = lambda x: F.floor(x["start"] / scope).cast("int")
-    cells = F.array_distinct(F.flatten(F.transform(others, lambda o: F.array(cell(o) - 1, cell(o), cell(o) + 1))))
+    cell = lambda at: F.floor(at / scope).cast("int")
+    # Both sides stand in every scope that they cover, as a span can be longer than one.
+    cells = F.array_distinct(F.flatten(F.transform(others, lambda o: F.sequence(cell(o["start"]) - 1, cell(o["end"]) + 1))))
     gap = lambda a, b: F.greatest(a["start"] - b["end"], b["start"] - a["end"])
     return F.filter(
         parts,
-        lambda p: F.array_contains(cells, cell(p)) & F.exists(others, lambda o: gap(p, o) <= scope),
+        lambda p: F.exists(F.sequence(cell(p["start"]), cell(p["end"])), lambda c: F.array_contains(cells, c)) & F.exists(others, lambda o: gap(p, o) <= scope),
     )
 
 

@@ -249,6 +249,31 @@ def test_secrets(spark, odd, nothing):
         assert set(filter(None, base_spans(t)[1].split(","))) <= set(spans[i].split(","))
 
 
+def all_spans(t, scope=200):
+    """Base spans, and the weak ones that have a complementary part within ``scope``: every part against every other."""
+    base = [(int(a), secrets.KINDS.index(k), int(z)) for k, a, z in (s.split(":") for s in base_spans(t)[1].split(",") if s)]
+    found = {k: [(m.start(), k, m.end()) for m in re.finditer(p, t, re.A)] for k, p in ((3, secrets.CLIENT), (4, secrets.BARE), (5, secrets.ENDPOINT))}
+    free = {k: [x for x in v if not any(b[0] < x[2] and x[0] < b[2] for b in base)] for k, v in found.items()}
+    strong = [b for b in base if b[1] != 1] + free[4]
+    other = [b for b in base if b[1] == 1] + found[3] + found[5]
+    near = lambda x, those: any(max(x[0] - o[2], o[0] - x[2]) <= scope for o in those)
+    weak = [x for x in free[4] if near(x, other)] + [x for k in (3, 5) for x in free[k] if near(x, strong)]
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{z}" for a, k, z in sorted(base + weak))
+
+
+def test_weak_parts_longer_than_a_scope(spark):
+    rows = []
+    for n in (300, 700, 2000):
+        token, digits, url, login = "token=" + "Zx9-" * (n // 4), "0123456789abcdef" * (n // 16), "https://a.x/" + "p" * n, "login: " + "u" * n
+        for gap in (" ", " " * 199, " " * 200, " " * 201, " " * 450):
+            rows += [f"{a}{gap}{b}" for a, b in ((token, "https://api.x"), (digits, "client_id: my-app-7"), (url, "Zx9Kq2Lm8Rt4Vw6Yp1Sd"), (login, "secret=abcdefgh"))]
+            rows += [f"{a}{gap}{b}" for a, b in (("https://api.x", token), ("Zx9Kq2Lm8Rt4Vw6Yp1Sd", url), (url, digits), (digits, login))]
+    df = frame(spark, [(i, t, "a") for i, t in enumerate(rows)])
+    got = {r.doc_id: r.spans for r in secrets.report(df).collect()}
+    assert got == {i: all_spans(t) for i, t in enumerate(rows)}
+    assert "api.x" not in secrets.redact(df.where("doc_id = 40")).first().text
+
+
 def test_redact(spark, odd):
     df = frame(spark, [(i, t, "a") for i, t in enumerate(SECRETS)]).union(odd)
     out = secrets.redact(df)
