@@ -22,9 +22,9 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-# Weak parts, our own.
+# Weak parts, our own. A bare secret has any length from 20 on and may end in base64 padding.
 CLIENT = r"(?i:client_?id|account_?id|user_?name|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{4,}"
-BARE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,63}[0-9])(?=[A-Za-z0-9+/_-]{0,63}[a-z])(?=[A-Za-z0-9+/_-]{0,63}[A-Z])[A-Za-z0-9+/_-]{20,64}(?![A-Za-z0-9+/_=-])"
+BARE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])"
 ENDPOINT = r"(?:https?|ftp|ssh|jdbc:[a-z]+|postgres|mysql|redis|mongodb|amqp)://[^\s\"'<>]+"
 CLIENT_HINTS = ("clientid", "client_id", "accountid", "account_id", "username", "user_name", "login")
 

@@ -274,6 +274,21 @@ def test_weak_parts_longer_than_a_scope(spark):
     assert "api.x" not in secrets.redact(df.where("doc_id = 40")).first().text
 
 
+def test_long_and_padded_bare_secrets(spark):
+    part = "Zx9Kq2Lm8Rt4Vw6Yp1Sd"
+    keys = [part + "Ab==", part * 2 + "Abc=", part * 4 + "AbcdEf==", part * 4, part * 60, part]
+    rows = [f"{k} https://api.x" for k in keys] + [f"login: user7 AccountKey={k}" for k in keys] + [f"{k}{bad} https://api.x" for k in keys[3:] for bad in ("===", "=x", "==x")]
+    df = frame(spark, [(i, t, "a") for i, t in enumerate(rows)])
+    got = {r.doc_id: r.spans for r in secrets.report(df).collect()}
+    n = len(keys)
+    for i, k in enumerate(keys):
+        assert got[i] == f"weak_secret:0:{len(k)},weak_endpoint:{len(k) + 1}:{len(k) + 14}"
+        assert got[n + i] == f"weak_id:0:12,weak_secret:24:{24 + len(k)}"
+    assert not any(got[i] for i in range(2 * n, len(rows)))
+    assert got == {i: all_spans(t) for i, t in enumerate(rows)}
+    assert {r.text for r in secrets.redact(df.where(f"doc_id < {n}")).collect()} == {"[SECRET] [SECRET]"}
+
+
 def test_redact(spark, odd):
     df = frame(spark, [(i, t, "a") for i, t in enumerate(SECRETS)]).union(odd)
     out = secrets.redact(df)
