@@ -20,6 +20,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,20 +146,64 @@ def _lines(text: bytes):
             seen.add(line)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 1500, train_lines: int = 200) -> Chain:
+def _shared_lines(docs: DataFrame, lines: np.ndarray, least: int, most: int = 200_000) -> np.ndarray:
+    """Those of ``lines`` (hashes) that occur in ``least`` or more documents of different text, of all documents.
+
+    A task sends at most ``least`` text hashes for a line, which is all that the decision needs: a task that has more has enough
+    alone. It sends what it has whenever it holds ``most`` hashes, so a common line costs neither memory nor a long task.
+    """
+    wanted = set(lines.tolist())
+
+    def run(batches):
+        found, held = {}, 0
+
+        def out():
+            line = np.array([h for h, ts in found.items() for _ in ts], np.uint64).view(np.int64)
+            text = np.array([t for ts in found.values() for t in ts], np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(line), pa.array(text)], ["line", "text"])
+
+        for b in pieces(batches, 500):
+            for text in b.column(0).to_pylist():
+                hits = wanted.intersection(map(xxhash.xxh3_64_intdigest, text.split(b"\n")))
+                t = xxhash.xxh3_64_intdigest(text) if hits else 0
+                for h in hits:
+                    ts = found.setdefault(h, set())
+                    if len(ts) < least and t not in ts:
+                        ts.add(t)
+                        held += 1
+            if held >= most:
+                yield out()
+                found, held = {}, 0
+        yield out()
+
+    pairs = docs.select(text_bytes().alias("text")).mapInArrow(run, "line long, text long")
+    rows = pairs.groupBy("line").agg(F.count_distinct("text").alias("n")).where(F.col("n") >= least).select("line").collect()  # as many as lines at most
+    return np.array([r.line for r in rows], np.int64).view(np.uint64)
+
+
+def training_chains(docs: DataFrame, labels: DataFrame, train_docs: int = 1500, train_lines: int = 200, shared_docs: int = 10) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(statistics per line, weak label per line) of each document of the sample."""
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     sample = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(picked), "doc_id")
 
     def run(batches):
         for b in pieces(batches, 100):
-            x = [[v for _, z in zip(range(train_lines), _lines(t)) for v in line_statistics(*z)] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.int32()), pa.array(x, pa.list_(pa.float32()))], ["doc_id", "q", "x"])
+            lines = [[z for _, z in zip(range(train_lines), _lines(t))] for t in b.column(1).to_pylist()]
+            x = [[v for z in zs for v in line_statistics(*z)] for zs in lines]
+            h = [np.array([xxhash.xxh3_64_intdigest(z[0]) for z in zs], np.uint64).view(np.int64) for zs in lines]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.int32()), pa.array(x, pa.list_(pa.float32())), pa.array(h, pa.list_(pa.int64()))], ["doc_id", "q", "x", "h"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = sample.mapInArrow(run, f"doc_id {kind}, q int, x array<float>").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()  # train_docs rows at most
-    chains = [(x, np.full(len(x), int(r.q == 1))) for r in got if len(x := np.array(r.x, float).reshape(-1, len(PRIOR)))]
-    return train(chains)
+    got = sample.mapInArrow(run, f"doc_id {kind}, q int, x array<float>, h array<long>").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()  # train_docs rows at most
+    rows = [(r.q, np.array(r.x, float).reshape(-1, len(PRIOR)), np.array(r.h, np.int64).view(np.uint64)) for r in got if r.h]
+    content = [h for q, _, h in rows if q == 1]
+    shared = _shared_lines(docs, np.unique(np.concatenate(content)), shared_docs) if content else np.empty(0, np.uint64)
+    return [(x, ((q == 1) & ~np.isin(h, shared)).astype(int)) for q, x, h in rows]
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 1500, train_lines: int = 200, shared_docs: int = 10) -> Chain:
+    return train(training_chains(docs, labels, train_docs, train_lines, shared_docs))
 
 
 def _repeated_words(h: np.ndarray) -> int:

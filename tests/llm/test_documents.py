@@ -456,6 +456,20 @@ def test_quality_rules(spark, odd, nothing):
     assert line_crf.fit(odd, labels.limit(0)).w.tolist() == prior.w.tolist()
 
 
+def test_shared_lines_are_boilerplate(spark):
+    menu, own = "Home | About | Contact", lambda i: f"Document {i} says something that no other says."
+    rows = [(i, f"{menu}\n{own(i)}\n\nRare footer {i // 4}\n{menu}", "a") for i in range(12)]
+    rows += [(20 + i, "A copied page.\nIts second line.", "a") for i in range(15)] + [(40, f"{own(40)}\n{own(41)}", "b"), (None, None, None)]
+    docs = frame(spark, rows).repartition(5)
+    labels = spark.createDataFrame([(0, 1), (5, 1), (20, 1), (40, 0)], "doc_id long, quality int")
+    got = [y.tolist() for _, y in line_crf.training_chains(docs, labels)]
+    assert got == [[0, 1, 1, 0], [0, 1, 1, 0], [1, 1], [0, 0]]
+    assert [y.tolist() for _, y in line_crf.training_chains(docs, labels, shared_docs=4)][0] == [0, 1, 0, 0]
+    assert [y.tolist() for _, y in line_crf.training_chains(docs, labels, shared_docs=13)][0] == [1, 1, 1, 1]
+    every = np.array([zlib.crc32(b"none")] + [line_crf.xxhash.xxh3_64_intdigest(x) for x in (menu.encode(), b"A copied page.")], np.uint64)
+    assert line_crf._shared_lines(docs, every, 10, most=1).tolist() == [line_crf.xxhash.xxh3_64_intdigest(menu.encode())]
+
+
 def test_viterbi_and_training():
     r = np.random.default_rng(1)
     chain = line_crf.Chain(np.zeros(len(line_crf.PRIOR)), r.normal(0, 1, (2, 2)), r.normal(0, 1, 2))
