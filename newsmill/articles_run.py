@@ -1,7 +1,8 @@
 """The daily run: fetched rows against the article and scored-URL tables; returns the new snapshots.
 
 Steps: unknown URLs, living hosts, semantic duplicates of recent articles, scoring and threshold, insertion, titles, content,
-summaries and categories and kinds, embeddings. Model steps use the rule stand-ins unless columns are given.
+summaries and categories and kinds, embeddings. Model steps use the rule stand-ins unless columns are given. Stories are compared by
+the embeddings of their titles; a fetched URL that tells a story of a recent article is neither scored nor inserted.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ def run(
     pages: DataFrame | None = None,
     score=models.rule_score,
     threshold: int = steps.THRESHOLD,
+    embed=models.hashed_embedding,
 ) -> tuple[DataFrame, DataFrame]:
     """(new articles, scored URLs after the run). ``fetched`` has FETCHED's columns and pos; ``pages`` (url, content) are fetched texts;
     ``dead`` (host) are names that don't resolve. A second run on the results inserts nothing."""
     rows = state.fresh(fetched, articles, scored)
     if dead is not None:
         rows = steps.dead_hosts(rows, dead)
+    rows = without_known_stories(rows, recent(articles, as_of), embed)
     verdict = F.coalesce(score(F.col("title"), F.coalesce("content", F.lit(""))), F.lit(0))
     judged = rows.withColumn("score", F.when(F.col("source") == steps.BONUS_SOURCE, F.least(verdict + steps.BONUS, F.lit(steps.BEST))).otherwise(verdict))
     kept = state.argmax(judged.where(F.col("score") >= threshold), "url", "score", "pos")
@@ -66,7 +69,25 @@ def run(
         F.when(has, full).otherwise(F.col("content")).alias("content"),
         F.lit(as_of).cast("timestamp").alias("created_at"),
     )
-    return done, state.upsert_keys(scored, rows, "url")
+    done = done.withColumn("id", F.xxhash64("title", "summary"))
+    vecs = embedded(steps.embedding_inputs(done), embed)
+    return done.join(vecs, "id", "left").drop("id"), state.upsert_keys(scored, rows, "url")
+
+
+def embedded(texts: DataFrame, embed) -> DataFrame:
+    """(id, embedding) of (id, text), each id once."""
+    return models.apply(texts.dropDuplicates(["id"]), embed, "id long, embedding array<float>", chunk=1000)
+
+
+def without_known_stories(rows: DataFrame, known: DataFrame, embed) -> DataFrame:
+    """Rows without the URLs whose title resembles a title of ``known``."""
+    if known.isEmpty():
+        return rows
+    texts = lambda df: df.select(F.xxhash64("title").alias("id"), F.col("title").alias("text"))
+    new = steps.without_stories(embedded(texts(rows), embed), embedded(texts(known), embed), STORY_SIMILARITY).select(F.col("id").alias("_story"))
+    tagged = rows.withColumn("_story", F.xxhash64("title"))
+    told = tagged.join(new, "_story", "left_anti").select("url").distinct()
+    return tagged.join(new, "_story", "left_semi").drop("_story").join(told, "url", "left_anti")
 
 
 def recent(articles: DataFrame, as_of: datetime) -> DataFrame:

@@ -94,12 +94,26 @@ def near_vectors(vecs: DataFrame, least: float, rows: int = 4096) -> DataFrame:
     return dealt.groupBy("i", "j").applyInPandas(compare, "a long, b long, similarity double")
 
 
-def without_stories(new: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """New rows (id, embedding) that no known row resembles: the known side is dealt in blocks as in near_vectors."""
-    tagged = new.select((F.col("id") * 2).alias("id"), "embedding").unionByName(known.select((F.col("id") * 2 + 1).alias("id"), "embedding"))
-    hit = near_vectors(tagged, least).where((F.col("a") % 2) != (F.col("b") % 2))
-    dead = hit.select(F.when(F.col("a") % 2 == 0, F.col("a")).otherwise(F.col("b")).alias("x")).select((F.col("x") / 2).cast("long").alias("id")).distinct()
-    return new.join(dead, "id", "left_anti")
+def without_stories(new: DataFrame, known: DataFrame, least: float, rows: int = 4096) -> DataFrame:
+    """New rows (id, embedding) that no known row resembles. Blocks of new rows meet blocks of known rows, each pair of blocks in a task
+    of bounded size that returns only the new rows that are hit."""
+    n, k = (max(1, -(-v.count() // rows)) for v in (new, known))
+
+    def unit(v: DataFrame, side: int, i, j) -> DataFrame:
+        return v.where(vectors.norm(F.col("embedding")) > 0).select("id", vectors.normalise(F.col("embedding")).alias("v"), F.lit(side).alias("side"), i.alias("i")).select("*", j.alias("j"))
+
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = unit(new, 0, block(n), every(k)).unionByName(unit(known, 1, every(n), block(k)))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        if left.empty or right.empty:
+            return pd.DataFrame({"id": []})
+        hit = (np.stack(left.v.to_numpy()) @ np.stack(right.v.to_numpy()).T >= least).any(axis=1)
+        return pd.DataFrame({"id": left.id.to_numpy()[hit]})
+
+    return new.join(dealt.groupBy("i", "j").applyInPandas(compare, "id long").distinct(), "id", "left_anti")
 
 
 def prompt_lines(df: DataFrame, by: str, order: str, line) -> DataFrame:

@@ -76,6 +76,27 @@ def test_run_twice(spark, sf):
     assert again.count() == 0
 
 
+def test_run_drops_known_stories_and_embeds(spark):
+    from datetime import timedelta
+
+    import numpy as np
+
+    at = datetime(2026, 6, 29)
+    titles = ["a new model is out today", "some old story told again", "an undated story told again", "nothing like the others here", "A New Model is out today"]
+    rows = [(t, f"https://h.x/{i}", "word " * 400, "2026-06-29T00:00:00Z", "s", "rss", i) for i, t in enumerate(titles)]
+    rows.append(("another title of the first URL", "https://h.x/0", "word " * 400, "2026-06-29T00:00:00Z", "s", "rss", 9))
+    fetched = spark.createDataFrame(rows, schema.FETCHED + ", pos int")
+    day = lambda n: at - timedelta(days=n)
+    known = [(1, titles[0], "https://other.x/1", day(3)), (2, titles[1], "https://other.x/2", day(15)), (3, titles[2], "https://other.x/3", None), (4, "unrelated", "https://h.x/3", day(1))]
+    articles = spark.createDataFrame(known, "id long, title string, url string, published_at timestamp")
+    new, scored = articles_run.run(fetched, articles, spark.createDataFrame([], "url string"), at)
+    got = {r.url: r for r in new.collect()}
+    assert set(got) == {r.url for r in scored.collect()} == {"https://h.x/1", "https://h.x/2"}
+    for r in got.values():
+        want = models.hashed_embedding(__import__("pandas").DataFrame({"id": [0], "text": [f"{r.title}\n\n{r.summary}"]})).embedding[0]
+        assert np.allclose(r.embedding, want, atol=1e-6)
+
+
 def test_model_errors(spark):
     df = spark.range(7)
 
