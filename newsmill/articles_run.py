@@ -1,7 +1,7 @@
 """The daily run: fetched rows against the article and scored-URL tables; returns the new snapshots.
 
-Steps: unknown URLs, living hosts, semantic duplicates of recent articles, scoring and threshold, insertion, titles, content,
-summaries and categories and kinds, embeddings. Model steps use the rule stand-ins unless columns are given. Stories are compared by
+Steps: unknown URLs, living hosts, semantic duplicates of recent articles, scoring and threshold, insertion with ids, titles, content,
+summaries and categories and kinds, embeddings. Model steps use the rule stand-ins unless functions are given. Stories are compared by
 the embeddings of their titles; a fetched URL that tells a story of a recent article is neither scored nor inserted.
 """
 
@@ -9,16 +9,25 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import models
 from .functions import dates, text, urls
 from .operators import state, steps
+from .shared import stored
 
 STORY_DAYS, STORY_SIMILARITY = 14, 0.9
 
 
+def counted(df: DataFrame, name: str, counters: dict | None) -> DataFrame:
+    """``df``, whose rows are counted into ``counters[name]`` by whatever action reads it first: ``counters[name].get["rows"]``."""
+    if counters is None:
+        return df
+    counters[name] = Observation(name)
+    return df.observe(counters[name], F.count(F.lit(1)).alias("rows"))
+
+
 def run(
     fetched: DataFrame,
     articles: DataFrame,
@@ -29,49 +38,58 @@ def run(
     score=models.rule_score,
     threshold: int = steps.THRESHOLD,
     embed=models.hashed_embedding,
+    improve=None,
+    summarize=models.rule_summary,
+    categorize=models.rule_categories,
+    kind_of=models.rule_kind,
+    counters: dict | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(new articles, scored URLs after the run). ``fetched`` has FETCHED's columns and pos; ``pages`` (url, content) are fetched texts;
-    ``dead`` (host) are names that don't resolve. A second run on the results inserts nothing."""
-    rows = state.fresh(fetched, articles, scored)
+    ``dead`` (host) are names that don't resolve. Model steps are functions of columns: ``score`` (title, content), ``improve`` (title:
+    the title rewritten, null to leave it), ``summarize``, ``categorize`` and ``kind_of`` (content). New articles get the ids after the
+    largest one of ``articles``, in the order of their URLs. A second run on the results inserts nothing."""
+    rows = counted(state.fresh(counted(fetched, "fetched", counters), articles, scored), "unknown", counters)
     if dead is not None:
-        rows = steps.dead_hosts(rows, dead)
+        rows = counted(steps.dead_hosts(rows, dead), "alive", counters)
     rows = without_known_stories(rows, recent(articles, as_of), embed)
     verdict = F.coalesce(score(F.col("title"), F.coalesce("content", F.lit(""))), F.lit(0))
     judged = rows.withColumn("score", F.when(F.col("source") == steps.BONUS_SOURCE, F.least(verdict + steps.BONUS, F.lit(steps.BEST))).otherwise(verdict))
-    kept = state.argmax(judged.where(F.col("score") >= threshold), "url", "score", "pos")
+    kept = counted(state.argmax(judged.where(F.col("score") >= threshold), "url", "score", "pos"), "kept", counters)
     made = kept.select(
         "url",
         text.sanitize(F.col("title")).alias("title"),
         "source",
         "source_type",
         dates.parse(F.col("published_date")).cast("timestamp").alias("published_at"),
-        "score",
+        F.col("score").cast("int").alias("score"),
         F.coalesce("content", F.lit("")).alias("content"),
-        "pos",
     )
+    made = state.next_ids(articles, stored(made, "kept"), "id", "url")  # the insertion; what follows doesn't score again
     if pages is not None:
         made = steps.fill_content(made, pages)
     else:
         made = made.withColumn("full_content", F.when(F.col("source_type").isin(*steps.OWN_CONTENT), F.col("content")).otherwise(F.lit("")))
+    better = improve(F.col("title")) if improve else F.lit(None).cast("string")
+    made = made.withColumn("title", text.accept_title(F.coalesce(better, F.lit("")), F.col("title"), F.col("source")))
     full = F.col("full_content")
     prompt = F.substring(full, 1, steps.PROMPT_CONTENT)
     has = full != ""
     done = made.select(
+        "id",
         "url",
-        text.accept_title(F.col("title"), F.col("title"), F.col("source")).alias("title"),
+        "title",
         "source",
         "source_type",
         "published_at",
-        F.col("score").cast("int").alias("score"),
-        F.when(has, models.rule_summary(prompt)).otherwise("").alias("summary"),
-        models.rule_categories(F.when(has, prompt).otherwise(F.col("title"))).alias("categories"),
-        F.when(has, urls.resolve_kind(F.col("url"), models.rule_kind(prompt), full)).otherwise(F.coalesce(urls.kind_from_url(F.col("url")), models.rule_kind(F.col("title")))).alias("kind"),
+        "score",
+        F.when(has, text.sanitize(F.coalesce(summarize(prompt), F.lit("")))).otherwise("").alias("summary"),
+        text.lowered(categorize(F.when(has, prompt).otherwise(F.col("title")))).alias("categories"),
+        F.when(has, urls.resolve_kind(F.col("url"), kind_of(prompt), full)).otherwise(F.coalesce(urls.kind_from_url(F.col("url")), F.lower(kind_of(F.col("title"))))).alias("kind"),
         F.when(has, full).otherwise(F.col("content")).alias("content"),
         F.lit(as_of).cast("timestamp").alias("created_at"),
     )
-    done = done.withColumn("id", F.xxhash64("title", "summary"))
     vecs = embedded(steps.embedding_inputs(done), embed)
-    return done.join(vecs, "id", "left").drop("id"), state.upsert_keys(scored, rows, "url")
+    return done.join(vecs, "id", "left"), state.upsert_keys(scored, rows, "url")
 
 
 def embedded(texts: DataFrame, embed) -> DataFrame:

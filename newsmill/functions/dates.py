@@ -12,12 +12,28 @@ DEFAULT_DAYS = 30
 PRESET_DAYS = {"3d": 3, "1w": 7, "1m": 30}
 
 
+# The zone names of mail dates, in minutes from UTC, and the months.
+ZONES = {"AST": -240, "ADT": -180, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420}
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_MAIL = r"^\s*(?:[A-Za-z]+\.?,?\s+)?(\d{1,2})[\s-]+([A-Za-z]{3,9})\.?[\s-]+(\d{4}|\d{2})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s+(\S+).*)?$"
+
+
 def parse(c: Column) -> Column:
-    """RFC 2822 first, else ISO 8601, else null; without a zone it is UTC. The week day is dropped, since Spark's parser refuses it."""
-    s = F.regexp_replace(F.trim(c), r"^[A-Za-z]{3},\s*", "")
-    s = F.regexp_replace(s, r"\s(?:GMT|UT|UTC|Z|-0000)$", " +0000")
-    tries = [F.try_to_timestamp(s, F.lit(f"{d} MMM yyyy HH:mm{sec}{zone}")) for d in ("d", "dd") for sec in (":ss", "") for zone in (" xx", "")]
-    return F.coalesce(*tries, iso(c))
+    """RFC 2822 first (also with month names in full, years of two digits, zone names), else ISO 8601, else null; without a zone, or with
+    one that is unknown, it is UTC."""
+    part = lambda i: F.regexp_extract(c, _MAIL, i)
+    number = lambda i: part(i).try_cast("int")
+    names = F.array(*[F.lit(m) for m in MONTHS])
+    named = F.lower(part(2))
+    month = F.array_position(F.transform(names, lambda m: (m == named) | (F.substring(m, 1, 3) == named)), True).cast("int")
+    year = number(3) + F.when(F.length(part(3)) > 2, 0).when(number(3) > 68, 1900).otherwise(2000)
+    zone = F.upper(F.coalesce(part(7), F.lit("")))
+    offset = (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int")) * F.when(zone.startswith("-"), -1).otherwise(1)
+    zones = F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv])
+    minutes = F.when(zone.rlike(r"^[+-]\d{4}$"), offset).otherwise(F.coalesce(F.try_element_at(zones, zone), F.lit(0)))
+    second = F.coalesce(number(6), F.lit(0)).cast("decimal(16,6)")
+    local = F.try_make_timestamp(year, month, number(1), number(4), number(5), second, F.lit("UTC"))
+    return F.coalesce(F.when((month > 0) & (second < 60), local - F.make_dt_interval(mins=minutes)), iso(c))
 
 
 def iso(c: Column) -> Column:

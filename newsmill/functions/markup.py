@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from . import urls
 from .text import strip, unescape, whitespace_norm
 
+# What links, bold texts, list entries and sections look like, limits of the recap extraction, the order of link classes.
 LINK = r'<a[^>]+href="([^"]+)"[^>]*>([\s\S]*?)</a>'
 POST_LINK = r'<a[^>]+href="(https?://(?:www\.)?reddit\.com/r/[^"]+/comments/[^"]+)"[^>]*>([\s\S]*?)</a>'
-# Limits of the recap extraction and the order of link classes.
+BOLD, ENTRY = r"<strong[^>]*>([\s\S]*?)</strong>", r"<li>([\s\S]*?)</li>"
+CDATA = r"^<!\[CDATA\[([\s\S]*)\]\]>$"
 CONTENT_LENGTH, BODY_LENGTH, TITLE_LENGTH = 1400, 120, 10
 PRIORITY = ("github", "huggingface", "arxiv", "blog", "reddit", "tweet")
 
@@ -22,14 +24,13 @@ def strip_tags(c: Column) -> Column:
 
 
 def first_bold(c: Column) -> Column:
-    return strip_tags(F.regexp_extract(c, r"<strong[^>]*>([\s\S]*?)</strong>", 1))
+    return strip_tags(F.regexp_extract(c, BOLD, 1))
 
 
 def pick_tag(c: Column, tag: str) -> Column:
     """The body of the first such tag without attributes; unwrapped if it is one CDATA section; empty if there is none."""
     body = F.coalesce(F.regexp_extract(c, rf"<{re.escape(tag)}>([\s\S]*?)</{re.escape(tag)}>", 1), F.lit(""))
-    cdata = r"^<!\[CDATA\[([\s\S]*)\]\]>$"
-    return F.when(body.rlike(cdata), F.regexp_extract(body, cdata, 1)).otherwise(body)
+    return F.when(body.rlike(CDATA), F.regexp_extract(body, CDATA, 1)).otherwise(body)
 
 
 def feed_items(xml: Column) -> Column:
@@ -66,7 +67,7 @@ def slice_section(c: Column, heading: str) -> Column:
 
 
 def bullets(c: Column, n: int = 3) -> Column:
-    found = F.regexp_extract_all(c, F.lit(r"<li>([\s\S]*?)</li>"), F.lit(1))
+    found = F.regexp_extract_all(c, F.lit(ENTRY), F.lit(1))
     return F.array_join(F.transform(F.slice(found, 1, n), strip_tags), " ")
 
 
@@ -82,8 +83,7 @@ def post_recap(c: Column) -> Column:
 def thread_segments(c: Column) -> Column:
     """The threads section cut at its thread links; a segment ends at the next such link or at a heading inside it."""
     region = slice_section(c, "AI Reddit Recap")
-    at = POST_LINK.replace("([", "(?:[").replace('"(https', '"(?:https').replace('[^"]+)"', '[^"]+)"')
-    parts = F.split(region, f"(?={at})", -1)
+    parts = F.split(region, f"(?={POST_LINK})", -1)  # groups don't matter in a split
     mine = F.filter(parts, lambda p: p.rlike(f"^{POST_LINK}"))
     cut = rf"(?is)^({POST_LINK}.*?)(?=<h[123][^>]*>|\z)"
     return F.transform(mine, lambda p: F.regexp_extract(p, cut, 1))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import html
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +28,9 @@ BLOCKERS = (
     r"(?i)403\s+forbidden",
 )
 BLOCKER_LENGTH = 50
+PLAIN = (
+    ("[‘’‚]", "'"), ("[“”„]", '"'), ("→", "->"), ("←", "<-"), ("↔", "<->"), ("[–—]", "-"), ("…", "..."), ("[•‣◦▪▫]", "-"),
+)
 QUIET_ISSUE = r"(?i)^not much happened"
 QUOTE_PAIRS = (('"', '"'), ("'", "'"), ("“", "”"), ("‘", "’"))
 
@@ -61,8 +61,8 @@ def strip_wrappers(c: Column) -> Column:
     return F.when((F.length(s) >= 2) & quoted, inner).otherwise(s)
 
 
-def _pictographs() -> str:
-    """A Java character class of what carries the emoji-presentation or pictographic property, taken from the regex library's tables
+def _pictographs() -> list[list[int]]:
+    """Ranges of the characters that carry the emoji-presentation or pictographic property, taken from the regex library's tables
     on the driver, since Java 17's engine doesn't know the properties."""
     import regex
 
@@ -74,23 +74,39 @@ def _pictographs() -> str:
                 ranges[-1][1] = cp
             else:
                 ranges.append([cp, cp])
+    return ranges
+
+
+def _class(ranges) -> str:
     return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{z:X}}}" for a, z in ranges) + "]"
 
 
 _EMOJI: list[str] = []
 
 
-def sanitize(c: Column) -> Column:
-    """ASCII quotes, arrows, dashes, dots and bullets; no emoji; single blanks; stripped. Bullets go before emoji, which would take them."""
+def _emoji() -> str:
+    """A pictograph, or several joined; a few coarse ranges in front, since a class of many ranges is slow at every letter."""
     if not _EMOJI:
-        p = _pictographs()
-        _EMOJI.append(f"{p}\\x{{FE0F}}?(?:\\x{{200D}}{p}\\x{{FE0F}}?)*")
-    for pattern, new in (
-        ("[‘’‚]", "'"), ("[“”„]", '"'), ("→", "->"), ("←", "<-"), ("↔", "<->"),
-        ("[–—]", "-"), ("…", "..."), ("[•‣◦▪▫]", "-"), (_EMOJI[0], ""), (" {2,}", " "),
-    ):
-        c = F.regexp_replace(c, pattern, new)
-    return strip(c)
+        fine = _pictographs()
+        coarse: list[list[int]] = []
+        for a, z in fine:
+            if coarse and a - coarse[-1][1] < 0x400:
+                coarse[-1][1] = z
+            else:
+                coarse.append([a, z])
+        p = _class(fine)
+        _EMOJI.append(f"(?={_class(coarse)}){p}\\x{{FE0F}}?(?:\\x{{200D}}{p}\\x{{FE0F}}?)*")
+    return _EMOJI[0]
+
+
+def sanitize(c: Column) -> Column:
+    """ASCII quotes, arrows, dashes, dots and bullets; no emoji; single blanks; stripped. Bullets go before emoji, which would take them.
+    Texts of ASCII characters alone skip all but the blanks."""
+    plain = c
+    for pattern, new in (*PLAIN, (_emoji(), "")):
+        plain = F.regexp_replace(plain, pattern, new)
+    c = F.when(F.octet_length(c) > F.length(c), plain).otherwise(c)
+    return strip(F.regexp_replace(c, " {2,}", " "))
 
 
 def keyword_match(c: Column) -> Column:
@@ -101,7 +117,7 @@ def is_blocker(c: Column) -> Column:
     """Text too short to be an article, or a wall in front of one."""
     out = F.length(c) < BLOCKER_LENGTH
     for p in BLOCKERS:
-        out = out | c.rlike(p)
+        out = out | c.rlike(p.replace("(?i", "(?iU", 1))  # white space is Unicode's
     return out
 
 
@@ -141,10 +157,44 @@ def lowered(c: Column) -> Column:
     return F.transform(c, lambda x: F.lower(x))
 
 
+# The entities that are decoded, and what numbers below 160 mean that name no character of their own.
+ENTITIES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\xa0", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•",
+    "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "sbquo": "‚", "ldquo": "“", "rdquo": "”", "bdquo": "„", "laquo": "«",
+    "raquo": "»", "lsaquo": "‹", "rsaquo": "›", "larr": "←", "rarr": "→", "harr": "↔", "times": "×", "divide": "÷", "plusmn": "±", "deg": "°",
+    "sect": "§", "para": "¶", "euro": "€", "pound": "£", "yen": "¥", "cent": "¢", "iexcl": "¡", "iquest": "¿", "szlig": "ß", "agrave": "à",
+    "aacute": "á", "acirc": "â", "atilde": "ã", "auml": "ä", "aring": "å", "aelig": "æ", "ccedil": "ç", "egrave": "è", "eacute": "é", "ecirc": "ê",
+    "euml": "ë", "igrave": "ì", "iacute": "í", "icirc": "î", "iuml": "ï", "ntilde": "ñ", "ograve": "ò", "oacute": "ó", "ocirc": "ô", "otilde": "õ",
+    "ouml": "ö", "oslash": "ø", "ugrave": "ù", "uacute": "ú", "ucirc": "û", "uuml": "ü", "Agrave": "À", "Aacute": "Á", "Auml": "Ä", "Aring": "Å",
+    "AElig": "Æ", "Ccedil": "Ç", "Egrave": "È", "Eacute": "É", "Ntilde": "Ñ", "Ouml": "Ö", "Oslash": "Ø", "Uuml": "Ü", "OElig": "Œ", "oelig": "œ",
+}
+CP1252 = {128: "€", 130: "‚", 133: "…", 139: "‹", 145: "‘", 146: "’", 147: "“", 148: "”", 149: "•", 150: "–", 151: "—", 153: "™", 155: "›", 159: "Ÿ"}
+
+
 def unescape(c: Column) -> Column:
-    """HTML entities decoded; there is no built-in, so a vectorised UDF does it, and only where there is an ampersand."""
-    @F.pandas_udf("string")
-    def decode(s: pd.Series) -> pd.Series:
-        return s.map(html.unescape, na_action="ignore")
+    """HTML entities decoded in one pass, so that ``&amp;lt;`` becomes ``&lt;``: those of ENTITIES, and numbers in decimal and hexadecimal
+    form; what names no character becomes U+FFFD. Other names stay as they are."""
+    names = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
+    old = F.create_map(*[F.lit(x) for kv in CP1252.items() for x in kv])
+    pattern = rf"&(?:#[0-9]{{1,7}};|#[xX][0-9a-fA-F]{{1,6}};|(?:{'|'.join(ENTITIES)});)"
+
+    def one(x: Column) -> Column:
+        body = F.regexp_extract(x, "^&#?([^;]*);$", 1)
+        number = F.when(body.rlike("^[xX]"), F.conv(F.substring(body, 2, 6), 16, 10)).otherwise(body).try_cast("int")
+        bad = (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        return F.when(x.startswith("&#"), F.when(bad, "\ufffd").otherwise(F.coalesce(F.try_element_at(old, number), char))).otherwise(F.try_element_at(names, body))
+
+    pieces = F.split(c, pattern, -1)
+    found = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), one)
+    joined = F.array_join(F.transform(F.arrays_zip(pieces.alias("p"), found.alias("f")), lambda z: F.concat(z["p"], F.coalesce(z["f"], F.lit("")))), "")
+    return F.when(c.contains("&"), joined).otherwise(c)
+
+
+def json_list(c: Column) -> Column:
+    """A list of texts from its JSON form; null where it is none."""
+    return F.from_json(c, "array<string>")
+
 
-    return F.when(c.contains("&"), decode(c)).otherwise(c)
+def list_json(c: Column) -> Column:
+    return F.to_json(c)

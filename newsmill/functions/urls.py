@@ -65,9 +65,10 @@ def is_junk(url: Column, h: Column) -> Column:
 
 
 def skip_domain(url: Column) -> Column:
-    """Hosts whose pages aren't fetched: post hosts and what is below them."""
+    """Hosts whose pages aren't fetched: post hosts and what is below them; and addresses with a single bracket, which don't parse."""
     h = hostname(url)
-    out = F.lit(False)
+    place = F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
+    out = place.contains("[") != place.contains("]")
     for d in POST_HOSTS:
         out = out | (h == d) | h.endswith("." + d)
     return out

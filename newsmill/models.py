@@ -33,6 +33,24 @@ class Model(Protocol):
     def embed(self, rows: pd.DataFrame) -> pd.DataFrame:  # id, text -> id, embedding
         ...
 
+    def same_story(self, rows: pd.DataFrame) -> pd.DataFrame:  # url, title, known_url, known_title -> url, known_url of equal stories
+        ...
+
+    def classify_profiles(self, rows: pd.DataFrame) -> pd.DataFrame:  # handle, bio -> handle, verdict
+        ...
+
+    def extract_links(self, rows: pd.DataFrame) -> pd.DataFrame:  # id, html -> id, links
+        ...
+
+    def extract_products(self, rows: pd.DataFrame) -> pd.DataFrame:  # id, text -> id, products
+        ...
+
+    def select_products(self, rows: pd.DataFrame) -> pd.DataFrame:  # id, products -> id, numbers
+        ...
+
+    def select_link(self, rows: pd.DataFrame) -> pd.DataFrame:  # id, name, description, candidates -> id, number
+        ...
+
 
 def apply(df: DataFrame, call: Callable[[pd.DataFrame], pd.DataFrame], schema: str, chunk: int = 5, on_error: str = "raise") -> DataFrame:
     """``call`` on chunks of ``chunk`` rows. on_error: "raise"; or "keep", which gives the chunk's rows an ``error`` and nulls elsewhere

@@ -57,11 +57,34 @@ def search(articles: DataFrame, query: list[float], limit: int = 20) -> DataFram
     return found.select(*schema.PUBLIC, vectors.cosine_distance(F.col("embedding"), q).alias("distance")).orderBy("distance", "id").limit(check_limit(limit))
 
 
-def search_batch(vectors_: DataFrame, queries: DataFrame, k: int, query_rows: int = 2048, vector_rows: int = 16384) -> DataFrame:
+def browse(articles: DataFrame, as_of: datetime, search_text: str | None = None, embed=None, limit: int = 20, **filters) -> DataFrame:
+    """What a reader's list shows: with a search text the search alone, whatever the filters say; else the feed."""
+    if search_text:
+        vector = embed(pd.DataFrame({"id": [0], "text": [search_text]})).embedding.iloc[0]
+        return search(articles, list(vector), limit)
+    return feed(articles, as_of, limit, **filters)
+
+
+def found_count(found: DataFrame) -> DataFrame:
+    """A search counts the rows it returns."""
+    return found.agg(F.count("*").alias("count"))
+
+
+def lookup(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows with one of ``keys``: one join, whatever their number."""
+    return df.join(keys.select(key).distinct(), key, "left_semi")
+
+
+def first_where(df: DataFrame, column: str, value, order: str) -> DataFrame:
+    """The first row with a value, or none."""
+    return df.where(F.col(column) == F.lit(value)).orderBy(order).limit(1)
+
+
+def search_batch(vectors_: DataFrame, queries: DataFrame, k: int, query_rows: int = 2048, vector_rows: int = 16384, digits: int | None = None) -> DataFrame:
     """query_id, id, distance, rank: the k nearest of ``vectors_`` (id, embedding) for each of ``queries`` (query_id, embedding), exactly.
 
     Queries and vectors are dealt into blocks of bounded size, and a pair of blocks is a task that multiplies two matrices and
-    returns each query's k best of the block. Zero vectors have distance NaN, which sorts last; null vectors are left out.
+    returns each query's k best of the block, by distance (rounded to ``digits`` if given) and then id. Zero vectors have distance NaN, which sorts last; null vectors are left out.
     """
     size = lambda df, rows: max(1, -(-df.count() // rows))
     n_q, n_v = size(queries, query_rows), size(vectors_, vector_rows)
@@ -76,6 +99,7 @@ def search_batch(vectors_: DataFrame, queries: DataFrame, k: int, query_rows: in
         x, y = (np.stack(t.embedding.to_numpy()).astype(float) for t in (a, b))
         with np.errstate(divide="ignore", invalid="ignore"):
             d = 1 - (x @ y.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(y, axis=1)
+        d = d if digits is None else np.round(d, digits) + 0.0  # no negative zero
         ids, rows = b.id.to_numpy(), []
         order = np.argsort(ids, kind="stable")
         for i, query in enumerate(a.id):

@@ -8,6 +8,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import ranged
+
 
 def known_urls(articles: DataFrame, scored: DataFrame) -> DataFrame:
     return articles.select("url").union(scored.select("url")).distinct()
@@ -79,15 +81,31 @@ def add_if_absent(df: DataFrame, row: DataFrame, key: str) -> DataFrame:
     return df.unionByName(row.join(df.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
+def numbered(df: DataFrame, order: str, by: str | None = None, column: str = "number") -> DataFrame:
+    """Running numbers from 1 in ``order``, which is unique (within ``by`` if given).
+
+    Rows are range-sorted over partitions and stored; partitions are counted and each is numbered from its offset, so no task sees all
+    rows or all of a value of ``by``.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(F.col(by).alias("by")) if by else F.struct(F.lit(0).alias("by"))
+    rows = ranged(df.withColumn("_by", key), parts, ["_by", order], "_part", "numbered")
+    counts = rows.groupBy("_part", "_by").agg(F.count("*").alias("n"))  # a row per partition and value of ``by`` in it
+    earlier = Window.partitionBy("_by").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", "_by", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy("_part", "_by").orderBy(order))
+    return rows.withColumn("_place", place).join(offsets, ["_part", "_by"]).withColumn(column, F.col("_offset") + F.col("_place")).drop("_part", "_by", "_offset", "_place")
+
+
 def next_ids(df: DataFrame, rows: DataFrame, key: str, order: str) -> DataFrame:
-    """``rows`` numbered from the largest key on. Numbers are exact and without gaps: rows are counted per range of ``order`` and every
-    range is numbered from its offset, so no task sees all rows."""
-    start = df.agg(F.coalesce(F.max(key), F.lit(0)).alias("start"))
-    sliced = rows.withColumn("slice", F.pmod(F.xxhash64(order), F.lit(64)))
-    sizes = sliced.groupBy("slice").agg(F.count("*").alias("n"))
-    offsets = sizes.select("slice", F.coalesce(F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))  # 64 rows
-    number = F.row_number().over(Window.partitionBy("slice").orderBy(order))
-    return sliced.join(F.broadcast(offsets), "slice").crossJoin(F.broadcast(start)).withColumn(key, F.col("start") + F.col("offset") + number).drop("slice", "offset", "start")
+    """``rows`` numbered in ``order`` from the largest key of ``df`` on, without gaps."""
+    start = df.agg(F.coalesce(F.max(key), F.lit(0)).alias("_start"))  # one row
+    return numbered(rows, order, column=key).crossJoin(F.broadcast(start)).withColumn(key, F.col("_start") + F.col(key)).drop("_start")
+
+
+def with_uuid(df: DataFrame, column: str = "id") -> DataFrame:
+    """A random key for every row; store the result before it is used twice, since each evaluation draws anew."""
+    return df.withColumn(column, F.uuid())
 
 
 def pick(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -39,10 +39,19 @@ def passing(scored: DataFrame) -> DataFrame:
 
 
 def batches(df: DataFrame, order: str, size: int = BATCH, by: str | None = None) -> DataFrame:
-    """Batch numbers of ``size`` rows by position, within ``by`` if given."""
-    w = Window.partitionBy(*([by] if by else [])).orderBy(order)
-    pos = F.row_number().over(w)
-    return df.withColumn("pos", pos).withColumn("batch", F.floor((pos - 1) / size).cast("long"))
+    """Batch numbers of ``size`` rows by position (``order`` is unique), within ``by`` if given."""
+    rows = state.numbered(df, order, by, "pos")
+    return rows.withColumn("batch", F.floor((F.col("pos") - 1) / size).cast("long"))
+
+
+def ranked(scored: DataFrame, pos: str = "pos") -> DataFrame:
+    """By score, best first; rows of one score in order of arrival."""
+    return scored.orderBy(F.col("score").desc(), pos)
+
+
+def known_story_inputs(articles: DataFrame) -> DataFrame:
+    """What the comparison of stories is given of known articles; a missing address is written out as None."""
+    return articles.select(F.coalesce("url", F.lit("None")).alias("url"), "title", "source")
 
 
 def fill_content(articles: DataFrame, fetched: DataFrame) -> DataFrame:

@@ -15,31 +15,33 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, pages = read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages")
-    n_pages = pages.agg(F.count("*").alias("n_pages"))
+def articles(spark: SparkSession, sf_dir: str, url: bool = True, embedding: bool = False) -> DataFrame:
+    """The view, with the columns that cost a join only where they are asked for."""
+    docs = read(spark, sf_dir, "documents")
     i = F.col("doc_id")
     names = lambda c, *xs: F.get(F.array(*[F.lit(x) for x in xs]), c.cast("int"))
     lists = [("models",), ("dev",), ("research",), ("models", "dev"), ("dev", "research"), ("models", "research")]
     categories = F.get(F.array(*[F.array(*[F.lit(x) for x in xs]) for xs in lists]), (i % 6).cast("int"))
-    d = docs.crossJoin(F.broadcast(n_pages)).withColumn("page_id", i % F.col("n_pages"))
-    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    d = docs
+    if url:
+        pages = read(spark, sf_dir, "pages")
+        d = d.crossJoin(F.broadcast(pages.agg(F.count("*").alias("n_pages")))).withColumn("page_id", i % F.col("n_pages")).join(pages.select("page_id", "url"), "page_id", "left")
+    if embedding:
+        d = d.join(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
     return (
-        d.join(pages.select("page_id", "url"), "page_id", "left")
-        .join(e, "doc_id", "left")
-        .select(
+        d.select(
             i.alias("id"),
             F.translate(F.substring("text", 1, 60), "\n", " ").alias("title"),
             "source",
             names(i % 3, "aiNews", "rss", "hackerNews").alias("source_type"),
-            "url",
+            *(["url"] if url else []),
             F.when(i % 23 != 0, F.lit(AS_OF).cast("timestamp_ntz") - F.make_dt_interval(hours=(i * 2 % 1000).cast("int"))).alias("published_at"),
             F.when(i % 17 != 0, (i * 37 % 100 + 1).cast("int")).alias("score"),
             F.concat(F.lit("about "), F.substring("text", 1, 20)).alias("summary"),
             F.when(i % 29 != 0, categories).alias("categories"),
             names(i % 6, "repo", "paper", "model", "blog", "product", "announcement").alias("kind"),
             F.col("text").alias("content"),
-            "embedding",
+            *(["embedding"] if embedding else []),
             (F.lit(CREATED).cast("timestamp_ntz") + F.make_dt_interval(mins=i.cast("int"))).alias("created_at"),
         )
     )

@@ -33,6 +33,9 @@ def one(spark, column):
         (urls.repo_from_text, "code: http://github.com/a/b.", "https://github.com/a/b."),
         (urls.skip_domain, "https://mobile.x.com/a", True),
         (urls.skip_domain, "https://netflix.com/a", False),
+        (urls.skip_domain, "https://[bad/a", True),
+        (text.sanitize, "plain  text ", "plain text"),
+        (text.sanitize, "a👩‍🚀b©™ c", "ab c"),
         (urls.hostname, "HTTPS://user:p@Foo.com:8080/x", "foo.com"),
         (urls.strip_utm, "https://a.b/c?utm_source=x&y=1#z", "https://a.b/c?y=1#z"),
         (urls.strip_utm, "https://a.b/c?utm_source=x", "https://a.b/c"),
@@ -44,6 +47,17 @@ def test_golden(spark, f, given, want):
     assert one(spark, f(F.lit(given).cast("string"))) == want
 
 
+def test_unescape(spark):
+    import html
+    import random
+
+    r = random.Random(1)
+    parts = ["&amp;", "&lt;", "&", "amp;", "&#8217;", "&#x1F600;", "&#150;", "&#0;", "&#55555;", "&eacute;", "x", "é", "&nbsp;", ";", "&#9999999;", "&#38;lt;", "&#X41;", "&quot;"]
+    rows = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(1000)]
+    got = spark.createDataFrame([(x,) for x in rows], "c string").select("c", text.unescape(F.col("c")).alias("u")).collect()
+    assert all(x.u == html.unescape(x.c) for x in got)
+
+
 @pytest.mark.parametrize(
     "title, hit",
     [("AI-powered editor", True), ("GPT-4 notes", True), ("Token bucket", True), ("A fine-tuning guide", False), ("artificial intelligence", False), ("Transformers explained", False), ("Email tips", False)],
@@ -71,6 +85,7 @@ def test_blockers(spark):
     assert one(spark, text.is_blocker(F.lit("clean prose " * 4)))
     assert not one(spark, text.is_blocker(F.lit("clean prose " * 5)))
     assert one(spark, text.is_blocker(F.lit("clean prose " * 5 + "Please log in")))
+    assert one(spark, text.is_blocker(F.lit("clean prose " * 5 + "access\xa0denied")))
 
 
 @pytest.mark.parametrize(
@@ -80,6 +95,11 @@ def test_blockers(spark):
         ("29 Jun 2026 10:00:00 +0200", datetime(2026, 6, 29, 8)),
         ("2026-06-29T10:00:00Z", datetime(2026, 6, 29, 10)),
         ("2026-06-29", datetime(2026, 6, 29)),
+        ("29 June 2026 10:00 EST", datetime(2026, 6, 29, 15)),
+        ("Mon, 29 Jun 26 10:00:05 PDT", datetime(2026, 6, 29, 17, 0, 5)),
+        ("1 Jan 70 00:00:00 +0530", datetime(1969, 12, 31, 18, 30)),
+        ("Mon, 29 Jun 2026 10:00:00 XYZ", datetime(2026, 6, 29, 10)),
+        ("31 Feb 2026 10:00:00 GMT", None),
         ("garbage", None),
         ("2026", None),
         (None, None),

@@ -102,3 +102,58 @@ def test_windowed_counts_batch(spark):
 
     e = spark.createDataFrame([(datetime(2026, 1, 1, 0, 5), "a"), (datetime(2026, 1, 1, 0, 55), "a"), (datetime(2026, 1, 1, 1), "a")], "ts timestamp, k string")
     assert sorted(r.n for r in windowed_counts(e, "ts", "k").select(F.col("n")).collect()) == [1, 2]
+
+
+def test_append_import_and_reload(spark, tmp_path):
+    import json
+
+    from newsmill.sources import sinks
+
+    rows = [
+        {"id": 7, "title": "T", "source": "s", "source_type": "rss", "url": "u7", "published_at": "2026-06-29T10:00:00Z", "score": 5, "summary": "S", "categories": ["dev"], "kind": "blog", "content": "c", "created_at": "bad"},
+        {"id": 3, "title": "U", "source": "s", "source_type": "rss", "url": None, "score": None, "summary": "x"},
+    ]
+    (tmp_path / "export.json").write_text(json.dumps(rows))
+    path = str(tmp_path / "articles")
+    sinks.import_export(spark, str(tmp_path / "export.json"), path)
+    sinks.import_export(spark, str(tmp_path / "export.json"), path)
+    got = spark.read.parquet(path).orderBy("id").collect()
+    assert [(r.id, r.export_id) for r in got] == [(1, 3), (2, 7), (3, 3), (4, 7)]
+    assert [r.embedding is None for r in got] == [True, False] * 2 and len(got[1].embedding) == 256
+    assert (got[0].content, got[0].categories, got[1].created_at) == ("", [], None) and got[1].published_at == datetime(2026, 6, 29, 10)
+    sinks.reload(path, spark.range(2))
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_sample_articles(spark):
+    from newsmill.sources import sinks
+
+    at = datetime(2026, 6, 29)
+    rows = sinks.sample_articles(spark, at, seed=4).collect()
+    assert rows == sinks.sample_articles(spark, at, seed=4).collect() != sinks.sample_articles(spark, at, seed=5).collect()
+    ages = [(at - r.published_at).total_seconds() / 86400 for r in rows]
+    assert all(0 <= a <= 7 for a in ages[:40]) and all(7 <= a <= 30 for a in ages[40:48]) and all(31 <= a <= 40 for a in ages[48:])
+    assert all(1 <= r.score <= 10 and 1 <= len(set(r.categories)) == len(r.categories) <= 2 for r in rows)
+    assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-4 and len(r.embedding) == 256 for r in rows)
+    assert len({r.kind for r in rows}) == 6 and len({r.source for r in rows}) == 5
+
+
+def test_fetch_pages(spark):
+    import io
+
+    from newsmill.sources import pages
+
+    class Answer(io.BytesIO):
+        status = 200
+        headers = {"Content-Type": "text/html"}
+
+    def opener(url, timeout):
+        if "bad" in url:
+            raise OSError("no route")
+        return Answer(f"<p>{url}</p>".encode())
+
+    wanted = spark.createDataFrame([("https://a.b/1",), ("https://a.b/1",), ("https://bad.b/",), ("https://x.com/p",), ("https://[bad",)], "url string")
+    got = {r.url: (r.status, r.body, r.error) for r in pages.fetch_pages(wanted, opener=opener).collect()}
+    assert got == {"https://a.b/1": (200, "<p>https://a.b/1</p>", None), "https://bad.b/": (None, None, "no route")}
+    html = {r.url: r.html for r in pages.html_of(wanted, pages.fetch_pages(wanted, opener=opener)).collect()}
+    assert html == {"https://a.b/1": "<p>https://a.b/1</p>", "https://bad.b/": "", "https://x.com/p": "", "https://[bad": ""}

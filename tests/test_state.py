@@ -116,3 +116,37 @@ def test_hashed_embedding():
 
     e = models.hashed_embedding(pd.DataFrame({"id": [1, 2], "text": ["a b", None]}))
     assert len(e.embedding[0]) == 256 and sum(x * x for x in e.embedding[0]) == pytest.approx(1) and set(e.embedding[1]) == {0.0}
+
+
+def test_numbers_follow_the_order(spark):
+    rows = spark.createDataFrame([(f"k{i * 37 % 101:03}", None if i % 5 == 0 else f"b{i % 3}", "x", i) for i in range(101)], "name string, by string, part string, n int").repartition(5)
+    got = sorted((r.number, r.name) for r in state.numbered(rows, "name").collect())
+    assert got == list(enumerate(sorted(f"k{i:03}" for i in range(101)), 1))
+    within = {}
+    for r in state.numbered(rows, "name", "by").collect():
+        within.setdefault(r.by, []).append((r.number, r.name))
+    assert set(within) == {None, "b0", "b1", "b2"}
+    for found in within.values():
+        assert [n for n, _ in sorted(found)] == list(range(1, len(found) + 1)) and [x for _, x in sorted(found)] == sorted(x for _, x in found)
+    assert state.numbered(rows.limit(0), "name").count() == 0
+    ids = state.next_ids(spark.createDataFrame([], "id long"), rows.select("name"), "id", "name").collect()
+    assert sorted(r.id for r in ids) == list(range(1, 102))
+    assert state.with_uuid(rows).select("id").distinct().count() == 101
+
+
+def test_run_counts_its_steps(spark):
+    rows = [(f"title {i} of a story", f"https://h{i % 4}.x/{i}", "word " * (400 if i % 2 else 2), "2026-06-29T00:00:00Z", "zz", "rss", i) for i in range(20)]
+    fetched = spark.createDataFrame(rows, schema.FETCHED + ", pos int")
+    known = spark.createDataFrame([(9, "t", "https://h1.x/1", None)], "id long, title string, url string, published_at timestamp")
+    dead = spark.createDataFrame([("h3.x",)], "host string")
+    counters = {}
+    new, _ = articles_run.run(fetched, known, spark.createDataFrame([], "url string"), datetime(2026, 6, 29), dead, improve=lambda t: F.upper(t), counters=counters)
+    got = new.orderBy("id").collect()
+    assert {k: c.get["rows"] for k, c in counters.items()} == {"fetched": 20, "unknown": 19, "alive": 14, "kept": 4}
+    assert [r.id for r in got] == [10, 11, 12, 13] and [r.url for r in got] == sorted(r.url for r in got)
+    assert all(r.title == r.title.upper() for r in got)
+
+
+def test_ranked(spark):
+    rows = spark.createDataFrame([(1, 5, 3), (2, 9, 2), (3, 5, 1)], "id int, score int, pos int")
+    assert [r.id for r in steps.ranked(rows).collect()] == [2, 3, 1]
