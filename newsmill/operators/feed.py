@@ -80,34 +80,60 @@ def first_where(df: DataFrame, column: str, value, order: str) -> DataFrame:
     return df.where(F.col(column) == F.lit(value)).orderBy(order).limit(1)
 
 
+def _nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, digits: int | None) -> pd.DataFrame:
+    """query_id, id, distance: the k nearest rows of ``x`` for each query; NaN last, ties by id."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        d = 1 - (queries @ x.T) / np.linalg.norm(queries, axis=1)[:, None] / np.linalg.norm(x, axis=1)
+    d = d if digits is None else np.round(d, digits) + 0.0  # no negative zero
+    order = np.argsort(ids, kind="stable")
+    best = order[np.argsort(d[:, order], axis=1, kind="stable")[:, :k]]
+    return pd.DataFrame({"query_id": np.repeat(query_ids, best.shape[1]), "id": ids[best].ravel(), "distance": np.take_along_axis(d, best, 1).ravel()})
+
+
+def _matrix(embeddings: pd.Series) -> np.ndarray:
+    return np.stack(embeddings.to_numpy()).astype(float)
+
+
 def search_batch(vectors_: DataFrame, queries: DataFrame, k: int, query_rows: int = 2048, vector_rows: int = 16384, digits: int | None = None) -> DataFrame:
     """query_id, id, distance, rank: the k nearest of ``vectors_`` (id, embedding) for each of ``queries`` (query_id, embedding), exactly.
 
-    Queries and vectors are dealt into blocks of bounded size, and a pair of blocks is a task that multiplies two matrices and
-    returns each query's k best of the block, by distance (rounded to ``digits`` if given) and then id. Zero vectors have distance NaN, which sorts last; null vectors are left out.
+    Up to ``query_rows`` queries are sent to every task, which returns each query's k best of its rows: vectors aren't shuffled. More
+    queries and the vectors are dealt into blocks of bounded size, and a pair of blocks is a task that multiplies two matrices. Best is by
+    distance (rounded to ``digits`` if given) and then id. Zero vectors have distance NaN, which sorts last; null vectors are left out.
     """
-    size = lambda df, rows: max(1, -(-df.count() // rows))
-    n_q, n_v = size(queries, query_rows), size(vectors_, vector_rows)
-    # One schema for both sides: queries are sent to every vector block and vectors to every query block.
-    q = queries.where("embedding is not null").select(F.lit(True).alias("is_query"), F.col("query_id").alias("id"), "embedding", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_v - 1).cast("long"))).alias("vb"))
-    v = vectors_.where("embedding is not null").select(F.lit(False).alias("is_query"), "id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(n_v)).alias("vb"))
-
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.is_query], pdf[~pdf.is_query]
-        if a.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-        x, y = (np.stack(t.embedding.to_numpy()).astype(float) for t in (a, b))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            d = 1 - (x @ y.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(y, axis=1)
-        d = d if digits is None else np.round(d, digits) + 0.0  # no negative zero
-        ids, rows = b.id.to_numpy(), []
-        order = np.argsort(ids, kind="stable")
-        for i, query in enumerate(a.id):
-            best = order[np.argsort(d[i][order], kind="stable")[:k]]  # NaN last, ties by id
-            rows.append(pd.DataFrame({"query_id": query, "id": ids[best], "distance": d[i][best]}))
-        return pd.concat(rows)
-
-    found = q.unionByName(v).groupBy("qb", "vb").applyInPandas(nearest, "query_id long, id long, distance double")
+    given, rows = queries.where("embedding is not null").select("query_id", "embedding"), vectors_.where("embedding is not null").select("id", "embedding")
+    n = given.count()
+    out = "query_id long, id long, distance double"
+    if n <= query_rows:
+        few = given.orderBy("query_id").collect()  # query_rows at most
+        sent = vectors_.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in few], np.int64), np.array([r.embedding for r in few], float)))
+
+        def near(batches):
+            query_ids, q = sent.value
+            best = None
+            for b in batches:
+                if not len(query_ids) or b.empty:
+                    continue
+                new = _nearest(b.id.to_numpy(), _matrix(b.embedding), query_ids, q, k, digits)
+                best = new if best is None else pd.concat([best, new]).sort_values(["query_id", "distance", "id"]).groupby("query_id").head(k)
+            if best is not None:
+                yield best
+
+        found = rows.mapInPandas(near, out)
+    else:
+        n_q, n_v = -(-n // query_rows), max(1, -(-rows.count() // vector_rows))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        # One schema for both sides: queries are sent to every vector block and vectors to every query block.
+        q = given.select(F.lit(True).alias("is_query"), F.col("query_id").alias("id"), "embedding", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("qb"), every(n_v).alias("vb"))
+        v = rows.select(F.lit(False).alias("is_query"), "id", "embedding", every(n_q).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(n_v)).alias("vb"))
+
+        def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+            a, b = pdf[pdf.is_query], pdf[~pdf.is_query]
+            if a.empty or b.empty:
+                return pd.DataFrame({"query_id": [], "id": [], "distance": []})
+            return _nearest(b.id.to_numpy(), _matrix(b.embedding), a.id.to_numpy(), _matrix(a.embedding), k, digits)
+
+        found = q.unionByName(v).groupBy("qb", "vb").applyInPandas(nearest, out)
     best = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

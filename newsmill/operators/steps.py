@@ -78,29 +78,54 @@ def embedding_inputs(articles: DataFrame) -> DataFrame:
     return articles.select("id", text.embedding_text(F.col("title"), F.col("summary")).alias("text"))
 
 
+CENTRES = 256
+
+
 def near_vectors(vecs: DataFrame, least: float, rows: int = 4096) -> DataFrame:
-    """Pairs (a, b, similarity), a < b, of vectors (id, embedding) with a cosine of ``least`` or more.
+    """Pairs (a, b, similarity), a < b, of vectors (id, embedding) with a cosine of ``least`` or more, all of them.
 
-    Every vector meets every other once, in blocks: a pair of blocks is a task of bounded size that multiplies two matrices and
-    returns only pairs that pass. A block has about ``rows`` vectors.
+    Vectors are grouped round ``CENTRES`` of them (or fewer), and a group's radius is the widest angle to its centre. Two groups meet only
+    if the angle between their centres less both radii is within the angle that ``least`` allows, which loses no pair. A group is cut
+    into blocks of about ``rows`` vectors; a pair of blocks is a task of bounded size that multiplies two matrices and returns only pairs
+    that pass.
     """
-    blocks = max(1, -(-vecs.count() // rows))
-    unit = vecs.where(vectors.norm(F.col("embedding")) > 0).select("id", vectors.normalise(F.col("embedding")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("mine"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    dealt = unit.select("id", "v", "mine", other.alias("other")).select("id", "v", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
-        left, right = pdf[pdf.mine == i], pdf[pdf.mine == j]
+    unit = vecs.where(vectors.norm(F.col("embedding")) > 0).select("id", vectors.normalise(F.col("embedding")).alias("v"))
+    chosen = unit.orderBy(F.xxhash64("id"), "id").limit(CENTRES).collect()
+    out = "a long, b long, similarity double"
+    if not chosen:
+        return vecs.sparkSession.createDataFrame([], out)
+    centres = np.array([r.v for r in chosen], float)
+
+    def place(batches):
+        for b in batches:
+            if len(b):
+                s = np.clip(np.stack(b.v.to_numpy()) @ centres.T, -1, 1)
+                yield pd.DataFrame({"id": b.id, "v": b.v, "centre": s.argmax(1).astype("int32"), "angle": np.arccos(s.max(1))})
+
+    placed = unit.mapInPandas(place, "id long, v array<double>, centre int, angle double")
+    groups = placed.groupBy("centre").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()  # a row per centre
+    radius, blocks = {g.centre: g.radius for g in groups}, {g.centre: -(-g.n // rows) for g in groups}
+    most = np.arccos(np.clip(least, -1, 1)) + 1e-6
+    between = np.arccos(np.clip(centres @ centres.T, -1, 1))
+    meets = [(x, y) for x in radius for y in radius if between[x, y] - radius[x] - radius[y] <= most]
+    meeting = vecs.sparkSession.createDataFrame([(int(x), int(y), int(blocks[x]), int(blocks[y])) for x, y in meets], "centre int, other int, n int, m int")
+    # A vector goes to each pair of its block and a block of a group that its own may meet.
+    dealt = placed.join(F.broadcast(meeting), "centre").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("other_block", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    mine, theirs = F.struct(F.col("centre").alias("c"), F.col("block").alias("k")), F.struct(F.col("other").alias("c"), F.col("other_block").alias("k"))
+    dealt = dealt.select("id", "v", F.least(mine, theirs).alias("i"), F.greatest(mine, theirs).alias("j"), (mine <= theirs).alias("left"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        same = bool(pdf.same.iloc[0])
+        left, right = (pdf, pdf) if same else (pdf[pdf.left], pdf[~pdf.left])
         if left.empty or right.empty:
             return pd.DataFrame({"a": [], "b": [], "similarity": []})
         s = np.stack(left.v.to_numpy()) @ np.stack(right.v.to_numpy()).T
         x, y = np.nonzero(s >= least)
         a, b = left.id.to_numpy()[x], right.id.to_numpy()[y]
         out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": s[x, y]})
-        return out[(a < b) if i == j else (a != b)]
+        return out[(a < b) if same else (a != b)]
 
-    return dealt.groupBy("i", "j").applyInPandas(compare, "a long, b long, similarity double")
+    return dealt.withColumn("same", F.col("i") == F.col("j")).groupBy("i", "j").applyInPandas(compare, out)
 
 
 def without_stories(new: DataFrame, known: DataFrame, least: float, rows: int = 4096) -> DataFrame:

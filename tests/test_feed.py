@@ -55,3 +55,16 @@ def test_count_is_before_the_limit(table):
 
 def test_stats_of_nothing(table):
     assert tuple(feed.stats(table.limit(0)).first()) == (0, None)
+
+
+def test_search_batch_in_blocks(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    x = r.normal(size=(70, 6)).round(1)
+    x[10], x[11], x[12] = x[9], x[9], 0
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)] + [(99, None)], "id long, embedding array<double>").repartition(3)
+    q = v.where("id % 5 = 0").withColumnRenamed("id", "query_id")
+    rows = lambda **kw: sorted((a.query_id, a.rank, a.id) for a in feed.search_batch(v, q, 4, digits=6, **kw).collect())
+    assert rows() == rows(query_rows=5, vector_rows=20)
+    assert len(rows()) == 14 * 4 and feed.search_batch(v, q.limit(0), 4).count() == feed.search_batch(v.limit(0), q, 4).count() == 0

@@ -62,6 +62,20 @@ def test_near_vectors(spark):
     assert [r.id for r in steps.without_stories(v.where("id = 2 or id = 3"), v.where("id = 1"), 0.9).collect()] == [3]
 
 
+def test_near_vectors_loses_no_pair(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(steps, "CENTRES", 12)
+    r = np.random.default_rng(1)
+    x = np.concatenate([c + 0.2 * r.normal(size=(25, 8)) for c in r.normal(size=(8, 8))] + [r.normal(size=(60, 8))])
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "id long, embedding array<double>").repartition(4)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    for least in (0.2, 0.9, 0.99):
+        want = {(i, j) for i in range(len(u)) for j in range(i + 1, len(u)) if u[i] @ u[j] >= least}
+        got = [(p.a, p.b) for p in steps.near_vectors(v, least, rows=10).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_run_twice(spark, sf):
     from newsmill.plans.articles import AS_OF, articles
 
