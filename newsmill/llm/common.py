@@ -2,54 +2,79 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import drop_stored, new_folder, ranged, stored  # noqa: F401
+
 #: Java form of a word: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        import tempfile
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, with Arrow batches of ``rows`` rows at most in its session from now on: texts are long, and Spark, Arrow and Python each hold a
+    batch, which 10,000 texts make hundreds of megabytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
 
-        where = "file://" + tempfile.mkdtemp(prefix="newsmill-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+#: Rows of one key that a join may send to one task, unless they are less than a thousandth of all.
+CROWD = 500
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/newsmill/{name}-{uuid.uuid4().hex}"
+def joined(left: DataFrame, right: DataFrame, key: str, spread: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``key`` in which ``right`` has one row per key at most and one key may hold any share of ``left``.
+
+    Keys with more than a thousandth of left's rows (so a thousand at most) are counted and sent to the driver; their rows are dealt out
+    over several tasks by a hash of the columns in ``spread``, and right's row is repeated for each: 2,000 rows more at most.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("n"))
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    share = max(CROWD, (total or 0) // 1000)
+    if (most or 0) <= share:
+        return left.join(right, key, how)
+    hot = counts.where(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias("tasks"))
+    hot = F.broadcast(left.sparkSession.createDataFrame(hot.collect(), hot.schema))  # a thousand rows at most
+    dealt = left.join(hot, key, "left").withColumn("task", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("tasks")).cast("int"), F.lit(0))).drop("tasks")
+    each = right.join(hot, key, "left").withColumn("task", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("tasks") - 1, F.lit(0))))).drop("tasks")
+    return dealt.join(each, [key, "task"], how).drop("task")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, so a lost executor costs only its tasks."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Keys that are broadcast at most (about 60 bytes each).
+FEW = 200_000
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files behind a table made by :func:`stored`, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``key`` (text, not null) is not in ``gone``, a stored table of one column ``key``.
+
+    Texts don't travel: up to FEW keys are broadcast; of more, a bitmap of fixed size picks the rows that may be in ``gone``, and only
+    those are joined exactly. Columns of ``docs`` may have any name.
+    """
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), key.alias("key"))
+    back = [F.col("row")[c].alias(c) for c in names]
+    if gone.count() <= FEW:
+        return rows.join(F.broadcast(gone), "key", "left_anti").select(*back)
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(gone.select(F.xxhash64("key").alias("h")), "h", 27))
+    marked = small_batches(rows).select("row", "key", F.xxhash64("key").alias("h"))
+
+    def pick(wanted: bool):
+        def run(batches):
+            bits = np.frombuffer(bitmap.value, np.uint8)
+            for b in batches:
+                hit = in_bitmap(bits, 27, b.column(2).to_numpy().view(np.uint64))
+                yield b.select([0, 1]).filter(pa.array(hit == wanted))
 
+        return marked.mapInArrow(run, rows.schema)
 
-def slices(df: DataFrame) -> int:
-    """Number of input partitions, a measure of the input's size that costs no job."""
-    return max(1, df.rdd.getNumPartitions())
+    return pick(False).unionByName(pick(True).join(gone, "key", "left_anti").select("row", "key")).select(*back)
 
 
 def text_bytes(col: str = "text"):
@@ -60,7 +85,7 @@ def text_bytes(col: str = "text"):
 class WordHashes(dict):
     """word bytes -> 64-bit hash, remembered; emptied when it holds ``most`` words, so memory stays bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
@@ -122,7 +147,7 @@ def bitmap_of(hashes: DataFrame, column: str, bits: int) -> bytes:
         .agg(F.bitmap_construct_agg("bit").alias("bits"))
     )
     out = np.zeros(max(1, 1 << bits >> 15) * 4096, np.uint8)
-    for r in rows.toLocalIterator():
+    for r in rows.collect():  # 4 KB for each 32,768 bits
         out[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
     return out.tobytes()
 

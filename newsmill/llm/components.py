@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored
+from .common import drop_stored, joined, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of u is linked to the least of u and u's neighbours."""
     both = edges.select("a", "b").union(edges.select("b", "a").toDF("a", "b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return joined(both.where("b > a"), least, "a", ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -25,9 +25,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(a, b) links of any orderable type -> stored table (node, root): the least node that each node with a link reaches.
 
-    Each round is written to the shared folder and the round before deleted. Links to a node with very many neighbours are
-    joined with a table of one row per node, which adaptive execution can split. Links with a null end and self-links are
-    ignored; no links give no rows.
+    Each round is written to the shared folder and the round before deleted. Links of a node with very many neighbours are dealt
+    out over several tasks. Links with a null end and self-links are ignored; no links give no rows.
     """
     e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") > F.col("b")))
     e = stored(e.distinct(), "cc")

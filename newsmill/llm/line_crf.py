@@ -6,7 +6,7 @@ decoding, and the document is kept if content lines hold at least ``share`` of i
 The field has two states, emissions linear in a few line statistics, and transition and start weights. It is trained by
 maximum a-posteriori likelihood on a bounded sample of labelled documents (``train_docs`` documents of smallest id hash, at
 most ``train_lines`` lines of each) with weak line labels: lines of low-quality documents, and lines that occur in
-``shared_docs`` or more documents of the sample, are boilerplate; the rest is content. Weights are drawn to ``PRIOR``, which is
+``shared_docs`` or more different texts of all documents, are boilerplate; the rest is content. Weights are drawn to ``PRIOR``, which is
 also what decides where there are no labels. Labelling itself reads every line of every text.
 
 Rules for odd input: a null or empty text has zero counts and fails the base rules (fewer than 20 words); labels that are null
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, pieces, text_bytes, windows
+from .common import WordHashes, pieces, small_batches, text_bytes, windows
 
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
 _SYMBOLS = b"#*$%&|<>"
@@ -146,7 +146,7 @@ def _lines(text: bytes):
             seen.add(line)
 
 
-def _shared_lines(docs: DataFrame, lines: np.ndarray, least: int, most: int = 200_000) -> np.ndarray:
+def _shared_lines(docs: DataFrame, lines: np.ndarray, least: int, most: int = 50_000) -> np.ndarray:
     """Those of ``lines`` (hashes) that occur in ``least`` or more documents of different text, of all documents.
 
     A task sends at most ``least`` text hashes for a line, which is all that the decision needs: a task that has more has enough
@@ -176,7 +176,7 @@ def _shared_lines(docs: DataFrame, lines: np.ndarray, least: int, most: int = 20
                 found, held = {}, 0
         yield out()
 
-    pairs = docs.select(text_bytes().alias("text")).mapInArrow(run, "line long, text long")
+    pairs = small_batches(docs).select(text_bytes().alias("text")).mapInArrow(run, "line long, text long")
     rows = pairs.groupBy("line").agg(F.count_distinct("text").alias("n")).where(F.col("n") >= least).select("line").collect()  # as many as lines at most
     return np.array([r.line for r in rows], np.int64).view(np.uint64)
 
@@ -262,7 +262,7 @@ def judge(docs: DataFrame, chain: Chain, share: float = 0.5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types))], ["doc_id", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(run, f"doc_id {kind}, {COLUMNS}")
+    return small_batches(docs).select("doc_id", text_bytes().alias("text")).mapInArrow(run, f"doc_id {kind}, {COLUMNS}")
 
 
 def keep_content(docs: DataFrame, chain: Chain, share: float = 0.5) -> DataFrame:
@@ -275,7 +275,7 @@ def keep_content(docs: DataFrame, chain: Chain, share: float = 0.5) -> DataFrame
             texts = b.column(at).cast(pa.binary()).to_pylist()
             yield b.filter(pa.array([one(t or b"")[-1] for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

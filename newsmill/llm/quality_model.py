@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stored, text_bytes
+from .common import pieces, small_batches, stored, text_bytes
 from .quality_features import NAMES, features
 
 FOLDS = 5
@@ -39,7 +39,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             x = [features(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return small_batches(docs).select("doc_id", text_bytes().alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
 class Fourier:
