@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsmill.llm import decontaminate, line_crf, mixing, near_dedup, secrets
-from newsmill.llm.common import stored
+from newsmill.llm.common import stored, without
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,10 +17,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, by five-word shingles at a similarity of 0.8."""
     key = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    row = lambda k: F.concat_ws(":", F.col("doc_id").cast("string"), k)
     marked = near_dedup.near_duplicates(docs, k=5, percent=80, n_hashes=100, rows_per_band=4, row_key=key)
-    gone = marked.where(~F.col("kept")).select(F.col("doc_id").alias("copy"), F.col("row_key").alias("copy_key")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("copy")) & (key == F.col("copy_key"))
-    return docs.join(stored(gone, "pipeline-copies"), same, "left_anti")
+    gone = marked.where(~F.col("kept")).select(row(F.col("row_key")).alias("key")).distinct()
+    return without(docs, row(key), stored(gone, "pipeline-copies"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
