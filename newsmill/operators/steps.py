@@ -128,9 +128,9 @@ def near_vectors(vecs: DataFrame, least: float, rows: int = 4096) -> DataFrame:
     return dealt.withColumn("same", F.col("i") == F.col("j")).groupBy("i", "j").applyInPandas(compare, out)
 
 
-def without_stories(new: DataFrame, known: DataFrame, least: float, rows: int = 4096) -> DataFrame:
-    """New rows (id, embedding) that no known row resembles. Blocks of new rows meet blocks of known rows, each pair of blocks in a task
-    of bounded size that returns only the new rows that are hit."""
+def story_pairs(new: DataFrame, known: DataFrame, least: float, rows: int = 4096) -> DataFrame:
+    """id, known: new rows (id, embedding) with the known rows that they resemble. Blocks of new rows meet blocks of known rows, each pair
+    of blocks in a task of bounded size that returns only the pairs that pass."""
     n, k = (max(1, -(-v.count() // rows)) for v in (new, known))
 
     def unit(v: DataFrame, side: int, i, j) -> DataFrame:
@@ -143,11 +143,16 @@ def without_stories(new: DataFrame, known: DataFrame, least: float, rows: int =
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
         if left.empty or right.empty:
-            return pd.DataFrame({"id": []})
-        hit = (np.stack(left.v.to_numpy()) @ np.stack(right.v.to_numpy()).T >= least).any(axis=1)
-        return pd.DataFrame({"id": left.id.to_numpy()[hit]})
+            return pd.DataFrame({"id": [], "known": []})
+        x, y = np.nonzero(np.stack(left.v.to_numpy()) @ np.stack(right.v.to_numpy()).T >= least)
+        return pd.DataFrame({"id": left.id.to_numpy()[x], "known": right.id.to_numpy()[y]})
+
+    return dealt.groupBy("i", "j").applyInPandas(compare, "id long, known long")
 
-    return new.join(dealt.groupBy("i", "j").applyInPandas(compare, "id long").distinct(), "id", "left_anti")
+
+def without_stories(new: DataFrame, known: DataFrame, least: float, rows: int = 4096) -> DataFrame:
+    """New rows (id, embedding) that no known row resembles."""
+    return new.join(story_pairs(new, known, least, rows).select("id").distinct(), "id", "left_anti")
 
 
 def prompt_lines(df: DataFrame, by: str, order: str, line) -> DataFrame:

@@ -164,3 +164,54 @@ def test_run_counts_its_steps(spark):
 def test_ranked(spark):
     rows = spark.createDataFrame([(1, 5, 3), (2, 9, 2), (3, 5, 1)], "id int, score int, pos int")
     assert [r.id for r in steps.ranked(rows).collect()] == [2, 3, 1]
+
+
+def fake_model():
+    class FakeModel:
+        """Answers by rule, and fails where told to."""
+
+        def score(self, rows):
+            assert len(rows) <= 5 and set(rows.columns) == {"url", "title", "source", "snippet", "trust"}
+            return rows.assign(score=[90 if "good" in t else 70 for t in rows.title])[["url", "score"]]
+
+        def improve_titles(self, rows):
+            if "fails" in rows.title.iloc[0]:
+                raise RuntimeError("no title")
+            return rows.assign(title='"Better ' + rows.title + '"')[["url", "title"]]
+
+        def summarize(self, rows):
+            if "broken" in rows.title.iloc[0]:
+                raise RuntimeError("no summary")
+            return rows.assign(summary=rows.content.str[:4] + "…", categories=[["Models"]] * len(rows), kind="BLOG")[["id", "summary", "categories", "kind"]]
+
+        def categorize(self, rows):
+            return rows.assign(categories=[["DEV"]] * len(rows))[["id", "categories"]]
+
+        def classify_kind(self, rows):
+            return rows.assign(kind="Product")[["id", "kind"]]
+
+        def embed(self, rows):
+            return models.hashed_embedding(rows)
+
+        def same_story(self, rows):
+            return rows[rows.title.str[:12] == rows.known_title.str[:12]][["url", "known_url"]]
+
+    return FakeModel()
+
+
+def test_run_with_a_model(spark):
+    titles = ["a good one", "a weak one", "good but fails", "good broken one", "good old tale told anew", "good without text"]
+    rows = [(t, f"https://h.x/{i}", "" if "without" in t else f"text {i}", "2026-06-29T00:00:00Z", "Ben's Bites" if "weak" in t else "zz", "hackerNews" if "without" in t else "rss", i) for i, t in enumerate(titles)]
+    fetched = spark.createDataFrame(rows, schema.FETCHED + ", pos int")
+    at = datetime(2026, 6, 29)
+    articles = spark.createDataFrame([(4, "good old tale told before", "https://o.x/1", at, "s")], "id long, title string, url string, published_at timestamp, source string")
+    new, scored = articles_run.run(fetched, articles, spark.createDataFrame([], "url string"), at, model=fake_model())
+    got = {r.url[-1]: r for r in new.collect()}
+    assert {k: (r.id, r.title, r.score, r.summary, r.categories, r.kind) for k, r in got.items()} == {
+        "0": (5, "Better a good one", 90, "text...", ["models"], "blog"),
+        "1": (6, "Better a weak one", 80, "text...", ["models"], "blog"),
+        "2": (7, "good but fails", 90, "text...", ["models"], "blog"),
+        "3": (8, "Better good broken one", 90, "", [], None),
+        "5": (9, "Better good without text", 90, "", ["dev"], "product"),
+    }
+    assert {r.url for r in scored.collect()} == {f"https://h.x/{i}" for i in (0, 1, 2, 3, 5)}
