@@ -2,14 +2,18 @@
 
 Texts are lower-cased and cut into words, which lose the ASCII punctuation at their ends; words of punctuation alone vanish. Fixed
 masks over runs of words hash the selected words and ignore the others, so a substituted word breaks only seeds that select
-it. Seeds of the benchmark go into a bitmap of fixed size which pre-selects the documents' seeds; those are joined
-exactly with the benchmark's. Each hit proposes an alignment of an item with the document, in which the longest stretch with at least
+it. The documents' seeds are joined with the benchmark's, behind a bitmap of fixed size. Each hit proposes an alignment of an item with the document, in which the longest stretch with at least
 ``percent`` percent equal words is taken; it counts if it holds ``least`` words and ``part`` percent of the item (the item, where
 that is shorter).
 
+Items are merged by their words and go to the tasks as an index, in blocks of ``BLOCK_WORDS`` words: the benchmark is the query set, and
+documents pass by once per block without a shuffle. A seed that many items share costs a task one comparison of words per item and
+document, in which an alignment is dropped when too few words are equal for any stretch; it never becomes a row.
+
 With the masks here every item of 15 words or more of which a fifth is substituted, however placed (15 words: proven for all
-placements), has a seed hit. Items of 5 to 6 words, shorter than a mask, are sought as they are; items of fewer than
-``MIN_ITEM`` words are no passage and are ignored.
+placements), has a seed hit; of all placements that the percentage allows in items of 7 to 14 words more than nine in ten have one.
+Items of 5 to 6 words, shorter than a mask, are sought as they are; items of fewer than ``MIN_ITEM`` words are no passage and are
+ignored.
 
 Rules for odd input: null and empty texts or items match nothing; items that repeat are each reported; rows that repeat a
 doc_id are each searched and reported as one pair (the longest match); null ids are reported as null; other columns are
@@ -24,15 +28,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bitmap_of, in_bitmap, mix, pieces, stored
+from .common import WordHashes, in_bitmap, mix, pieces, small_batches, stored, without
 
 #: Selected offsets of the masks.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 5, 6), (0, 1, 2, 3, 4))
 SPAN = max(m[-1] for m in MASKS) + 1
 MIN_ITEM = 5
 BITS = 24
-#: Benchmark seeds that are broadcast at most (about 40 bytes each); more are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Words of items that are broadcast at a time (about 60 bytes each with their seeds).
+BLOCK_WORDS = 500_000
+#: Alignments, and words under alignments, that a task compares at a time.
+ALIGNED, COMPARED = 500_000, 2_000_000
 _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -66,134 +72,149 @@ def _lower(c: str = "text"):
     return F.lower(F.coalesce(F.col(c), F.lit(""))).cast("binary")
 
 
-def seeds(benchmark: DataFrame) -> DataFrame:
-    """item (a running number of benchmark rows), item_id, words (64-bit hashes), seed hashes and their places."""
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item_id, key (of the words) and words (64-bit hashes) of items that are long enough."""
 
     def run(batches):
-        from pyspark import TaskContext
-
-        hashes, at = _Words(), TaskContext.get().partitionId() << 33
+        hashes = _Words()
         for b in batches:
-            out = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h = hashes.of(t.split())
-                at += 1
-                if len(h) < MIN_ITEM:
-                    continue
-                masks = MASKS if len(h) >= SPAN else (tuple(range(len(h))),)
-                found = [(int(x), p) for k, m in enumerate(masks) for p, x in enumerate(_select(h, m, k if len(h) >= SPAN else 100).view(np.int64))]
-                out.append((at, i, len(h), h.tobytes(), [f[0] for f in found], [f[1] for f in found]))
-            cols = list(zip(*out)) if out else [[]] * 6
-            types = [pa.int64(), b.schema.field(0).type, pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["item", "item_id", "size", "words", "seed", "place"])
+            words = [hashes.of(t.split()) for t in b.column(1).to_pylist()]
+            keep = pa.array([len(h) >= MIN_ITEM for h in words], pa.bool_())
+            blobs = pa.array([h.tobytes() for h in words], pa.binary())
+            keys = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in words], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), keys.filter(keep), blobs.filter(keep)], ["item_id", "key", "words"])
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    return benchmark.select("item_id", _lower().alias("text")).mapInArrow(run, f"item long, item_id {kind}, size int, words binary, seed array<long>, place array<int>")
-
-
-def _hits(docs: DataFrame, bitmap: bytes, short: list[int]) -> DataFrame:
-    """Documents with at least one pre-selected seed: row (a running number), doc_id, words, seed, place."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    masks = [(m, k) for k, m in enumerate(MASKS)] + [(tuple(range(n)), 100) for n in short]
+    return benchmark.select("item_id", _lower().alias("text")).mapInArrow(run, f"item_id {kind}, key binary, words binary")
+
+
+class _Index:
+    """Items and their seeds, sorted by seed."""
+
+    def __init__(self, keys: list[bytes], blobs: list[bytes], least: int, part: int):
+        words = [np.frombuffer(w, np.uint64) for w in blobs]
+        self.keys, self.size = keys, np.array([len(w) for w in words], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.words = np.concatenate(words) if words else np.empty(0, np.uint64)
+        #: Words that a stretch must hold.
+        self.need = np.minimum(self.size, np.maximum(least, -(-self.size * part // 100)))
+        self.masks = [(m, k) for k, m in enumerate(MASKS)] + [(tuple(range(n)), 100) for n in sorted({len(w) for w in words if len(w) < SPAN})]
+        seed, item, at = [], [], []
+        for i, w in enumerate(words):
+            for m, salt in self.masks:
+                if salt < 100 if len(w) >= SPAN else len(m) == len(w):
+                    x = _select(w, m, salt)
+                    seed.append(x), item.append(np.full(len(x), i)), at.append(np.arange(len(x)))
+        self.seed, self.item, self.at = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((seed, np.uint64), (item, np.int64), (at, np.int64)))
+        order = np.argsort(self.seed, kind="stable")
+        self.seed, self.item, self.at = self.seed[order], self.item[order], self.at[order]
+        self.bits = np.zeros(1 << BITS >> 3, np.uint8)
+        for x in (self.seed, self.seed >> np.uint64(32)):
+            x = x & np.uint64((1 << BITS) - 1)
+            np.bitwise_or.at(self.bits, (x >> np.uint64(3)).astype(np.int64), np.uint8(1) << (x & np.uint64(7)).astype(np.uint8))
+
+    def alignments(self, place: np.ndarray, low: np.ndarray, n: np.ndarray):
+        """(items, shifts) of the seed hits of one document, a bounded number at a time; an alignment may come twice."""
+        ends, first = np.cumsum(n), 0
+        while first < len(n):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + ALIGNED, "right")))
+            m = n[first:last]
+            at = np.repeat(low[first:last] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            pair = np.unique(self.item[at] * (1 << 32) + np.repeat(place[first:last], m) - self.at[at] + (1 << 31))
+            yield pair >> 32, (pair & ((1 << 32) - 1)) - (1 << 31)
+            first = last
+
+    def matches(self, doc: np.ndarray, items: np.ndarray, shifts: np.ndarray, percent: int):
+        """(item, place in the document, words, equal words) of alignments with a stretch that counts; items that stick out are cut."""
+        begin = np.maximum(shifts, 0)
+        length = np.minimum(shifts + self.size[items], len(doc)) - begin
+        ends, first = np.cumsum(length), 0
+        while first < len(items):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + COMPARED, "right")))
+            i, b, n = items[first:last], begin[first:last], length[first:last]
+            own = np.cumsum(n) - n
+            off = np.arange(n.sum()) - np.repeat(own, n)
+            same = doc[np.repeat(b, n) + off] == self.words[np.repeat(self.start[i] + b - shifts[first:last], n) + off]
+            equal = np.add.reduceat(same.astype(np.int64), own)
+            for x in np.flatnonzero(100 * equal >= percent * self.need[i]):
+                s, e = longest_stretch(same[own[x] : own[x] + n[x]], percent)
+                if e - s >= self.need[i[x]] or (s < e and 100 * equal[x] >= percent * self.size[i[x]]):
+                    yield int(i[x]), int(b[x]) + s, e - s, int(same[own[x] + s : own[x] + e].sum())
+            first = last
+
+
+def _search(docs: DataFrame, index: _Index, percent: int) -> DataFrame:
+    """doc_id, key (of the item's words), doc_word, n_words, n_equal: each row of ``docs`` with each item it holds, at the longest stretch."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
-        from pyspark import TaskContext
-
-        bits, hashes, at = np.frombuffer(shared.value, np.uint8), _Words(), TaskContext.get().partitionId() << 33
+        ix, hashes = shared.value, _Words()
         for b in pieces(batches, 300):
-            texts = b.column(1).to_pylist()
-            each = [hashes.of(t.split()) for t in texts]
+            each = [hashes.of(t.split()) for t in b.column(1).to_pylist()]
             ends = np.cumsum([len(h) for h in each])
             every = np.concatenate(each) if each else np.empty(0, np.uint64)
-            found: dict[int, list[tuple[int, int]]] = {}
-            for m, salt in masks:
+            hits = []
+            for m, salt in ix.masks:
                 s = _select(every, m, salt)
-                p = np.flatnonzero(in_bitmap(bits, BITS, s))
+                p = np.flatnonzero(in_bitmap(ix.bits, BITS, s))
+                low, high = (np.searchsorted(ix.seed, s[p], side) for side in ("left", "right"))
                 d = np.searchsorted(ends, p, "right")
-                ok = p + m[-1] < ends[d] if len(p) else np.empty(0, bool)  # a seed lies within one text
-                for doc, place, x in zip(d[ok].tolist(), p[ok].tolist(), s[p[ok]].view(np.int64).tolist()):
-                    found.setdefault(doc, []).append((x, place - int(ends[doc]) + len(each[doc])))
-            out = [(at + d, d, each[d].tobytes(), [x for x, _ in f], [p for _, p in f]) for d, f in sorted(found.items())]
-            at += b.num_rows
-            if out:
-                rows, ids, words, seed, place = (list(c) for c in zip(*out))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows, pa.int64()), b.column(0).take(pa.array(ids)), pa.array(words, pa.binary()), pa.array(seed, pa.list_(pa.int64())), pa.array(place, pa.list_(pa.int32()))],
-                    ["row", "doc_id", "words", "seed", "place"],
-                )
+                ok = (low < high) & (p + m[-1] < ends[d] if len(p) else True)  # a seed lies within one text
+                hits.append(np.stack([d[ok], p[ok], low[ok], (high - low)[ok]]))
+            d, p, low, n = np.concatenate(hits, axis=1) if hits else np.empty((4, 0), np.int64)
+            order = np.argsort(d, kind="stable")
+            d, p, low, n = d[order], p[order], low[order], n[order]
+            cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1], [True]])) if len(d) else []
+            rows = []
+            for x, y in zip(cut[:-1], cut[1:]):
+                doc, best = int(d[x]), {}
+                place = p[x:y] - (int(ends[doc]) - len(each[doc]))
+                for items, shifts in ix.alignments(place, low[x:y], n[x:y]):
+                    for i, at, size, equal in ix.matches(each[doc], items, shifts, percent):
+                        best[i] = max(best.get(i, (0, 0, 0)), (size, equal, -at))
+                rows += [(doc, ix.keys[i], -at, size, equal) for i, (size, equal, at) in best.items()]
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(cols[0], pa.int32())), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.binary(), pa.int64(), pa.int64(), pa.int64())))],
+                ["doc_id", "key", "doc_word", "n_words", "n_equal"],
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", _lower().alias("text")).mapInArrow(run, f"row long, doc_id {kind}, words binary, seed array<long>, place array<int>")
+    return small_batches(docs).select("doc_id", _lower().alias("text")).mapInArrow(run, f"doc_id {kind}, key binary, doc_word long, n_words long, n_equal long")
 
 
 def longest_stretch(same: np.ndarray, percent: int) -> tuple[int, int]:
     """[start, end) of the longest stretch with at least ``percent`` percent true, trimmed to true ends; the first of equals."""
     total = np.concatenate([[0], np.cumsum(np.where(same, 100 - percent, -percent))])
-    low = [0]
-    for i in range(1, len(total)):
-        if total[i] < total[low[-1]]:
-            low.append(i)
-    best = (0, 0)
-    for i in reversed(low):  # the best start is a place lower than all before it
-        j = len(total) - 1
-        while j > i and total[j] < total[i]:
-            j -= 1
-        if j > i and j - i >= best[1] - best[0]:
-            best = (i, j)
-    start, end = best
-    while start < end and not same[start]:
-        start += 1
-    while end > start and not same[end - 1]:
-        end -= 1
-    return start, end
+    later = np.maximum.accumulate(total[::-1])[::-1]  # falls, so the farthest place that is no lower is found by bisection
+    far = np.searchsorted(-later, -total, "right") - 1
+    start = int(np.argmax(far - np.arange(len(total))))
+    inside = np.flatnonzero(same[start : far[start]])
+    return (start + int(inside[0]), start + int(inside[-1]) + 1) if len(inside) else (start, start)
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, percent: int = 80, least: int = 13, part: int = 40) -> DataFrame:
     """doc_id, item_id, doc_word (where the stretch starts among the document's words), n_words, n_equal: a row per pair of a
     document and a benchmark item that it holds, with the longest stretch."""
-    items = stored(seeds(benchmark), "decon-items")
-    each = items.select("item", "size", F.explode(F.arrays_zip("seed", "place")).alias("s")).select("item", "size", F.col("s")["seed"].alias("seed"), F.col("s")["place"].alias("at"))
-    short = [r.size for r in items.where(F.col("size") < SPAN).select("size").distinct().collect()]  # SPAN values at most
-    hits = stored(_hits(docs, bitmap_of(each, "seed", BITS), short), "decon-hits")
-    if each.count() <= BROADCAST_ROWS:
-        each = F.broadcast(each)
-    marks = hits.select("row", F.explode(F.arrays_zip("seed", "place")).alias("s")).select("row", F.col("s")["seed"].alias("seed"), F.col("s")["place"].alias("place"))
-    lines = marks.join(each, "seed").select("row", "item", "size", (F.col("place") - F.col("at")).alias("shift")).distinct()
-    # The document's words under the item; an item that sticks out is cut.
-    start = F.greatest(F.col("shift"), F.lit(0))
-    window = F.col("words").substr(start * 8 + 1, (F.col("shift") + F.col("size") - start) * 8)
-    cut = lines.join(hits.select("row", "doc_id", "words"), "row").select("item", "doc_id", "shift", start.alias("start"), window.alias("window"))
-    full = cut.join(items.select("item", "item_id", "words"), "item").select("doc_id", "item_id", "item", "start", "shift", "window", "words")
-
-    def run(batches):
-        for b in pieces(batches, 1000):
-            take, rows = [], []
-            for i, (start, shift, w, words) in enumerate(zip(*(b.column(c).to_pylist() for c in (3, 4, 5, 6)))):
-                item = np.frombuffer(words, np.uint64)
-                doc = np.frombuffer(w, np.uint64)
-                same = doc == item[start - shift : start - shift + len(doc)]
-                s, e = longest_stretch(same, percent)
-                if e - s >= min(len(item), max(least, -(-len(item) * part // 100))) or (s < e and 100 * int(same.sum()) >= percent * len(item)):
-                    take.append(i)
-                    rows.append((start + s, e - s, int(same[s:e].sum())))
-            cols = [pa.array(list(c), pa.int32()) for c in (zip(*rows) if rows else [[]] * 3)]
-            at = pa.array(take, pa.int32())
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in range(3)), *cols], ["doc_id", "item_id", "item", "doc_word", "n_words", "n_equal"])
-
-    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}"
-    good = full.mapInArrow(run, f"{kinds}, item long, doc_word int, n_words int, n_equal int")
+    items = stored(_items(benchmark), "decon-items")
+    distinct = stored(items.groupBy("key").agg(F.first("words").alias("words")), "decon-distinct")
+    blocks = max(1, -(-(distinct.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // (8 * BLOCK_WORDS)))
+    found = None
+    for i in range(blocks):
+        rows = distinct.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).orderBy("key").collect()  # about BLOCK_WORDS words
+        more = _search(docs, _Index([bytes(r.key) for r in rows], [bytes(r.words) for r in rows], least, part), percent)
+        found = more if found is None else found.unionByName(more)
     best = F.max(F.struct("n_words", "n_equal", (-F.col("doc_word")).alias("first"))).alias("b")
-    out = good.groupBy("doc_id", "item_id", "item").agg(best)
     b = F.col("b")
-    return out.select("doc_id", "item_id", (-b["first"]).cast("long").alias("doc_word"), b["n_words"].cast("long").alias("n_words"), b["n_equal"].cast("long").alias("n_equal"))
+    out = found.groupBy("doc_id", "key").agg(best).join(items.select("key", "item_id"), "key")
+    return out.select("doc_id", "item_id", (-b["first"]).alias("doc_word"), b["n_words"].alias("n_words"), b["n_equal"].alias("n_equal"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark passage; texts stand for their rows here, so ids may repeat or be null."""
     key = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     found = find_overlaps(docs.select(key.alias("doc_id"), "text"), benchmark)
-    dirty = stored(found.select(F.col("doc_id").alias("dirty")).distinct(), "decon-found")
-    return docs.join(dirty, key == F.col("dirty"), "left_anti")
+    return without(docs, key, stored(found.select(F.col("doc_id").alias("key")).distinct(), "decon-found"))
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
