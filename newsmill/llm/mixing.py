@@ -7,26 +7,30 @@ and the queue is cut where the words reach the budget, which is the words of all
 Targets: sources in code point order, null last, get the weights in turn and share the budget by them; a target stops at
 ``repeats`` times its source's words and the excess goes to the others by weight until none is above.
 
-Running sums are taken in two levels (a hash prefix of bounded population, then the prefixes of a source), and the cut is found
-by counting words per finish-time bin and refining the bin that holds it, so that no task holds a source or the whole queue.
-A source's entries enter in order, so the cut is one (repeat, key) for each source, and documents meet it in a join by source.
+The queue is sorted over all sources by range partitions. Running sums take two levels: a partition's sums are added up first (a row
+per partition), then rows within a partition; so no task holds a source or the whole queue, and the sum of whole partitions tells
+which one holds the cut. A source's entries enter in order, so the cut is one (repeat, key) for each source, and documents meet it
+in a join by source.
 
 Rules for odd input: a null text has size 0; documents of size 0 are never taken; a null source is a source of its own; rows
 that repeat a doc_id within a source share one place in the queue and are taken together; with no words at all every target is
-0. Only ``doc_id``, ``text`` and ``source`` are read.
+0. Only ``doc_id``, ``text`` and ``source`` are read; ``mixed`` passes other columns through and writes its own two over any of their
+names.
 """
 
 from __future__ import annotations
 
-import math
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, joined, ranged, stored
 
-#: Rows that one task may sort: of one hash prefix, and of the finish-time bin that holds the cut.
-IN_TASK = 2_000
+#: Rows that one task sorts, about 100 bytes each.
+IN_TASK = 1_000_000
+#: Sources whose table is broadcast; of more, the join deals a large source out over tasks.
+FEW_SOURCES = 10_000
 
 
 def _key() -> Column:
@@ -39,11 +43,37 @@ def _size() -> Column:
     return F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(per_source: DataFrame, weights: tuple[int, ...], repeats: int) -> tuple[DataFrame, int]:
-    """source, source_size, target; and the budget. ``per_source`` has a row per source (a small dimension: it is ranked in one task)."""
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    w = F.get(F.array(*[F.lit(x) for x in weights]), (rank % len(weights)).cast("int"))
-    ranked = stored(per_source.withColumn("weight", w), "mix-sources")
+def _source() -> Column:
+    """The source as text that sorts in code point order with null last, and is never null."""
+    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t"))
+
+
+def _ranged(df: DataFrame, rows: int, order: list[str], name: str) -> DataFrame:
+    """``df`` range-sorted by ``order`` over partitions of about IN_TASK rows at most, stored with the partition's number ``part``."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // IN_TASK))
+    return ranged(df, parts, order, "part", name)
+
+
+def _by_source(left: DataFrame, table: DataFrame, n_sources: int, spread: list[str]) -> DataFrame:
+    return left.join(F.broadcast(table), "of") if n_sources <= FEW_SOURCES else joined(left, table, "of", spread)
+
+
+def _ranks(per_source: DataFrame, n: int) -> DataFrame:
+    """``per_source`` with ``rank``, from 0, by source."""
+    placed = _ranged(per_source, n, ["of"], "mix-names")
+    counts = sorted((r.part, r.n) for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row per partition
+    before = [(part, upto - n) for (part, n), upto in zip(counts, accumulate(n for _, n in counts))]
+    offsets = per_source.sparkSession.createDataFrame(before, "part int, before long")
+    number = F.row_number().over(Window.partitionBy("part").orderBy("of"))
+    return placed.join(F.broadcast(offsets), "part").withColumn("rank", F.col("before") + number - 1).drop("part", "before")
+
+
+def targets(per_source: DataFrame, weights: tuple[int, ...], repeats: int) -> tuple[DataFrame, int, int]:
+    """of, source_size, n_rows, target; the budget; and the number of sources."""
+    n_sources = per_source.count()
+    rank = F.col("rank") % len(weights)
+    w = F.get(F.array(*[F.lit(x) for x in weights]), rank.cast("int"))
+    ranked = stored(_ranks(per_source, n_sources).withColumn("weight", w).drop("rank"), "mix-sources")
     most = F.col("source_size") * repeats
     level = total = None
     while True:
@@ -57,77 +87,47 @@ def targets(per_source: DataFrame, weights: tuple[int, ...], repeats: int) -> tu
             break
         level = new
     target = F.least(most.cast("double"), F.lit(float(level)) * F.col("weight"))
-    return ranked.select("source", "source_size", "n_rows", target.alias("target")), total
+    return ranked.select("of", "source_size", "n_rows", target.alias("target")), total, n_sources
 
 
-def _cut(queue: DataFrame, budget: int) -> DataFrame:
-    """source, last_repeat, last_key of the entries whose running total in (finish, source, repeat, key) order stays within ``budget``."""
-    lo, width, before = 0.0, 1 / 256, 0
-    inside = queue
-    while True:
-        bin_ = F.least(F.floor((F.col("finish") - F.lit(lo)) / F.lit(width)), F.lit(1023))
-        counts = inside.groupBy(bin_.alias("bin")).agg(F.sum("words").alias("words"), F.count("*").alias("n")).orderBy("bin").collect()  # 1,024 rows at most
-        at, full = None, before
-        for c in counts:
-            if full + c.words > budget:
-                at = c
-                break
-            full += c.words
-        if at is None:
-            taken = queue
-            break
-        before = full
-        low = lo + at.bin * width
-        high = math.inf if at.bin == 1023 else lo + (at.bin + 1) * width
-        bounds = bin_ == at.bin
-        inside = inside.where(bounds)
-        if at.n <= IN_TASK or (high != math.inf and width < 1e-12):
-            order = Window.orderBy("finish", F.col("source").asc_nulls_last(), "repeat", "key").rowsBetween(Window.unboundedPreceding, 0)
-            edge = inside.withColumn("total", F.sum("words").over(order) + F.lit(before)).where(F.col("total") <= budget)
-            taken = queue.where(F.col("finish") < F.lit(low)).select("source", "repeat", "key").unionByName(edge.select("source", "repeat", "key"))
+def _cut(queue: DataFrame, budget: int, order: list[str]) -> DataFrame:
+    """of, last_repeat, last_key of the entries whose running total in ``order`` stays within ``budget``. ``queue`` is ranged."""
+    before, cut = 0, None
+    for part, words in sorted((r.part, r.words) for r in queue.groupBy("part").agg(F.sum("words").alias("words")).collect()):  # a row per partition
+        if before + words > budget:
+            cut = part
             break
-        lo, width = low, (width / 1024 if high != math.inf else max(width, low) * 4)
+        before += words
+    taken = queue.select("of", "repeat", "key")
+    if cut is not None:
+        whole = queue.where(F.col("part") < cut)
+        running = F.sum("words").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        edge = queue.where(F.col("part") == cut).withColumn("total", running).where(F.col("total") <= budget - before)
+        taken = whole.select("of", "repeat", "key").unionByName(edge.select("of", "repeat", "key"))
     last = F.max(F.struct("repeat", "key"))
-    return taken.groupBy("source").agg(last.alias("last")).select("source", F.col("last")["repeat"].alias("last_repeat"), F.col("last")["key"].alias("last_key"))
-
-
-def _plan(docs: DataFrame, weights: tuple[int, ...], repeats: int) -> tuple[DataFrame, DataFrame]:
-    """Slim table of the documents (doc_id, source, size, key) and the table of sources with target and cut."""
-    slim = stored(docs.select("doc_id", "source", _size().alias("size"), _key().alias("key")), "mix-slim")
-    per_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
-    table, budget = targets(per_source, weights, repeats)
-    most = table.agg(F.max("n_rows")).first()[0] or 0
-    digits = max(0, math.ceil(math.log(max(1, most / IN_TASK), 16)))
-
-    places = slim.where("size > 0").groupBy("source", "key").agg(F.sum("size").alias("words")).withColumn("prefix", F.substring("key", 1, digits))
-    within = Window.partitionBy("source", "prefix").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy("source").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        places.groupBy("source", "prefix")
-        .agg(F.sum("words").alias("n"))
-        .select("source", "prefix", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    )
-    p = places.withColumn("upto", F.sum("words").over(within)).alias("p")
-    o, t = offsets.alias("o"), table.alias("t")
-    queue = (
-        p.join(o, F.col("p.source").eqNullSafe(F.col("o.source")) & (F.col("p.prefix") == F.col("o.prefix")))
-        .join(t, F.col("p.source").eqNullSafe(F.col("t.source")))
-        .select(
-            "p.source", "key", "words", "source_size", "target", (F.col("offset") + F.col("upto")).alias("upto"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
-        )
-        .select(
-            "source",
-            "repeat",
-            "key",
-            "words",
-            ((F.col("repeat") * F.col("source_size") + F.col("upto")).cast("double") / F.col("target")).alias("finish"),
-        )
-    )
-    cut = _cut(stored(queue, "mix-queue"), budget).alias("c")
-    sources = stored(
-        t.join(cut, F.col("t.source").eqNullSafe(F.col("c.source")), "left").select("t.source", "source_size", "target", "last_repeat", "last_key"), "mix-cut"
-    )
-    return slim, sources
+    return taken.groupBy("of").agg(last.alias("last")).select("of", F.col("last")["repeat"].alias("last_repeat"), F.col("last")["key"].alias("last_key"))
+
+
+def _plan(docs: DataFrame, weights: tuple[int, ...], repeats: int) -> tuple[DataFrame, DataFrame, int]:
+    """Slim table of the documents (doc_id, of, size, key), the table of sources with target and cut, and their number."""
+    slim = stored(docs.select("doc_id", _source().alias("of"), _size().alias("size"), _key().alias("key")), "mix-slim")
+    per_source = slim.groupBy("of").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
+    table, budget, n_sources = targets(per_source, weights, repeats)
+    rows = table.agg(F.sum("n_rows")).first()[0] or 0
+
+    places = slim.where("size > 0").groupBy("of", "key").agg(F.sum("size").alias("words"))
+    placed = _ranged(places, rows, ["of", "key"], "mix-places")
+    earlier = Window.partitionBy("of").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition and source
+    sums = placed.groupBy("part", "of").agg(F.sum("words").alias("n"))
+    offsets = sums.select("part", "of", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("part", "of").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    upto = placed.withColumn("upto", F.sum("words").over(within)).join(offsets, ["part", "of"])
+    entries = _by_source(upto.drop("part"), table, n_sources, ["key"]).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    finish = (F.col("repeat") * F.col("source_size") + F.col("offset") + F.col("upto")).cast("double") / F.col("target")
+    order = ["finish", "of", "repeat", "key"]
+    queue = _ranged(entries.select(finish.alias("finish"), "of", "repeat", "key", "words"), rows * repeats, order, "mix-queue")
+    cut = stored(table.join(_cut(queue, budget, order), "of", "left").select("of", "source_size", "target", "last_repeat", "last_key"), "mix-cut")
+    return slim, cut, n_sources
 
 
 def _copies() -> Column:
@@ -137,19 +137,18 @@ def _copies() -> Column:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3) -> DataFrame:
     """doc_id, size, source_size, target and taken (words the mix takes, repeats counted) for every row of ``docs``."""
-    slim, sources = _plan(docs, weights, repeats)
-    d, s = slim.alias("d"), sources.alias("s")
-    joined = d.join(s, F.col("d.source").eqNullSafe(F.col("s.source")))
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"))
+    slim, cut, n_sources = _plan(docs, weights, repeats)
+    taken = (F.col("size") * _copies()).alias("taken")
+    return _by_source(slim, cut, n_sources, ["key"]).select("doc_id", "size", "source_size", "target", taken)
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3) -> DataFrame:
     """The mix itself: the rows of ``docs`` that are taken, with mix_copies (how often) and mix_words (words taken) added."""
-    _, sources = _plan(docs, weights, repeats)
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("of"), _size().alias("size"), _key().alias("key"))
-    joined = d.join(sources.withColumnRenamed("source", "s"), F.col("of").eqNullSafe(F.col("s"))).withColumn("copies", _copies())
-    own = [c for c in docs.columns if c not in ("mix_copies", "mix_words")]
-    return joined.where("copies > 0").select(
+    _, cut, n_sources = _plan(docs, weights, repeats)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _source().alias("of"), _size().alias("size"), _key().alias("key"))
+    found = _by_source(rows, cut, n_sources, ["key"]).withColumn("copies", _copies()).where("copies > 0")
+    own = [c for c in docs.columns if c.lower() not in ("mix_copies", "mix_words")]
+    return found.select(
         *[F.col("row")[c].alias(c) for c in own], F.col("copies").cast("int").alias("mix_copies"), (F.col("size") * F.col("copies")).alias("mix_words")
     )
 
