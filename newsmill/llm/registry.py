@@ -23,6 +23,8 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_suffix_dedup": suffix_dedup.OP1_SQL,
+        "op7_near_dedup": near_dedup.OP7_SQL,
         "op8_warc_normalise": warc.OP8_SQL,
         "op9_source_mix": mixing.OP9_SQL,
+        "op10_secret_scan": secrets.OP10_SQL,
     }
