@@ -8,8 +8,8 @@ share enough words to the right are then extended to the left, by hashes of the
 
 Equal texts are one text until the end, and a task sends a text once. Only runs that occur twice send their suffix (at most
 ``LEAST`` words to the right, fewer to the left, all that a window can reach); a bitmap of fixed size pre-selects them. A run that
-occurs more than ``hot`` times goes a way of its own, in which its windows are counted with partial sums and no task sees the
-whole group.
+occurs more than ``hot`` times, whatever the corpus, goes a way of its own, in which its windows are counted with partial sums and no
+task sees the whole group; a second bitmap tells the two ways apart, and both give the same.
 
 A word is a run of characters that are not ASCII white space, taken as written. Of the places where a window occurs the first
 is the one in the text with the smallest MD5, and leftmost there; of rows with equal texts the smallest doc_id comes first.
@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHashes, bitmap_of, in_bitmap, mix, pieces, stored, windows
+from .common import WORD, WordHashes, bitmap_of, in_bitmap, joined, mix, pieces, small_batches, stored, windows
 
 LEAST, RUN = 50, 16
 _REACH = LEAST - RUN + 1
-BITS = 27
+BITS, HOT_BITS = 27, 24
 HOT = 20_000
 
 
@@ -100,16 +100,15 @@ def _runs(texts: DataFrame) -> DataFrame:
 SUFFIX = "gram long, key binary, place int, o_min short, o_max short, left binary, right binary"
 
 
-def _suffixes(texts: DataFrame, bitmap: bytes, hot: list[int]) -> DataFrame:
+def _suffixes(texts: DataFrame, bitmap: bytes, hot: bytes) -> DataFrame:
     """Suffixes at kept positions whose run may occur elsewhere: words as big-endian hashes, so that bytes sort as words do."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast((bitmap, np.sort(np.array(hot, np.int64))))
+    shared = texts.sparkSession.sparkContext.broadcast((bitmap, hot))
 
     def run(batches):
-        bits, hot = np.frombuffer(shared.value[0], np.uint8), shared.value[1]
+        bits, hot = (np.frombuffer(x, np.uint8) for x in shared.value)
         for keys, each in _Texts()(batches):
             text, place, gram, o_min, o_max = minimisers(each)
-            ok = in_bitmap(bits, BITS, gram) & ~np.isin(gram.view(np.int64), hot)
+            ok = in_bitmap(bits, BITS, gram) & ~in_bitmap(hot, HOT_BITS, gram)
             text, place, gram, o_min, o_max = (x[ok] for x in (text, place, gram, o_min, o_max))
             rows = []
             for t, p, a, z in zip(text.tolist(), place.tolist(), o_min.tolist(), o_max.tolist()):
@@ -207,14 +206,15 @@ def _neighbours(suffixes: DataFrame, parts: int, rows: int = 20_000) -> DataFram
     return suffixes.repartition(parts, "gram").sortWithinPartitions("gram", "right", "key", "place").mapInArrow(run, STRETCH)
 
 
-def _counted(texts: DataFrame, hot: list[int]) -> DataFrame:
-    """The same for runs in ``hot``: every window is a row and windows are counted with partial sums."""
-    shared = texts.sparkSession.sparkContext.broadcast(np.sort(np.array(hot, np.int64)))
+def _counted(texts: DataFrame, hot: bytes) -> DataFrame:
+    """The same for runs in the bitmap ``hot``: every window is a row and windows are counted with partial sums."""
+    shared = texts.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
+        bits = np.frombuffer(shared.value, np.uint8)
         for keys, each in _Texts()(batches):
             text, place, gram, o_min, o_max = minimisers(each)
-            ok = np.isin(gram.view(np.int64), shared.value)
+            ok = in_bitmap(bits, HOT_BITS, gram)
             k, starts, names = [], [], []
             for t in np.unique(text[ok]):
                 w = windows(each[t], LEAST).view(np.int64)
@@ -227,8 +227,9 @@ def _counted(texts: DataFrame, hot: list[int]) -> DataFrame:
     rows = stored(texts.mapInArrow(run, "name long, key binary, start int"), "suffix-hot")
     place = F.struct("key", "start")
     again = rows.groupBy("name").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("name", "first")
-    hit = rows.join(again, "name").select("key", "start", (F.col("start") + LEAST).alias("end"), (place != F.col("first")).alias("later"))
-    return hit.withColumn("end", F.col("end").cast("int")).select("key", "start", "end", F.lit(False).alias("later")).union(hit.where("later").select("key", "start", F.col("end").cast("int"), "later"))
+    hit = joined(rows, stored(again, "suffix-again"), "name", ["key", "start"])
+    hit = hit.select("key", "start", (F.col("start") + LEAST).cast("int").alias("end"), (place != F.col("first")).alias("later"))
+    return hit.select("key", "start", "end", F.lit(False).alias("later")).union(hit.where("later"))
 
 
 def _united(stretches: DataFrame) -> DataFrame:
@@ -249,25 +250,26 @@ def _united(stretches: DataFrame) -> DataFrame:
             np.add.at(removable, np.searchsorted(s, ls, "right") - 1, le - ls)
         return pa.table({"key": [t.column("key")[0].as_py()] * len(s), "start": pa.array(s, pa.int64()), "end": pa.array(e, pa.int64()), "removable": removable})
 
-    return stretches.groupBy("key").applyInArrow(run, "key binary, start long, end long, removable long")
+    # A text with copies in many tasks has the same stretches from each.
+    return stretches.distinct().groupBy("key").applyInArrow(run, "key binary, start long, end long, removable long")
 
 
 def repeated_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, start_word, end_word, n_removable: a row per maximal stretch of words of ``docs`` covered by windows of LEAST words that
     occur more than once in the corpus (in other documents or again in this one)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
+    keyed = small_batches(docs).select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
     slim = stored(keyed.select("doc_id", "key", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n")).where(F.col("n") >= LEAST), "suffix-docs")
     texts = keyed.select("key", F.col("text").cast("binary").alias("text"))
 
     runs = _runs(texts).groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n"))
     again = stored(runs.where("a <> b").select("gram", "n"), "suffix-runs")
-    total = again.agg(F.sum("n")).first()[0] or 0
-    many = max(hot, total // 1_000_000)  # so that there are a million hot runs at most
-    hot_runs = [r.gram for r in again.where(F.col("n") > many).select("gram").collect()]
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, total // 100_000 + 1)
+    total, most = again.agg(F.sum("n"), F.max("n")).first()
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, (total or 0) // 100_000 + 1)
+    crowded = (most or 0) > hot
+    hot_runs = bitmap_of(again.where(F.col("n") > hot), "gram", HOT_BITS) if crowded else bytes(1 << HOT_BITS >> 3)
     stretches = _neighbours(_suffixes(texts, bitmap_of(again, "gram", BITS), hot_runs), parts)
-    if hot_runs:
+    if crowded:
         stretches = stretches.unionByName(_counted(texts, hot_runs))
     spans = stored(_united(stretches), "suffix-spans")
 
