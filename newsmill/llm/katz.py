@@ -8,9 +8,10 @@ has the unigrams' left-over mass. A history not seen in training backs off with
 Work is dealt out by history. The first pass over the texts counts words and notes which partitions will need a word's
 count; the second sends each partition its pairs with the documents that hold them, packed as arrays and summed per task. From one
 shuffle of these, a first branch takes the counts of counts, which the discounts need, and a second scores the pairs and
-returns partial sums per document. A frequent history is dealt out by pair, and of pairs of two frequent words only counts go
-to one partition while the documents stay spread; their totals come back by broadcast, and their number is bounded because a frequent
-word makes up at least 1 / (2 x partitions) of the sample that names it. That sample decides where rows are sent and nothing else.
+returns partial sums per document. A frequent history is dealt out by pair, and of frequent pairs only counts go to one partition
+while the documents stay spread; totals of both come back by broadcast. A frequent word or pair makes up at least 1 / (2 x partitions)
+of the sample that names it, so there are 4 x partitions of them at most (some 11 MB for a TB of text). That sample decides where
+rows are sent and nothing else.
 
 Rules for odd input: a null or empty text is the end alone; documents with a null doc_id are scored and not learnt from;
 repeated rows are each learnt from and scored; without training text every probability is that of the unknown word, 1; other columns are
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, pieces, stored, text_bytes
+from .common import WordHashes, mix, pieces, small_batches, stored, text_bytes
 
 END, START = (xxhash.xxh3_64_intdigest(x) for x in (b" ", b"\t"))  # no word has these bytes
 KEPT = 5  # counts above this are not discounted
@@ -57,15 +58,27 @@ def _wide(blob: bytes, n: int) -> np.ndarray:
     return np.frombuffer(blob, f"u{len(blob) // n}").astype(np.int64) if n else np.empty(0, np.int64)
 
 
+def _pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A 64-bit name of a pair of words."""
+    return mix(h * _C + mix(w))
+
+
 class _Deal:
     """Which partition a pair goes to."""
 
-    def __init__(self, parts: int, hot: np.ndarray):
-        self.parts, self.hot = parts, np.sort(hot.astype(np.uint64))
+    def __init__(self, parts: int, hot: np.ndarray, pairs: np.ndarray):
+        self.parts, self.hot, self.pairs = parts, np.sort(hot.astype(np.uint64)), np.sort(pairs.astype(np.uint64))
+
+    @staticmethod
+    def _among(values: np.ndarray, those: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(those, values)
+        return those[np.minimum(at, len(those) - 1)] == values if len(those) else np.zeros(len(values), bool)
 
     def is_hot(self, words: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.hot, words)
-        return self.hot[np.minimum(at, len(self.hot) - 1)] == words if len(self.hot) else np.zeros(len(words), bool)
+        return self._among(words, self.hot)
+
+    def is_hot_pair(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return self._among(_pair(h, w), self.pairs)
 
     def __call__(self, h: np.ndarray, w: np.ndarray, hot_h: np.ndarray) -> np.ndarray:
         key = mix(np.where(hot_h, h * _C + w, h))
@@ -166,8 +179,8 @@ def _packed(docs: DataFrame, deal: _Deal) -> DataFrame:
         chunk = TaskContext.get().partitionId() << 24
         for ids, flags, sizes, w, h, doc in _chunks(batches):
             hot_h = deal.is_hot(h)
-            hot = hot_h & deal.is_hot(w)
-            pair = mix(h * _C + mix(w))
+            pair = _pair(h, w)
+            hot = deal.is_hot_pair(h, w)
             bucket = deal(h, w, hot_h)
             bits = np.uint64(max(1, int(parts - 1).bit_length()))
             order = np.argsort((bucket.astype(np.uint64) << (np.uint64(64) - bits)) | (pair >> bits), kind="stable")
@@ -257,7 +270,7 @@ class _Partition:
                     self.chunks.append((chunk, n, occ, _wide(blob(10), int(occ.sum()))))
         none = [np.empty(0, np.uint64)]
         h, w = np.concatenate(hs or none), np.concatenate(ws or none)
-        _, at, self.inverse = np.unique(mix(h * _C + mix(w)), return_index=True, return_inverse=True)
+        _, at, self.inverse = np.unique(_pair(h, w), return_index=True, return_inverse=True)
         self.h, self.w = h[at], w[at]
         self.train = np.bincount(self.inverse, weights=np.concatenate(train or none), minlength=len(at)).astype(np.int64)
         words, counts = np.concatenate(words or none), np.concatenate(counts or none).astype(np.int64)
@@ -281,7 +294,7 @@ def _histories(h: np.ndarray, train: np.ndarray, p1: np.ndarray, number: np.ndar
 
 
 def _shares(dealt: DataFrame, deal: _Deal, uni: Unigrams) -> DataFrame:
-    """Counts of counts of pairs, statistics of frequent histories and counts of pairs of frequent words, summed over partitions."""
+    """Counts of counts of pairs, statistics of frequent histories and counts of frequent pairs, summed over partitions."""
 
     def run(batches):
         part = _Partition(batches)
@@ -291,14 +304,14 @@ def _shares(dealt: DataFrame, deal: _Deal, uni: Unigrams) -> DataFrame:
             u, number = np.unique(part.h[hot], return_inverse=True)
             for x, v in zip(u.view(np.int64).tolist(), _histories(u, part.train[hot], uni.p(part.c[hot]), number, len(u)).tolist()):
                 kinds.append(HISTORY), hs.append(x), ws.append(0), vs.append(v)
-            both = hot[deal.is_hot(part.w[hot]) & (part.train[hot] > 0)]
+            both = hot[deal.is_hot_pair(part.h[hot], part.w[hot]) & (part.train[hot] > 0)]
             for x, y, c in zip(part.h[both].view(np.int64).tolist(), part.w[both].view(np.int64).tolist(), part.train[both].tolist()):
                 kinds.append(PAIR), hs.append(x), ws.append(y), vs.append([float(c)])
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(hs, pa.int64()), pa.array(ws, pa.int64()), pa.array(vs, pa.list_(pa.float64()))], ["kind", "h", "w", "v"])
 
     width = KEPT + 2
     rows = dealt.mapInArrow(run, SHARED).groupBy("kind", "h", "w").agg(F.array(*[F.coalesce(F.sum(F.get("v", F.lit(i))), F.lit(0.0)) for i in range(width)]).alias("v"))
-    return rows.agg(F.sort_array(F.collect_list(F.struct("kind", "h", "w", "v"))).alias("shared"))
+    return rows.agg(F.sort_array(F.collect_list(F.struct("kind", "h", "w", "v"))).alias("shared"))  # 4 x partitions of them at most
 
 
 SUMS = "chunk long, kind int, n long, a binary, b binary, c binary"
@@ -321,15 +334,14 @@ def _scored(dealt: DataFrame, shared: DataFrame, deal: _Deal, uni: Unigrams) ->
         if facts is None:
             return
         d = discounts([int(x) for x in next(f["v"] for f in facts if f["kind"] == COUNTS)])
+        at_hot = {f["h"]: f["v"] for f in facts if f["kind"] == HISTORY}
+        pairs = {(f["h"], f["w"]): f["v"][0] for f in facts if f["kind"] == PAIR}
         p1 = uni.p(part.c)
-        hot_h = deal.is_hot(part.h)
         count = part.train.copy()
-        pairs = {(f["h"], f["w"]): f["v"][0] for f in facts if f["kind"] == PAIR}
-        for i in np.flatnonzero(hot_h & deal.is_hot(part.w)):
+        for i in np.flatnonzero(deal.is_hot_pair(part.h, part.w)):
             count[i] = int(pairs.get((int(part.h[i : i + 1].view(np.int64)[0]), int(part.w[i : i + 1].view(np.int64)[0])), 0))
         u, number = np.unique(part.h, return_inverse=True)
         stats = _histories(part.h, part.train, p1, number, len(u))
-        at_hot = {f["h"]: f["v"] for f in facts if f["kind"] == HISTORY}
         for i in np.flatnonzero(deal.is_hot(u)):
             stats[i] = at_hot.get(int(u[i : i + 1].view(np.int64)[0]), [0.0] * stats.shape[1])
         left = stats[:, 1 : KEPT + 1] @ ((1 - d[1:]) * np.arange(1, KEPT + 1))
@@ -359,7 +371,8 @@ def _scored(dealt: DataFrame, shared: DataFrame, deal: _Deal, uni: Unigrams) ->
         for r in rows:
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(r, types)], ["chunk", "kind", "n", "a", "b", "c"])
 
-    return dealt.crossJoin(F.broadcast(shared)).mapInArrow(run, SUMS)  # one row beside each: the totals
+    # One row beside each: the totals. In one query with what makes them, since a second would make the shuffle of pairs anew.
+    return dealt.crossJoin(F.broadcast(shared)).mapInArrow(run, SUMS)
 
 
 def _per_document(sums: DataFrame) -> DataFrame:
@@ -380,26 +393,26 @@ def _per_document(sums: DataFrame) -> DataFrame:
 def katz_scores(docs: DataFrame, learn, bucket_bytes: int = 18_000_000, frequent: int = 1000) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``; ``learn`` is the condition for training rows.
 
-    ``bucket_bytes`` is the text that one partition's pairs stem from; a word is frequent if the sample has it ``frequent`` times and
-    as often as a partition's half.
+    ``bucket_bytes`` is the text that one partition's pairs stem from; a word or pair is frequent if the sample has it ``frequent`` times
+    and as often as a partition's half.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("train"), text_bytes().alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("train"), text_bytes().alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, -(-size // bucket_bytes))
     sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(64)) == 0)
 
     def words(batches):
-        hashes = WordHashes(200_000)
-        for b in pieces(batches, 300):
-            u, n = np.unique(hashes.of([w for t in b.column(0).to_pylist() for w in [*t.lower().split()]]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], ["word", "n"])
+        for _, _, _, w, h, _ in _chunks(batches):
+            for kind, x in ((0, w), (1, _pair(h, w))):
+                u, n = np.unique(x, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), pa.array(u.view(np.int64)), pa.array(n)], ["kind", "name", "n"])
 
-    counted = sample.select("text").mapInArrow(words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = sample.select("doc_id", "train", "text").mapInArrow(words, "kind int, name long, n long").groupBy("kind", "name").agg(F.sum("n").alias("n"))
     counted = stored(counted, "katz-sample")
-    seen = counted.agg(F.sum("n")).first()[0] or 0
-    named = counted.where(F.col("n") >= max(frequent, seen / (2 * parts))).select("word").collect()  # 2 * parts words at most
-    hot = np.array([r.word for r in named] + [np.array([x], np.uint64).view(np.int64)[0] for x in (START, END)], np.int64).view(np.uint64)
-    deal = _Deal(parts, np.unique(hot))
+    seen = counted.where("kind = 0").agg(F.sum("n")).first()[0] or 0
+    named = counted.where(F.col("n") >= max(frequent, seen / (2 * parts))).select("kind", "name").collect()  # 2 * parts words and as many pairs at most
+    names = [np.array([r.name for r in named if r.kind == kind], np.int64).view(np.uint64) for kind in (0, 1)]
+    deal = _Deal(parts, np.unique(np.concatenate([names[0], np.array([START, END], np.uint64)])), names[1])
 
     table = word_table(rows.select("doc_id", "train", "text"), deal)
     facts = [np.frombuffer(bytes(r.h), np.int64) for r in table.where(F.col("kind") == STATS).select("h").collect()]  # 8 numbers a partition
