@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, small_batches
 
 #: Characters that need no normalisation beyond lower-casing; U+0130 lower-cases to a decomposed pair and is left out.
 _PLAIN = [chr(c) for c in range(0x300) if c != 0x130] + [chr(c) for r in ((0x2010, 0x2028), (0x2030, 0x205F), (0x20A0, 0x20C0)) for c in range(*r)]
@@ -78,13 +78,17 @@ def proven_whole(tokenizer) -> dict[str, int]:
 
 
 @functools.lru_cache(maxsize=2)
-def _counter(path: str):
+def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    return Tokenizer.from_file(path)
+
+
+def _counter(path: str, proven: dict[str, int]):
+    tokenizer = _tokenizer(path)
     specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    pieces_ = PieceCounts(tokenizer, proven_whole(tokenizer))
+    pieces_ = PieceCounts(tokenizer, proven)
     at_special = re.compile("|".join(map(re.escape, specials))) if specials else None
 
     def count(text: str) -> int:
@@ -106,11 +110,13 @@ def _counter(path: str):
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row; no shuffle.
 
-    ``tokenizer_path`` must be readable on every executor, as an installed package's file is.
+    ``tokenizer_path`` must be readable on the driver and on every executor, as an installed package's file is. Which strings are whole
+    tokens is proven once, on the driver, and sent along: as many as the vocabulary has at most.
     """
+    proven = docs.sparkSession.sparkContext.broadcast(proven_whole(_tokenizer(tokenizer_path)))
 
     def run(batches):
-        count = _counter(tokenizer_path)
+        count = _counter(tokenizer_path, proven.value)
         for b in pieces(batches, 500):
             texts = b.column(1).to_pylist()
             n = pa.array([count(t) for t in texts], pa.int64())
@@ -118,7 +124,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
 
     text = F.coalesce(F.col("text"), F.lit(""))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes")).mapInArrow(
+    out = small_batches(docs).select("doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes")).mapInArrow(
         run, f"doc_id {kind}, n_tokens long, n_bytes long"
     )
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
