@@ -21,19 +21,23 @@ _MAIL = r"^\s*(?:[A-Za-z]+\.?,?\s+)?(\d{1,2})[\s-]+([A-Za-z]{3,9})\.?[\s-]+(\d{4
 def parse(c: Column) -> Column:
     """RFC 2822 first (also with month names in full, years of two digits, zone names), else ISO 8601, else null; without a zone, or with
     one that is unknown, it is UTC."""
-    part = lambda i: F.regexp_extract(c, _MAIL, i)
-    number = lambda i: part(i).try_cast("int")
     names = F.array(*[F.lit(m) for m in MONTHS])
-    named = F.lower(part(2))
-    month = F.array_position(F.transform(names, lambda m: (m == named) | (F.substring(m, 1, 3) == named)), True).cast("int")
-    year = number(3) + F.when(F.length(part(3)) > 2, 0).when(number(3) > 68, 1900).otherwise(2000)
-    zone = F.upper(F.coalesce(part(7), F.lit("")))
-    offset = (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int")) * F.when(zone.startswith("-"), -1).otherwise(1)
     zones = F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv])
-    minutes = F.when(zone.rlike(r"^[+-]\d{4}$"), offset).otherwise(F.coalesce(F.try_element_at(zones, zone), F.lit(0)))
-    second = F.coalesce(number(6), F.lit(0)).cast("decimal(16,6)")
-    local = F.try_make_timestamp(year, month, number(1), number(4), number(5), second, F.lit("UTC"))
-    return F.coalesce(F.when((month > 0) & (second < 60), local - F.make_dt_interval(mins=minutes)), iso(c))
+
+    def mail(p: Column) -> Column:  # day, month, year, hour, minute, second, zone
+        number = lambda i: p[i].try_cast("int")
+        named = F.lower(p[1])
+        month = F.array_position(F.transform(names, lambda m: (m == named) | (F.substring(m, 1, 3) == named)), True).cast("int")
+        year = number(2) + F.when(F.length(p[2]) > 2, 0).when(number(2) > 68, 1900).otherwise(2000)
+        zone = F.upper(p[6])
+        offset = (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int")) * F.when(zone.startswith("-"), -1).otherwise(1)
+        minutes = F.when(zone.rlike(r"^[+-]\d{4}$"), offset).otherwise(F.coalesce(F.try_element_at(zones, zone), F.lit(0)))
+        second = F.coalesce(number(5), F.lit(0)).cast("decimal(16,6)")
+        local = F.try_make_timestamp(year, month, number(0), number(3), number(4), second, F.lit("UTC"))
+        return F.when((month > 0) & (second < 60), local - F.make_dt_interval(mins=minutes))
+
+    parts = F.split(F.regexp_replace(c, _MAIL, "$1|$2|$3|$4|$5|$6|$7"), r"\|", -1)
+    return F.coalesce(F.when(c.rlike(_MAIL), F.transform(F.array(parts), mail)[0]), iso(c))
 
 
 def iso(c: Column) -> Column:
