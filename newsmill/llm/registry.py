@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, katz, line_crf, mixing, near_dedup, quality_model, secrets, suffix_dedup, token_counts, warc
+from . import decontaminate, katz, line_crf, mixing, near_dedup, quality_model, secrets, suffix_dedup, token_counts, vector_codes, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_warc_normalise": warc.op8_warc_normalise,
         "op9_source_mix": mixing.op9_source_mix,
         "op10_secret_scan": secrets.op10_secret_scan,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_warc_normalise": warc.OP8_SQL,
         "op9_source_mix": mixing.OP9_SQL,
         "op10_secret_scan": secrets.OP10_SQL,
+        "op11_vector_codes": vector_codes.OP11_SQL,
     }
