@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, katz, line_crf, mixing, near_dedup, quality_model, secrets, spelling, suffix_dedup, token_counts, vector_codes, warc
+from . import decontaminate, katz, line_crf, mixing, near_dedup, quality_model, secrets, site_tree, spelling, suffix_dedup, token_counts, vector_codes, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_secret_scan": secrets.op10_secret_scan,
         "op11_vector_codes": vector_codes.op11_vector_codes,
         "op12_spelling_variants": spelling.op12_spelling_variants,
+        "op13_main_text": site_tree.op13_main_text,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_secret_scan": secrets.OP10_SQL,
         "op11_vector_codes": vector_codes.OP11_SQL,
         "op12_spelling_variants": spelling.OP12_SQL,
+        "op13_main_text": site_tree.OP13_SQL,
     }
