@@ -2,9 +2,10 @@
 
 Components become integers, floor(scale * x). Each task lays its vectors down once, in chunks of CHUNK rows: for every part position the
 subvectors are sorted along a Hilbert curve and cut into flat blocks of BLOCK rows, and each block keeps the box around its rows and their sum.
-A round sends the codebooks to the tasks. The distance from an entry to a block's box bounds the distances of all its rows from both
-sides, which leaves each block a shortlist of entries: where one entry is left, the block's sum counts for all of its rows, and only
-the others are compared, with the entries of their shortlist alone. Nothing is shuffled but one row of sums for each task, part, entry and
+A round sends the codebooks to the tasks. The entry with the least distance to the far end of a block's box is sure to be near to all its rows;
+how much farther another entry is than that one is linear in each component and so least at an end of the box, and entries that are
+farther even there are off the block's shortlist. Where one entry is left, the block's sum counts for all of its rows; the others are compared with the
+entries of their shortlist alone. Nothing is shuffled but one row of sums for each task, part, entry and
 component; the chunks keep their rows' places, so the codes need no regrouping either.
 
 Odd input: vectors that are null or hold null, NaN or infinite components are dropped; shorter vectors count as padded with zeros up
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 from .common import drop_stored, joined, stored
 
 #: Vectors laid down together, and rows of a block.
-CHUNK, BLOCK = 8192, 64
+CHUNK, BLOCK = 8192, 32
 LIMB = 30
 LONG = 2**63 - 1
 
@@ -116,12 +117,15 @@ class Chunk:
         return cls(values, order, *(f.reduceat(values, starts, axis=1) for f in (np.minimum, np.maximum, np.add)))
 
     def assigned(self, part: int, book: np.ndarray):
-        """(rows as slices or indexes, entries of the shortlist, blocks) for each distinct shortlist of a part's blocks."""
+        """(entries, blocks) for each distinct shortlist of a part's blocks; an entry off a shortlist is farther from each of the block's rows
+        than one on it."""
         low, high = self.low[part][:, None, :], self.high[part][:, None, :]
         below, above = low - book[None], book[None] - high
-        nearest = np.maximum(np.maximum(below, above), 0)
         farthest = np.maximum(np.abs(below), np.abs(above))
-        near = (nearest * nearest).sum(2) <= (farthest * farthest).sum(2).min(1)[:, None]
+        sure = (farthest * farthest).sum(2).argmin(1)[:, None, None]
+        at_low, at_high = below * below, above * above  # squared distances of the box's two ends, component by component
+        less = lambda d: d - np.take_along_axis(d, sure, axis=1)
+        near = np.minimum(less(at_low), less(at_high)).sum(2) <= 0
         lists, which = np.unique(near, axis=0, return_inverse=True)
         for i, short in enumerate(lists):
             yield np.flatnonzero(short), np.flatnonzero(which.ravel() == i)
