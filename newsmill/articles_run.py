@@ -136,12 +136,14 @@ def without_known_stories(rows: DataFrame, known: DataFrame, embed, model: model
     if known.isEmpty():
         return rows
     texts = lambda df: df.select(F.xxhash64("title").alias("id"), F.col("title").alias("text"))
-    pairs = steps.story_pairs(embedded(texts(rows), embed), embedded(texts(known), embed), STORY_CANDIDATE if model else STORY_SIMILARITY)
+    # Stored, so that a title is embedded once whatever reads its vector.
+    new, old_ = stored(embedded(texts(rows), embed), "new-titles"), stored(embedded(texts(known), embed), "known-titles")
     tagged = rows.withColumn("_story", F.xxhash64("title"))
     if model is None:
-        told = tagged.join(pairs.select(F.col("id").alias("_story")).distinct(), "_story", "left_semi").select("url")
+        told = tagged.join(steps.story_hits(new, old_, STORY_SIMILARITY).withColumnRenamed("id", "_story"), "_story", "left_semi").select("url")
     else:
         old = steps.known_story_inputs(known).select(F.xxhash64("title").alias("known"), F.col("url").alias("known_url"), F.col("title").alias("known_title"))
+        pairs = steps.story_pairs(new, old_, STORY_CANDIDATE)
         asked = tagged.join(pairs.withColumnRenamed("id", "_story"), "_story").join(old, "known").select("url", "title", "known_url", "known_title")
         told = models.apply(asked, model.same_story, "url string, known_url string", 50, "keep").where("error is null").select("url")
     return tagged.drop("_story").join(told.distinct(), "url", "left_anti")

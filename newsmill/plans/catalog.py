@@ -94,6 +94,43 @@ def search_topk_batch(spark, d):
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
+def _index_of(spark, d):
+    from ..operators import vector_index
+    from ..shared import new_folder
+
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return vector_index.build_index(e, new_folder(spark, "vector-index")), e, e.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+
+
+@_query(f"""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS query FROM embeddings WHERE vec_id % 20 = 0),
+p AS (SELECT query_id, vec_id AS id, {_DIST.format(a='embedding', b='query')} AS distance FROM embeddings, q)
+SELECT query_id, id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM p) WHERE rank <= 10""")
+def index_search_exact(spark, d):
+    """The stored index asked with all of its lists, which is the exact answer; half of the vectors are added after it was built."""
+    from ..operators import vector_index
+    from ..shared import new_folder
+
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index = vector_index.build_index(e.where("id % 2 = 0"), new_folder(spark, "vector-index"))
+    vector_index.add(index, e.where("id % 2 <> 0"), "second")
+    found = vector_index.search(index, e.where("id % 20 = 0").withColumnRenamed("id", "query_id"), 10, len(index.centroids), digits=6)
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
+@_query()
+def index_recall(spark, d):
+    """The stored index asked with the fewest probes that reach a recall of 0.95 on every hundredth vector: per query its neighbours, and how many of
+    the ten true ones are among them."""
+    from ..operators import vector_index
+
+    index, e, queries = _index_of(spark, d)
+    exact = feed.search_batch(e, queries, 10)
+    probes = vector_index.probes_for(index, queries.where("query_id % 100 = 0"), exact.where("query_id % 100 = 0"), 0.95)
+    found = vector_index.search(index, queries, 10, probes).select("query_id", "id", F.lit(True).alias("found"))
+    both = exact.join(found, ["query_id", "id"], "left").groupBy("query_id").agg(F.count("found").alias("hits"), F.count("*").alias("true_neighbours"))
+    return both.withColumns({"probes": F.lit(probes), "lists": F.lit(len(index.centroids))})
+
+
 @_query(f"WITH {SQL} SELECT count(*) AS total, strftime(max(created_at), '%Y-%m-%dT%H:%M:%S.%f') AS last_updated FROM articles")
 def article_stats(spark, d):
     return feed.stats(articles(spark, d, url=False))
