@@ -489,6 +489,17 @@ def event_windows(spark, d):
     return windowed_counts(read(spark, d, "events"), "ts", "event_type").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@_query("""WITH e AS (SELECT *, coalesce(date_diff('microsecond', lag(ts) OVER w, ts) >= 7200000000, true) AS opens FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM e)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 2 HOUR AS session_end, count(*) AS n FROM s GROUP BY user_id, session""")
+def event_sessions(spark, d):
+    """Sessions of each user, two hours apart."""
+    from ..streaming.windows import session_counts
+
+    at = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return session_counts(read(spark, d, "events"), "ts", "user_id", "2 hours").select("user_id", at("session_start"), at("session_end"), "n")
+
+
 # --- dedup, extraction, the run ----------------------------------------------------------------------
 
 
