@@ -1,5 +1,5 @@
-"""Known URLs, upserts and updates: a new snapshot of a table from the old one and a batch. Plain files know no MERGE, so callers
-write the snapshot beside the old one and move their pointer."""
+"""Known URLs, upserts and updates: a new snapshot of a table from the old one and a batch. Plain files know no MERGE; a published table
+(:mod:`..sources.published`) takes the snapshot by ``replace``."""
 
 from __future__ import annotations
 

@@ -145,6 +145,41 @@ def fresh_urls(spark, d):
     return state.fresh(pages.select("page_id", "url"), articles(spark, d).where("score >= 95"), pages.where("page_id < 20"))
 
 
+_FRESH = f"WITH {SQL}, known AS (SELECT url FROM articles WHERE score >= 95 UNION SELECT url FROM pages WHERE page_id < 20) SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM known WHERE url IS NOT NULL)"
+
+
+def _known(spark, d):
+    """Two days of known addresses."""
+    return articles(spark, d).where("score >= 95").select("url"), read(spark, d, "pages").where("page_id < 20").select("url")
+
+
+@_query(_FRESH)
+def fresh_urls_bucketed(spark, d):
+    """fresh_urls by a bucketed history, which isn't shuffled."""
+    from ..operators import history
+    from ..shared import new_folder
+
+    where = new_folder(spark, "history")
+    known = history.UrlHistory(spark, "known_" + where.rsplit("-", 1)[1], where, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    for day, keys in zip(("2026-06-27", "2026-06-28"), _known(spark, d)):
+        known.add(keys, day)
+    return known.fresh(read(spark, d, "pages").select("page_id", "url"))
+
+
+@_query(_FRESH)
+def fresh_urls_filtered(spark, d):
+    """fresh_urls by the merged filters of two days; only what these don't clear is joined."""
+    from ..operators import history
+    from ..shared import new_folder
+
+    where = new_folder(spark, "url-filter")
+    days = _known(spark, d)
+    for day, keys in zip(("2026-06-27", "2026-06-28"), days):
+        history.store_day(history.filter_of(keys, "url"), where, day)
+    known = history.merged(spark.read.parquet(where))
+    return history.fresh_by_filter(read(spark, d, "pages").select("page_id", "url"), "url", known, days[0].unionByName(days[1]))
+
+
 def _verdicts(spark, d):
     return read(spark, d, "labels").select(F.concat(F.lit("u"), F.col("doc_id")).alias("url"), (F.col("quality") * 60 + F.col("doc_id") % 41).cast("int").alias("score"), F.col("doc_id").alias("pos"))
 
