@@ -86,7 +86,8 @@ def test_codes_of_huge_components(spark):
     assert coded(spark, wide, kind="double", parts=2, entries=4, rounds=2) == codes_brute(kept(wide), 2, 4, 2, 4096)
 
 
-def test_shortlists_keep_the_nearest_entry_and_drop_others():
+def test_shortlists_keep_the_nearest_entry_and_drop_others(monkeypatch):
+    monkeypatch.setattr(vector_codes, "BLOCK", 16)
     draw = np.random.default_rng(5)
     values = draw.integers(-4000, 4000, (1, 3000, 4))
     order = vector_codes.hilbert_order(values[0])
