@@ -2,9 +2,9 @@
 
 Texts are lower-cased and cut into words, which lose the ASCII punctuation at their ends; words of punctuation alone vanish. Fixed
 masks over runs of words hash the selected words and ignore the others, so a substituted word breaks only seeds that select
-it. The documents' seeds are joined with the benchmark's, behind a bitmap of fixed size. Each hit proposes an alignment of an item with the document, in which the longest stretch with at least
-``percent`` percent equal words is taken; it counts if it holds ``least`` words and ``part`` percent of the item (the item, where
-that is shorter).
+it. The documents' seeds are joined with the benchmark's, behind a bitmap of fixed size. Each hit proposes an alignment of an item with the
+document, in which the longest stretch with at least ``percent`` percent equal words is taken; it counts if it holds ``least`` words, or
+the item where that is shorter, and is reported with the share of the item that it covers.
 
 Items are merged by their words and go to the tasks as an index, in blocks of ``BLOCK_WORDS`` words: the benchmark is the query set, and
 documents pass by once per block without a shuffle. A seed that many items share costs a task one comparison of words per item and
@@ -12,8 +12,8 @@ document, in which an alignment is dropped when too few words are equal for any
 
 With the masks here every item of 15 words or more of which a fifth is substituted, however placed (15 words: proven for all
 placements), has a seed hit; of all placements that the percentage allows in items of 7 to 14 words more than nine in ten have one.
-Items of 5 to 6 words, shorter than a mask, are sought as they are; items of fewer than ``MIN_ITEM`` words are no passage and are
-ignored.
+Items of 1 to 6 words, shorter than a mask, are sought as they are. ``clean`` doesn't drop documents for whole items of fewer than ``PHRASE``
+words, which any text may hold.
 
 Rules for odd input: null and empty texts or items match nothing; items that repeat are each reported; rows that repeat a
 doc_id are each searched and reported as one pair (the longest match); null ids are reported as null; other columns are
@@ -28,12 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, in_bitmap, mix, pieces, small_batches, stored, without
+from .common import WordHashes, in_bitmap, joined, mix, pieces, small_batches, stored, without
 
 #: Selected offsets of the masks.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 5, 6), (0, 1, 2, 3, 4))
 SPAN = max(m[-1] for m in MASKS) + 1
-MIN_ITEM = 5
+PHRASE = 5
 BITS = 24
 #: Words of items that are broadcast at a time (about 60 bytes each with their seeds).
 BLOCK_WORDS = 500_000
@@ -73,13 +73,13 @@ def _lower(c: str = "text"):
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """item_id, key (of the words) and words (64-bit hashes) of items that are long enough."""
+    """item_id, key (of the words) and words (64-bit hashes) of items with a word."""
 
     def run(batches):
         hashes = _Words()
         for b in batches:
             words = [hashes.of(t.split()) for t in b.column(1).to_pylist()]
-            keep = pa.array([len(h) >= MIN_ITEM for h in words], pa.bool_())
+            keep = pa.array([len(h) > 0 for h in words], pa.bool_())
             blobs = pa.array([h.tobytes() for h in words], pa.binary())
             keys = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in words], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), keys.filter(keep), blobs.filter(keep)], ["item_id", "key", "words"])
@@ -91,13 +91,13 @@ def _items(benchmark: DataFrame) -> DataFrame:
 class _Index:
     """Items and their seeds, sorted by seed."""
 
-    def __init__(self, keys: list[bytes], blobs: list[bytes], least: int, part: int):
+    def __init__(self, keys: list[bytes], blobs: list[bytes], least: int):
         words = [np.frombuffer(w, np.uint64) for w in blobs]
         self.keys, self.size = keys, np.array([len(w) for w in words], np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.words = np.concatenate(words) if words else np.empty(0, np.uint64)
         #: Words that a stretch must hold.
-        self.need = np.minimum(self.size, np.maximum(least, -(-self.size * part // 100)))
+        self.need = np.minimum(self.size, least)
         self.masks = [(m, k) for k, m in enumerate(MASKS)] + [(tuple(range(n)), 100) for n in sorted({len(w) for w in words if len(w) < SPAN})]
         seed, item, at = [], [], []
         for i, w in enumerate(words):
@@ -193,27 +193,29 @@ def longest_stretch(same: np.ndarray, percent: int) -> tuple[int, int]:
     return (start + int(inside[0]), start + int(inside[-1]) + 1) if len(inside) else (start, start)
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, percent: int = 80, least: int = 13, part: int = 40) -> DataFrame:
-    """doc_id, item_id, doc_word (where the stretch starts among the document's words), n_words, n_equal: a row per pair of a
-    document and a benchmark item that it holds, with the longest stretch."""
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, percent: int = 80, least: int = 13) -> DataFrame:
+    """doc_id, item_id, doc_word (where the stretch starts among the document's words), n_words, n_equal, share (of the item's words): a
+    row per pair of a document and a benchmark item that it holds or holds ``least`` words of, with the longest stretch."""
     items = stored(_items(benchmark), "decon-items")
     distinct = stored(items.groupBy("key").agg(F.first("words").alias("words")), "decon-distinct")
     blocks = max(1, -(-(distinct.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // (8 * BLOCK_WORDS)))
     found = None
     for i in range(blocks):
         rows = distinct.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).orderBy("key").collect()  # about BLOCK_WORDS words
-        more = _search(docs, _Index([bytes(r.key) for r in rows], [bytes(r.words) for r in rows], least, part), percent)
+        more = _search(docs, _Index([bytes(r.key) for r in rows], [bytes(r.words) for r in rows], least), percent)
         found = more if found is None else found.unionByName(more)
     best = F.max(F.struct("n_words", "n_equal", (-F.col("doc_word")).alias("first"))).alias("b")
     b = F.col("b")
-    out = found.groupBy("doc_id", "key").agg(best).join(items.select("key", "item_id"), "key")
-    return out.select("doc_id", "item_id", (-b["first"]).alias("doc_word"), b["n_words"].alias("n_words"), b["n_equal"].alias("n_equal"))
+    pairs = stored(found.groupBy("doc_id", "key").agg(best), "decon-pairs")
+    out = joined(pairs, items.select("key", "item_id", (F.octet_length("words") / 8).alias("size")), "key", ["doc_id"])
+    return out.select("doc_id", "item_id", (-b["first"]).alias("doc_word"), b["n_words"].alias("n_words"), b["n_equal"].alias("n_equal"), (b["n_words"] / F.col("size")).alias("share"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text holds no benchmark passage; texts stand for their rows here, so ids may repeat or be null."""
+    """The rows of ``docs`` whose text holds no benchmark passage of PHRASE words or more; texts stand for their rows here, so ids may repeat or
+    be null."""
     key = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    found = find_overlaps(docs.select(key.alias("doc_id"), "text"), benchmark)
+    found = find_overlaps(docs.select(key.alias("doc_id"), "text"), benchmark).where(F.col("n_words") >= PHRASE)
     return without(docs, key, stored(found.select(F.col("doc_id").alias("key")).distinct(), "decon-found"))
 
 

@@ -385,7 +385,7 @@ def test_masks_find_most_placements_in_shorter_items():
         assert found >= 0.9 * len(ways), n
 
 
-def overlaps_brute(docs, bench, percent=80, least=13, part=40):
+def overlaps_brute(docs, bench, percent=80, least=13):
     """Every item laid at every place of every document."""
     bare = lambda t: [w for w in (w.strip(decontaminate._EDGES) for w in (t or "").lower().encode().split()) if w]
     out = {}
@@ -393,11 +393,11 @@ def overlaps_brute(docs, bench, percent=80, least=13, part=40):
         w = bare(t)
         for item, u in bench:
             v = bare(u)
-            need = min(len(v), max(least, -(-len(v) * part // 100)))
+            need = min(len(v), least)
             for shift in range(-len(v) + 1, len(w)):
                 a, z = max(shift, 0), min(shift + len(v), len(w))
                 same = np.array([w[i] == v[i - shift] for i in range(a, z)])
-                ok = len(v) >= decontaminate.MIN_ITEM and same.any()
+                ok = bool(same.any())
                 ok = ok and (len(v) >= decontaminate.SPAN or (len(same) == len(v) and same.all()))  # short items as they are
                 s, e = decontaminate.longest_stretch(same, percent) if ok else (0, 0)
                 if e > s and (e - s >= need or 100 * same.sum() >= percent * len(v)):
@@ -413,7 +413,7 @@ def test_overlaps_of_random_texts(spark, monkeypatch, small):
             monkeypatch.setattr(decontaminate, name, n)
     r = np.random.default_rng(11)
     word = lambda: f"q{r.integers(0, 400)}"
-    bench = [(i, " ".join(word() for _ in range(int(r.integers(3, 40))))) for i in range(25)] + [(90, "a a a a a a a a a a a a a a a"), (91, None)]
+    bench = [(i, " ".join(word() for _ in range(int(r.integers(1, 40))))) for i in range(25)] + [(90, "a a a a a a a a a a a a a a a"), (91, None)]
     docs = []
     for i in range(60):
         v = bench[int(r.integers(0, 26))][1].split()
@@ -454,6 +454,12 @@ def test_decontamination(spark, odd, nothing):
     assert {x for x in got if x[1] == 1} == {(1, 1), (2, 1), (3, 1), (7, 1)}
     assert {x for x in got if x[1] in (2, 6)} == {(5, 2), (5, 6)}
     assert (1, None) in got and not {x for x in got if x[1] in (3, 4, 5)}
+    shares = {(r.doc_id, r.item_id): r.share for r in decontaminate.find_overlaps(df, bench).collect()}
+    assert shares[7, 1] == 24 / 40 and shares[5, 2] == 1
+    long = spark.createDataFrame([(1, " ".join(f"n{i}" for i in range(59))), (2, "answer: forty-two")], "item_id long, text string")
+    parts = frame(spark, [(1, "so " + " ".join(f"n{i}" for i in range(30, 50)) + " it", "a"), (2, "the Answer forty-two!", "a"), (3, " ".join(f"n{i}" for i in range(12)), "a")])
+    assert sorted((r.doc_id, r.item_id, r.n_words, round(r.share, 3)) for r in decontaminate.find_overlaps(parts, long).collect()) == [(1, 1, 20, 0.339), (2, 2, 2, 1.0)]
+    assert [r.doc_id for r in decontaminate.clean(parts, long).collect() if r.doc_id != 3] == [2]  # a phrase of two words costs no document
     kept = decontaminate.clean(df, bench)
     assert kept.columns == df.columns
     assert collections.Counter(r.doc_id for r in kept.collect()) == collections.Counter(d for d, _ in texts(odd)) + collections.Counter([4, 6, 8])
