@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .entities import unescape  # noqa: F401
+
 # What the article rules look for.
 PROMPT_PREFIX = r"(?i)^(?:Show|Launch|Ask|Tell) HN:\s*"
 KEYWORDS = (
@@ -157,40 +159,6 @@ def lowered(c: Column) -> Column:
     return F.transform(c, lambda x: F.lower(x))
 
 
-# The entities that are decoded, and what numbers below 160 mean that name no character of their own.
-ENTITIES = {
-    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\xa0", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•",
-    "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "sbquo": "‚", "ldquo": "“", "rdquo": "”", "bdquo": "„", "laquo": "«",
-    "raquo": "»", "lsaquo": "‹", "rsaquo": "›", "larr": "←", "rarr": "→", "harr": "↔", "times": "×", "divide": "÷", "plusmn": "±", "deg": "°",
-    "sect": "§", "para": "¶", "euro": "€", "pound": "£", "yen": "¥", "cent": "¢", "iexcl": "¡", "iquest": "¿", "szlig": "ß", "agrave": "à",
-    "aacute": "á", "acirc": "â", "atilde": "ã", "auml": "ä", "aring": "å", "aelig": "æ", "ccedil": "ç", "egrave": "è", "eacute": "é", "ecirc": "ê",
-    "euml": "ë", "igrave": "ì", "iacute": "í", "icirc": "î", "iuml": "ï", "ntilde": "ñ", "ograve": "ò", "oacute": "ó", "ocirc": "ô", "otilde": "õ",
-    "ouml": "ö", "oslash": "ø", "ugrave": "ù", "uacute": "ú", "ucirc": "û", "uuml": "ü", "Agrave": "À", "Aacute": "Á", "Auml": "Ä", "Aring": "Å",
-    "AElig": "Æ", "Ccedil": "Ç", "Egrave": "È", "Eacute": "É", "Ntilde": "Ñ", "Ouml": "Ö", "Oslash": "Ø", "Uuml": "Ü", "OElig": "Œ", "oelig": "œ",
-}
-CP1252 = {128: "€", 130: "‚", 133: "…", 139: "‹", 145: "‘", 146: "’", 147: "“", 148: "”", 149: "•", 150: "–", 151: "—", 153: "™", 155: "›", 159: "Ÿ"}
-
-
-def unescape(c: Column) -> Column:
-    """HTML entities decoded in one pass, so that ``&amp;lt;`` becomes ``&lt;``: those of ENTITIES, and numbers in decimal and hexadecimal
-    form; what names no character becomes U+FFFD. Other names stay as they are."""
-    names = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
-    old = F.create_map(*[F.lit(x) for kv in CP1252.items() for x in kv])
-    pattern = rf"&(?:#[0-9]{{1,7}};|#[xX][0-9a-fA-F]{{1,6}};|(?:{'|'.join(ENTITIES)});)"
-
-    def one(x: Column) -> Column:
-        body = F.regexp_extract(x, "^&#?([^;]*);$", 1)
-        number = F.when(body.rlike("^[xX]"), F.conv(F.substring(body, 2, 6), 16, 10)).otherwise(body).try_cast("int")
-        bad = (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-        return F.when(x.startswith("&#"), F.when(bad, "\ufffd").otherwise(F.coalesce(F.try_element_at(old, number), char))).otherwise(F.try_element_at(names, body))
-
-    pieces = F.split(c, pattern, -1)
-    found = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), one)
-    joined = F.array_join(F.transform(F.arrays_zip(pieces.alias("p"), found.alias("f")), lambda z: F.concat(z["p"], F.coalesce(z["f"], F.lit("")))), "")
-    return F.when(c.contains("&"), joined).otherwise(c)
-
-
 def json_list(c: Column) -> Column:
     """A list of texts from its JSON form; null where it is none."""
     return F.from_json(c, "array<string>")

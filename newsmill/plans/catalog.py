@@ -545,11 +545,48 @@ def semantic_dedup_cosine(spark, d):
     return steps.near_vectors(e, 0.4).withColumn("similarity", F.round("similarity", 6))
 
 
-@_query()
+def _main_sql(limit: int | None = None) -> str:
+    """The block scoring of markup.main_text step by step; walls that the tables may hold are those of text.BLOCKERS."""
+    body = "regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', ' ', 'g')"
+    for tag in markup.NO_TEXT:
+        body = f"regexp_replace({body}, '(?is)<{tag}(?:\\s[^>]*)?>.*?</{tag}\\s*>', ' ', 'g')"
+    inner = lambda tag: f"regexp_extract(body, '(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}\\s*>', 1)"
+    plain = r"""trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '&quot;?', '"', 'g'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'),
+      '&amp;?', '&', 'g'), '[\s\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g'), ' ')"""
+    plain = lambda c, p=plain: p.replace("{}", c, 1)
+    walls = " OR ".join("regexp_matches(text, '" + p.replace("'", "''") + "')" for p in text.BLOCKERS)
+    words = lambda c: f"CASE WHEN {c} = '' THEN 0 ELSE len(string_split({c}, ' ')) END"
+    cut = f"substring(text, 1, {limit})" if limit else "text"
+    return rf"""WITH b AS (SELECT page_id, {body} AS body FROM pages),
+    p AS (SELECT page_id, coalesce(nullif({inner('article')}, ''), {inner('main')}) AS inside, body FROM b),
+    s AS (SELECT page_id, inside <> '' AS explicit, unnest(string_split_regex(CASE WHEN inside <> '' THEN inside ELSE body END, '{markup.BLOCK_TAG}')) AS block,
+      generate_subscripts(string_split_regex(CASE WHEN inside <> '' THEN inside ELSE body END, '{markup.BLOCK_TAG}'), 1) AS place FROM p),
+    t AS (SELECT page_id, explicit, place, {plain('block')} AS text, {plain("array_to_string(regexp_extract_all(block, '" + markup.ANCHOR + "', 1), ' ')")} AS links FROM s),
+    w AS (SELECT page_id, explicit, place, text, {words('text')} AS n, {words('links')} / ({words('text')}) AS d FROM t WHERE text <> ''),
+    c AS (SELECT *, d <= 1.0 / 3 AND CASE WHEN coalesce(lag(d) OVER o, 0) <= 5.0 / 9 THEN n > 16 OR coalesce(lead(n) OVER o, 0) > 15 OR coalesce(lag(n) OVER o, 0) > 4
+      ELSE n > 40 OR coalesce(lead(n) OVER o, 0) > 17 END AS content FROM w WINDOW o AS (PARTITION BY page_id ORDER BY place)),
+    f AS (SELECT *, CASE WHEN explicit THEN d <= 0.5 ELSE content OR (d <= 1.0 / 3 AND coalesce(lag(content) OVER o, false) AND coalesce(lead(content) OVER o, false)) END AS kept
+      FROM c WINDOW o AS (PARTITION BY page_id ORDER BY place)),
+    g AS (SELECT pages.page_id, coalesce(string_agg(f.text, chr(10) ORDER BY place), '') AS text FROM pages LEFT JOIN f ON f.page_id = pages.page_id AND kept GROUP BY pages.page_id)
+    SELECT page_id, CASE WHEN length(text) < {text.BLOCKER_LENGTH} OR {walls} THEN '' ELSE {cut} END AS text FROM g"""
+
+
+@_query(_main_sql())
 def extract_main_text(spark, d):
     return read(spark, d, "pages").select("page_id", markup.main_text(F.col("html")).alias("text"))
 
 
+@_query(_main_sql(500))
+def extract_main_text_500(spark, d):
+    return read(spark, d, "pages").select("page_id", markup.main_text(F.col("html"), 500).alias("text"))
+
+
+@_query(_main_sql().replace("FROM b),", "FROM (SELECT page_id, regexp_replace(body, '</?(article|h1)>', '<div>', 'g') AS body FROM b)),"))
+def extract_scored_text(spark, d):
+    """The same pages without article elements, so that blocks are scored."""
+    return read(spark, d, "pages").select("page_id", markup.main_text(F.regexp_replace("html", "</?(article|h1)>", "<div>")).alias("text"))
+
+
 _SCORE = "least(100, CAST(floor(length(text) / 20.0) AS INTEGER) + len(string_split(title, ' ')) * 2)"
 _TIDY = "trim(regexp_replace({}, ' {{2,}}', ' ', 'g'), ' ' || chr(10))"
 
@@ -728,7 +765,7 @@ def resolved_kind(spark, d):
     return read(spark, d, "pages").select("page_id", urls.resolve_kind(url, F.lit("BLOG"), content).alias("kind"), repo.alias("repo"))
 
 
-@_query("SELECT page_id, md5(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&middot;', '·'), '&copy;', '©'), '&quot;', chr(34)), '&amp;', '&')) AS html FROM pages")
+@_query("SELECT page_id, md5(regexp_replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&middot;', '·'), '&copy;', '©'), '&quot;', chr(34)), '&amp;?', '&', 'g')) AS html FROM pages")
 def unescape_html(spark, d):
     return read(spark, d, "pages").select("page_id", F.md5(text.unescape(F.col("html")).cast("binary")).alias("html"))
 

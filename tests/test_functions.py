@@ -47,6 +47,48 @@ def test_golden(spark, f, given, want):
     assert one(spark, f(F.lit(given).cast("string"))) == want
 
 
+def test_unescape_of_every_name_and_number(spark):
+    import html
+    import html.entities
+
+    names = sorted(html.entities.html5)
+    rows = [f"&{n}" for n in names] + [f"x&{n.rstrip(';')}y" for n in names] + [f"&{n}&{n[:-1]}&amp{n}" for n in names] + [f"&{n[: len(n) // 2 + 1]} &{n[:-1]}=" for n in names]
+    low = list(range(0, 300)) + [n for n in range(300, 0x110010, 997)] + list(range(0xD7F0, 0xE010)) + [0xFDCF, 0xFDD0, 0xFDEF, 0xFDF0] + [p * 0x10000 + x for p in range(17) for x in (0xFFFD, 0xFFFE, 0xFFFF)]
+    rows += [f"&#{n};" for n in low] + [f"&#x{n:x};&#X{n:06X}" for n in low] + ["&#" + "9" * 60 + ";", "&#" + "0" * 60 + "65;", "&#;", "&#x;", "&", "&&", "&;", "a&b&c", "&" + "a" * 40, "&notit;&notin;&notin", "&\tx", None]
+    got = spark.createDataFrame([(x,) for x in rows], "c string").repartition(8).select("c", text.unescape(F.col("c")).alias("u")).collect()
+    wrong = [(x.c, x.u, html.unescape(x.c)) for x in got if x.c is not None and x.u != html.unescape(x.c)]
+    assert not wrong, wrong[:5]
+    assert all(x.u is None for x in got if x.c is None)
+
+
+_WORDS = " ".join(f"word{i}" for i in range(45))
+_MENU = "<div><a href='/a'>Home</a> <a href='/b'>About us</a></div>"
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (None, ""),
+        ("", ""),
+        (f"<article><p>{_WORDS}</p><p>Short end.</p></article><p>{_WORDS} outside</p>", f"{_WORDS}\nShort end."),
+        (f"<main><p>{_WORDS}</p><p><a href=x>all linked words here</a></p></main>", _WORDS),
+        (f"{_MENU}<div><p>{_WORDS}</p></div>", _WORDS),
+        (f"{_MENU}<h2>A heading</h2><p>{_WORDS}</p><p>{_WORDS} again</p><p>Copyright us</p>", f"A heading\n{_WORDS}\n{_WORDS} again\nCopyright us"),
+        (f"<p>Hi</p><ul><li><a href=1>one</a><li><a href=2>two</a></ul><p>{_WORDS}</p><ul><li><a href=3>three</a><li><a href=4>four</a></ul><p>Bye</p>", _WORDS),
+        (f"<nav><p>{_WORDS}</p></nav><script>{_WORDS}</script><!-- {_WORDS} --><p>{_WORDS} kept</p><footer>{_WORDS}</footer>", f"{_WORDS} kept"),
+        (f"<p>{_WORDS} &amp; &eacute;&nbsp;x</p>", f"{_WORDS} & é x"),
+        (f"<div>Please sign in. {_WORDS}</div>", ""),
+        ("<p>too short</p>", ""),
+        (f"<p>{_WORDS}</p><p>few words</p><p>{_WORDS} more</p>", f"{_WORDS}\nfew words\n{_WORDS} more"),
+        (f"<p>{_WORDS}</p><p>see <a href=x>a</a></p><p>{_WORDS} more</p>", f"{_WORDS}\n{_WORDS} more"),
+        (f"<section><table><tr><td>{_WORDS}</td></tr></table><p>{_WORDS} b<br>c</p></section>", f"{_WORDS} b c"),
+    ],
+)
+def test_main_text(spark, page, want):
+    assert one(spark, markup.main_text(F.lit(page).cast("string"))) == want
+    assert one(spark, markup.main_text(F.lit(page).cast("string"), 7)) == want[:7]
+
+
 def test_unescape(spark):
     import html
     import random
