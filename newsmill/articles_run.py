@@ -7,12 +7,13 @@ the embeddings of their titles; a fetched URL that tells a story of a recent art
 
 from __future__ import annotations
 
+import functools
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from . import models
+from . import ledger, models
 from .functions import dates, text, urls
 from .operators import state, steps
 from .shared import stored
@@ -44,20 +45,25 @@ def run(
     kind_of=models.rule_kind,
     counters: dict | None = None,
     model: models.Model | None = None,
+    book: ledger.Ledger | None = None,
+    pause: float = 0.0,
 ) -> tuple[DataFrame, DataFrame]:
     """(new articles, scored URLs after the run). ``fetched`` has FETCHED's columns and pos; ``pages`` (url, content) are fetched texts;
     ``dead`` (host) are names that don't resolve. Model steps are functions of columns: ``score`` (title, content), ``improve`` (title:
     the title rewritten, null to leave it), ``summarize``, ``categorize`` and ``kind_of`` (content). A ``model`` takes the place of them all,
     called in chunks: when it fails to score, the run fails; a failed comparison of stories drops nothing; what fails later leaves the
     title as it was, or the summary empty. New articles get the ids after the
-    largest one of ``articles``, in the order of their URLs. A second run on the results inserts nothing."""
+    largest one of ``articles``, in the order of their URLs. A second run on the results inserts nothing. With a ``book``, scores, titles and
+    summaries are asked through this ledger: a run that failed is repeated without asking again for what was answered; failed calls
+    are tried again, with ``pause`` seconds between calls of a task."""
+    ask = functools.partial(ledger.asked, book=book, **({"pause": pause} if book else {}))
     rows = counted(state.fresh(counted(fetched, "fetched", counters), articles, scored), "unknown", counters)
     if dead is not None:
         rows = counted(steps.dead_hosts(rows, dead), "alive", counters)
     rows = without_known_stories(rows, recent(articles, as_of), model.embed if model else embed, model)
     if model:
         rows = stored(rows, "scoring")
-        verdicts = models.apply(steps.prompt_input(rows), model.score, "url string, score int", steps.BATCH)
+        verdicts = ask(steps.prompt_input(rows), model.score, "url string, score int", steps.BATCH, step="score")
         judged = steps.with_scores(rows, verdicts.withColumn("pos", F.monotonically_increasing_id()))
     else:
         verdict = F.coalesce(score(F.col("title"), F.coalesce("content", F.lit(""))), F.lit(0))
@@ -78,7 +84,7 @@ def run(
     else:
         made = made.withColumn("full_content", F.when(F.col("source_type").isin(*steps.OWN_CONTENT), F.col("content")).otherwise(F.lit("")))
     if model:
-        fixes = models.apply(made.select("url", "title", "source"), model.improve_titles, "url string, title string", 1, "keep")
+        fixes = ask(made.select("url", "title", "source"), model.improve_titles, "url string, title string", 1, "keep", step="title")
         better = state.first_wins(fixes.withColumn("pos", F.monotonically_increasing_id()), "url", "pos").select("url", F.col("title").alias("better"))
         made = made.join(better, "url", "left")
     else:
@@ -88,7 +94,7 @@ def run(
     prompt = F.substring(full, 1, steps.PROMPT_CONTENT)
     has = full != ""
     if model:
-        made, given = modelled(stored(made, "described"), prompt, has, model)
+        made, given = modelled(stored(made, "described"), prompt, has, model, ask)
     else:
         given = {
             "summary": F.when(has, summarize(prompt)),
@@ -113,14 +119,14 @@ def run(
     return done.join(vecs, "id", "left"), state.upsert_keys(scored, rows, "url")
 
 
-def modelled(made: DataFrame, prompt, has, model: models.Model) -> tuple[DataFrame, dict]:
+def modelled(made: DataFrame, prompt, has, model: models.Model, ask=ledger.asked) -> tuple[DataFrame, dict]:
     """``made`` with the model's answers, and the columns that hold them: articles with a text are summarised, the others get categories
     and a kind by their titles."""
     answer = "id long, summary string, categories array<string>, kind string"
-    whole = models.apply(made.where(has).select("id", "title", prompt.alias("content")), model.summarize, answer, 1, "keep")
+    whole = ask(made.where(has).select("id", "title", prompt.alias("content")), model.summarize, answer, 1, "keep", step="summary", key="id")
     bare = made.where(~has)
-    named = models.apply(bare.select("id", "title"), model.categorize, "id long, categories array<string>", 1, "keep").select("id", "categories")
-    kinds = models.apply(bare.select("id", "title", "url", F.lit(None).cast("string").alias("summary")), model.classify_kind, "id long, kind string", 1, "keep").select("id", "kind")
+    named = ask(bare.select("id", "title"), model.categorize, "id long, categories array<string>", 1, "keep", step="categories", key="id").select("id", "categories")
+    kinds = ask(bare.select("id", "title", "url", F.lit(None).cast("string").alias("summary")), model.classify_kind, "id long, kind string", 1, "keep", step="kind", key="id").select("id", "kind")
     every = whole.select("id", "summary", "categories", "kind").unionByName(named.join(kinds, "id", "full"), allowMissingColumns=True)
     answers = every.toDF("id", "given_summary", "given_categories", "given_kind")
     return made.join(answers, "id", "left"), {c: F.col(f"given_{c}") for c in ("summary", "categories", "kind")}
