@@ -63,8 +63,9 @@ def build_index(rows: DataFrame, path: str, lists: int | None = None, sample: in
     unit = whole.where(vectors.norm(F.col("embedding")) > 0)
     drawn = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < math.ceil(min(1.0, 1.2 * sample / max(1, n)) * (1 << 20))
     learnt = unit.where(drawn).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select(array_to_vector(vectors.normalise(F.col("embedding"))).alias("features"))
-    if learnt.isEmpty():
-        centres = [[1.0]]
+    if lists == 1 or learnt.limit(2).count() < 2:  # nothing to divide
+        first = unit.orderBy(F.xxhash64("id"), "id").select(vectors.normalise(F.col("embedding")).alias("v")).first()
+        centres = [first.v if first else [1.0]]
     else:
         centres = KMeans(k=lists, seed=seed, maxIter=12, initSteps=2, distanceMeasure="cosine").fit(learnt.cache()).clusterCenters()
         learnt.unpersist()
