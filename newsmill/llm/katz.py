@@ -6,7 +6,7 @@ not seen after that history; so every history's probabilities sum to one. Words
 has the unigrams' left-over mass. A history not seen in training backs off with weight one.
 
 Work is dealt out by history. The first pass over the texts counts words and notes which partitions will need a word's
-count; the second sends each partition its pairs with the documents that hold them, packed as arrays and summed per task. From one
+count; the second sends each partition its pairs with the documents that hold them, packed as arrays and summed by chunk. From one
 shuffle of these, a first branch takes the counts of counts, which the discounts need, and a second scores the pairs and
 returns partial sums per document. A frequent history is dealt out by pair, and of frequent pairs only counts go to one partition
 while the documents stay spread; totals of both come back by broadcast. A frequent word or pair makes up at least 1 / (2 x partitions)
@@ -314,11 +314,12 @@ def _shares(dealt: DataFrame, deal: _Deal, uni: Unigrams) -> DataFrame:
     return rows.agg(F.sort_array(F.collect_list(F.struct("kind", "h", "w", "v"))).alias("shared"))  # 4 x partitions of them at most
 
 
-SUMS = "chunk long, kind int, n long, a binary, b binary, c binary"
+SUMS = "chunk long, kind int, n long, docs binary, a binary, b binary, c binary"
 
 
 def _scored(dealt: DataFrame, shared: DataFrame, deal: _Deal, uni: Unigrams) -> DataFrame:
-    """Per partition and chunk: sums of log probability, base score and known words for each document of the chunk."""
+    """Per partition and chunk: sums of log probability, base score and known words for those documents of the chunk that have pairs here: a document
+    is named once for each partition that it has pairs in, so never more often than it has words."""
 
     def run(batches):
         facts = None
@@ -353,37 +354,37 @@ def _scored(dealt: DataFrame, shared: DataFrame, deal: _Deal, uni: Unigrams) ->
             score = np.log10(np.where(count > 0, factor * count / total[number], alpha[number] * p1))
         base, known = uni.base(part.c), part.c > 0
 
-        at, sums = 0, {}
-        for chunk, n, occ, docs in part.chunks:
+        types = [pa.int64(), pa.int32(), pa.int64()] + [pa.binary()] * 4
+
+        def row(*values):
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, types)], [c.split()[0] for c in SUMS.split(", ")])
+
+        at = 0
+        for chunk, n, occ, docs in part.chunks:  # sums of the documents that a chunk has here, and of no others
             pair = np.repeat(part.inverse[at : at + n], occ)
             at += n
             if len(docs):
-                size = int(docs.max()) + 1
-                new = [np.bincount(docs, weights=x[pair], minlength=size) for x in (score, base, known)]
-                old = sums.get(chunk)
-                if old is not None:
-                    size = max(size, len(old[0]))
-                    new = [np.pad(x, (0, size - len(x))) + np.pad(y, (0, size - len(y))) for x, y in zip(new, old)]
-                sums[chunk] = new
-        rows = [(c, PAIRS, len(s[0]), s[0].tobytes(), s[1].tobytes(), s[2].astype(np.uint32).tobytes()) for c, s in sums.items()]
-        rows += [(c, DOCS, n, i, z, s) for c, n, i, z, s in part.docs]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        for r in rows:
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(r, types)], ["chunk", "kind", "n", "a", "b", "c"])
-
-    # One row beside each: the totals. In one query with what makes them, since a second would make the shuffle of pairs anew.
-    return dealt.crossJoin(F.broadcast(shared)).mapInArrow(run, SUMS)
+                own, number = np.unique(docs, return_inverse=True)
+                s, z, k = (np.bincount(number, weights=x[pair], minlength=len(own)) for x in (score, base, known))
+                yield row(chunk, PAIRS, len(own), _small(own).tobytes(), s.tobytes(), z.tobytes(), _small(k.astype(np.int64)).tobytes())
+        for chunk, n, ids, nulls, sizes in part.docs:
+            yield row(chunk, DOCS, n, b"", ids, nulls, sizes)
+
+    # The totals stand in the first row of each partition. In one query with what makes them, since a second would make the shuffle of pairs anew.
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    return dealt.crossJoin(F.broadcast(shared)).withColumn("shared", F.when(first, F.col("shared"))).mapInArrow(run, SUMS)
 
 
 def _per_document(sums: DataFrame) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
+        rows = t.to_pylist()  # CHUNK words' sums at most, some 20 bytes for each word
         d = next(r for r in rows if r["kind"] == DOCS)
         score, base, known = np.zeros(d["n"]), np.zeros(d["n"]), np.zeros(d["n"], np.int64)
         for r in sorted((r for r in rows if r["kind"] == PAIRS), key=lambda r: (r["a"], r["b"])):  # the same order of adding every time
-            score[: r["n"]] += np.frombuffer(r["a"])
-            base[: r["n"]] += np.frombuffer(r["b"])
-            known[: r["n"]] += np.frombuffer(r["c"], np.uint32)
+            at = _wide(r["docs"], r["n"])
+            score[at] += np.frombuffer(r["a"])
+            base[at] += np.frombuffer(r["b"])
+            known[at] += _wide(r["c"], r["n"])
         ids = pa.array(np.frombuffer(d["a"], np.int64), mask=np.frombuffer(d["b"], bool))
         return pa.table({"doc_id": ids, "n_tokens": _wide(d["c"], d["n"]), "n_known": known, "base_score": base, "score": score})
 

@@ -471,6 +471,22 @@ def test_decontamination(spark, odd, nothing):
 # --- language model -------------------------------------------------------------------------------------
 
 
+def test_sums_name_no_more_documents_than_words(spark, sf, monkeypatch):
+    """What partitions return is bounded by the words, however many partitions there are."""
+    taken, real = [], katz._per_document
+    monkeypatch.setattr(katz, "_per_document", lambda s: taken.append(s) or real(s))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    sizes, total = {}, None
+    for bucket_bytes in (100_000, 20_000, 2_000):
+        scores = katz.katz_scores(docs, F.lit(True), bucket_bytes=bucket_bytes, frequent=20)
+        rows = taken[-1].where(F.col("kind") == katz.PAIRS)
+        sent = rows.agg(F.sum(sum(F.octet_length(c) for c in ("docs", "a", "b", "c")))).first()[0]
+        tokens, got = scores.agg(F.sum("n_tokens"), F.round(F.sum("score"), 3)).first()
+        assert sent <= 24 * tokens and (total is None or abs(total - got) < 0.01)
+        sizes[bucket_bytes], total = sent, got
+    assert sizes[2_000] < 5 * sizes[20_000]  # ten times the partitions
+
+
 def good_turing(counts, most=5):
     """Katz' factors for counts 1 to ``most`` as fractions: r* = (r + 1) n(r + 1) / n(r), scaled so that what n(1) leaves is all that is left."""
     n = collections.Counter(counts)
