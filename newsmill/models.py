@@ -36,19 +36,19 @@ class Model(Protocol):
     def same_story(self, rows: pd.DataFrame) -> pd.DataFrame:  # url, title, known_url, known_title -> url, known_url of equal stories
         ...
 
-    def classify_profiles(self, rows: pd.DataFrame) -> pd.DataFrame:  # handle, bio -> handle, verdict
+    def classify_profiles(self, rows: pd.DataFrame) -> pd.DataFrame:  # handle, name, description -> handle, related, confidence
         ...
 
-    def extract_links(self, rows: pd.DataFrame) -> pd.DataFrame:  # id, html -> id, links
+    def extract_links(self, rows: pd.DataFrame) -> pd.DataFrame:  # id, html -> id, links (url, text)
         ...
 
-    def extract_products(self, rows: pd.DataFrame) -> pd.DataFrame:  # id, text -> id, products
+    def extract_products(self, rows: pd.DataFrame) -> pd.DataFrame:  # id, text -> id, products (name, description)
         ...
 
-    def select_products(self, rows: pd.DataFrame) -> pd.DataFrame:  # id, products -> id, numbers
+    def select_products(self, rows: pd.DataFrame) -> pd.DataFrame:  # id, products -> id, numbers (from 1)
         ...
 
-    def select_link(self, rows: pd.DataFrame) -> pd.DataFrame:  # id, name, description, candidates -> id, number
+    def select_link(self, rows: pd.DataFrame) -> pd.DataFrame:  # id, name, description, candidates -> id, number (from 1; 0: none), confidence
         ...
 
 

@@ -545,6 +545,18 @@ def semantic_dedup_cosine(spark, d):
     return steps.near_vectors(e, 0.4).withColumn("similarity", F.round("similarity", 6))
 
 
+@_query(f"""WITH {SQL}, v AS (SELECT id, published_at, CAST(embedding AS DOUBLE[]) AS v FROM articles WHERE embedding IS NOT NULL),
+known AS (SELECT * FROM v WHERE id % 3 <> 0 AND published_at >= TIMESTAMP '2026-06-15 00:00:00'), fresh AS (SELECT * FROM v WHERE id % 3 = 0)
+SELECT id FROM fresh WHERE id NOT IN (SELECT f.id FROM fresh f JOIN known k ON list_cosine_similarity(f.v, k.v) >= 0.35)""")
+def fresh_stories(spark, d):
+    """The story step by fixed vectors: new articles that no article of the last 14 days resembles."""
+    from ..shared import stored
+
+    rows = articles(spark, d, url=False, embedding=True).where("embedding is not null").select("id", "published_at", "embedding")
+    new = stored(rows.where("id % 3 = 0").select("id", "embedding"), "new-stories")
+    return steps.without_stories(new, articles_run.recent(rows.where("id % 3 <> 0"), AS_OF).select("id", "embedding"), 0.35).select("id")
+
+
 def _main_sql(limit: int | None = None) -> str:
     """The block scoring of markup.main_text step by step; walls that the tables may hold are those of text.BLOCKERS."""
     body = "regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', ' ', 'g')"
@@ -602,7 +614,7 @@ dead AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host F
 fresh AS (SELECT * FROM f WHERE url NOT IN (SELECT url FROM known WHERE url IS NOT NULL) AND regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) NOT IN (SELECT host FROM dead)),
 j AS (SELECT *, {_SCORE} AS score FROM fresh),
 k AS (SELECT * FROM j WHERE score >= 76 QUALIFY row_number() OVER (PARTITION BY url ORDER BY score DESC, pos) = 1),
-p AS (SELECT url, max(substring(html, 1, 3000)) AS fetched FROM pages WHERE page_id % 2 = 0 GROUP BY url),
+p AS (SELECT url, max(html) AS fetched FROM pages WHERE page_id % 2 = 0 GROUP BY url),
 c AS (SELECT k.*, CASE WHEN source_type IN ('aiNews', 'rss') THEN text ELSE coalesce(fetched, '') END AS "full", {_TIDY.format('title')} AS clean FROM k LEFT JOIN p ON k.url = p.url),
 m AS (SELECT *, substring("full", 1, 1500) AS prompt, 'About ' || clean AS better FROM c),
 n AS (SELECT *, CASE WHEN "full" <> '' THEN prompt ELSE better END AS about FROM m)
@@ -617,7 +629,7 @@ def article_run(spark, d):
     pages = read(spark, d, "pages")
     known = articles(spark, d).where("id % 7 = 0").withColumn("published_at", F.lit(None).cast("timestamp"))
     dead = pages.where("page_id % 11 = 0").select(urls.hostname(F.col("url")).alias("host"))
-    texts = pages.where("page_id % 2 = 0").groupBy("url").agg(F.max(F.substring("html", 1, 3000)).alias("content"))
+    texts = pages.where("page_id % 2 = 0").groupBy("url").agg(F.max("html").alias("content"))
     scored = pages.where("page_id % 5 = 0").select("url")
     new, _ = articles_run.run(_fetched(spark, d), known, scored, AS_OF, dead, texts, improve=lambda t: F.concat(F.lit('[x] "About '), t, F.lit('"')))
     return new.select(
@@ -725,9 +737,9 @@ def name_initials(spark, d):
     return read(spark, d, "customer").select("c_custkey", text.initials(F.regexp_replace("c_name", "#", " ")).alias("initials"))
 
 
-@_query("SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(substring(text, 1, 200), '[^a-zA-Z,]', ' ', 'g'), ','), lambda x: trim(x, ' ')), lambda x: x <> '') AS parts FROM documents")
+@_query("SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '[^a-zA-Z,]', ' ', 'g'), ','), lambda x: trim(x, ' ')), lambda x: x <> '') AS parts FROM documents")
 def list_from_csv(spark, d):
-    return read(spark, d, "documents").select("doc_id", text.split_list(F.regexp_replace(F.substring("text", 1, 200), "[^a-zA-Z,]", " ")).alias("parts"))
+    return read(spark, d, "documents").select("doc_id", text.split_list(F.regexp_replace("text", "[^a-zA-Z,]", " ")).alias("parts"))
 
 
 @_query(f"WITH {SQL} SELECT id, list_transform(categories, lambda x: lower(x)) AS categories, categories AS again FROM articles")
@@ -884,13 +896,16 @@ def page_products(spark, d):
 
 @_query(f"""WITH l AS (SELECT page_id, regexp_extract_all(html, {_LINK}, 1) AS urls, CASE page_id % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'AN' ELSE 'no such product' END AS name FROM pages),
 c AS (SELECT page_id, urls, coalesce(list_position(list_transform(urls, lambda x: contains(lower(x), lower(name))), true), 0) AS number FROM l)
-SELECT page_id, CAST(number AS INTEGER) AS number, CASE WHEN number > 0 THEN urls[number] END AS url FROM c""")
+SELECT page_id, CAST(number AS INTEGER) AS number, CASE WHEN number > 0 THEN urls[number] END AS url,
+  CASE WHEN number = 0 THEN 0.0::DOUBLE WHEN contains(lower(regexp_extract(urls[number], '^[A-Za-z]+://([^/?#]*)', 1)), CASE page_id % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'an' ELSE 'nosuchproduct' END)
+    THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM c""")
 def product_link(spark, d):
     """The candidate that fits a product's name, by number, and the candidate at that number."""
     name = F.when(F.col("page_id") % 3 == 0, "the").when(F.col("page_id") % 3 == 1, "AN").otherwise("no such product")
     found = F.transform(F.regexp_extract_all("html", F.lit(markup.LINK), F.lit(1)), lambda u: F.struct(u.alias("url"), F.lit("").alias("text")))
     rows = read(spark, d, "pages").select("page_id", found.alias("candidates"), name.alias("name")).withColumn("number", discover.choose(F.col("name"), F.col("candidates")))
-    return rows.select("page_id", "number", discover.chosen(F.col("candidates"), F.col("number"))["url"].alias("url"))
+    rows = rows.withColumn("chosen", discover.chosen(F.col("candidates"), F.col("number")))
+    return rows.select("page_id", "number", F.col("chosen.url").alias("url"), discover.confidence(F.col("name"), F.col("chosen")).alias("confidence"))
 
 
 def queries() -> dict:

@@ -200,3 +200,48 @@ def test_as_json_and_of_size(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0], None), (2, [1.0], "x")], "id int, v array<double>, t string")
     assert [json.loads(r.json) for r in feed.as_json(df).orderBy("json").collect()] == [{"id": 1, "v": [1.0, 2.0]}, {"id": 2, "v": [1.0], "t": "x"}]
     assert [r.v for r in df.orderBy("id").select(vectors.of_size(F.col("v"), 2).alias("v")).collect()] == [[1.0, 2.0], None]
+
+
+def test_discovery_by_a_model(spark, tmp_path):
+    from newsmill.operators import discover
+
+    log = str(tmp_path)
+
+    class Fake:
+        def classify_profiles(self, part):
+            note(log, "profiles", *part.handle)
+            out = part[part.handle != "silent"]
+            return pd.DataFrame({"handle": out.handle, "related": out.name.str.contains("AI"), "confidence": [140 if "AI" in n else 10 for n in out.name]})
+
+        def extract_links(self, part):
+            if "bad" in part.html.iloc[0]:
+                raise ValueError("no")
+            return pd.DataFrame({"id": part.id, "links": [[{"url": "https://github.com/a/b?utm_source=x", "text": "t"}]] * len(part)})
+
+        def extract_products(self, part):
+            return pd.DataFrame({"id": part.id, "products": [[{"name": w, "description": f"about {w}"} for w in t.split()] for t in part.text]})
+
+        def select_products(self, part):
+            return pd.DataFrame({"id": part.id, "numbers": [[2, 9]] * len(part)})
+
+        def select_link(self, part):
+            if part.name.iloc[0] == "fails":
+                raise ValueError("no")
+            return pd.DataFrame({"id": part.id, "number": [7 if n == "far" else 2 for n in part["name"]], "confidence": [0.4 if n == "weak" else 3.0 for n in part["name"]]})
+
+    book = ledger.Ledger(spark, f"file://{tmp_path}/ledger")
+    profiles = spark.createDataFrame([("a", "AI weekly", "x"), ("b", "Gardens", None), ("silent", "AI", ""), (None, "AI", "")], "handle string, name string, description string")
+    for kept_in in (None, book, book):
+        got = discover.classified(profiles, Fake(), kept_in)
+        assert sorted((r.handle or "", r.related, r.confidence) for r in got.collect()) == [("", None, None), ("a", True, 100), ("b", False, 10), ("silent", None, None)]
+        assert [r.handle for r in discover.relevant(got).collect()] == ["a"]
+    assert told(log, "profiles").count("a") <= 3  # the ledger's second run asked nothing
+    pages = spark.createDataFrame([(1, "<p>x", "one two three"), (2, "<p>bad", "")], "id long, html string, text string")
+    got = {r.id: r.links for r in discover.links_by_model(pages, Fake(), book, attempts=1).collect()}
+    assert [tuple(x) for x in got[1]] == [("https://github.com/a/b", "github", "t")] and got[2] == []
+    got = {r.id: ([p.name for p in r.products], [p.name for p in r.kept]) for r in discover.products_by_model(pages, Fake(), book).collect()}
+    assert got == {1: (["one", "two", "three"], ["two"]), 2: ([], [])}
+    found = [{"url": "https://s.example", "text": "x"}, {"url": "https://own.example", "text": "y"}]
+    rows_ = spark.createDataFrame([(i, n, "d", found) for i, n in enumerate(["good", "weak", "far", "fails"])], "id long, name string, description string, candidates array<struct<url:string,text:string>>")
+    got = {r.name: (r.number, r.confidence, r.url) for r in discover.link_by_model(rows_, Fake(), book, least=0.5, attempts=1).collect()}
+    assert got == {"good": (2, 1.0, "https://own.example"), "weak": (0, 0.0, None), "far": (0, 0.0, None), "fails": (0, 0.0, None)}
