@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsmill.llm import decontaminate, line_crf, mixing, near_dedup, secrets
-from newsmill.llm.common import stored, without
+from newsmill.llm.common import drop_stored, stored, without
+from newsmill.shared import one_table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages on the documents table, each result written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages on the documents table, each result written to the shared folder and read again; what a stage stored on the way goes at its end,
+    and its input once its result is there, so two copies of the corpus lie there at most and one at the end."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = one_table(spark, f"pipeline-{name}", lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), always=True)
+        if last is not None:
+            drop_stored(last)
+        last = docs
     return docs

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from ..shared import one_table
 from . import decontaminate, katz, line_crf, mixing, near_dedup, quality_model, secrets, site_tree, spelling, suffix_dedup, token_counts, vector_codes, warc
 
 
+#: Queries that leave one table; the others leave those that their result is read from and what these were made of.
+_TIDY = ("op5_decontamination", "op11_vector_codes", "op12_spelling_variants")
+
+
+def _tidy(name: str, query):
+    return (lambda spark, sf_dir: one_table(spark, name, lambda: query(spark, sf_dir))) if name in _TIDY else query
+
+
 def queries() -> dict:
+    return {name: _tidy(name, query) for name, query in _queries().items()}
+
+
+def _queries() -> dict:
     return {
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_quality_model": quality_model.op2_quality_model,

@@ -316,3 +316,30 @@ def test_hosts():
 
 def test_empty_pages(spark):
     assert main_of(spark, []) == []
+
+
+# --- what queries leave behind --------------------------------------------------------------------
+
+
+def left_behind(spark):
+    import pathlib
+
+    from newsmill import shared
+
+    where = pathlib.Path(shared.shared_dir(spark).removeprefix("file://").removeprefix("file:")) / "newsmill"
+    return {p.name for p in where.iterdir()} if where.exists() else set()
+
+
+@pytest.mark.parametrize("name", [*registry._TIDY, "op13_main_text"])
+def test_queries_leave_one_table(spark, sf, name):
+    before = left_behind(spark)
+    registry.queries()[name](spark, sf).count()
+    assert len(left_behind(spark) - before) <= 1
+
+
+def test_pipeline_leaves_its_result(spark, sf):
+    import corpus_pipeline
+
+    before = left_behind(spark)
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    assert [x.rsplit("-", 1)[0] for x in left_behind(spark) - before] == ["pipeline-source_mix-result"]
