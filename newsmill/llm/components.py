@@ -25,8 +25,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(a, b) links of any orderable type -> stored table (node, root): the least node that each node with a link reaches.
 
-    Each round is written to the shared folder and the round before deleted. Links of a node with very many neighbours are dealt
-    out over several tasks. Links with a null end and self-links are ignored; no links give no rows.
+    Each round is written to the shared folder and the round before deleted. In the large star, links of a node with very
+    many neighbours are dealt out over several tasks. Links with a null end and self-links are ignored; no links give no rows.
     """
     e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") > F.col("b")))
     e = stored(e.distinct(), "cc")

@@ -2,7 +2,7 @@
 
 A vocabulary string that the tokenizer, given it alone, encodes as exactly one token is proven to count 1 wherever the
 pre-tokenizer yields it: this tokenizer merges within a pre-token only, and a pre-token taken alone is split off as itself.
-These strings are found once for each Python worker by encoding the whole vocabulary. Texts are normalised and cut into
+These strings are found once, on the driver, by encoding the whole vocabulary, and sent to the tasks. Texts are normalised and cut into
 pre-tokens here; pre-tokens in the proven set count 1, others are merged by the library and remembered. Texts with characters
 outside the ranges in which the normaliser is the plain lower-casing done here go to the library whole.
 
