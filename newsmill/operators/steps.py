@@ -79,6 +79,10 @@ def embedding_inputs(articles: DataFrame) -> DataFrame:
     return articles.select("id", text.embedding_text(F.col("title"), F.col("summary")).alias("text"))
 
 
+#: Groups of vectors at most.
+CENTRES = 1024
+
+
 def near_vectors(vecs: DataFrame, least: float, rows: int = 4096) -> DataFrame:
     """Pairs (a, b, similarity), a < b, of vectors (id, embedding) with a cosine of ``least`` or more, all of them.
 
@@ -95,7 +99,7 @@ def near_vectors(vecs: DataFrame, least: float, rows: int = 4096) -> DataFrame:
     groups = max(1, -(-n // rows))
     meets, placed = [(0, 0, groups, groups)], unit.withColumn("centre", F.lit(0))
     if groups > 1:
-        chosen = unit.orderBy(F.xxhash64("id"), "id").limit(min(groups, 1024)).collect()
+        chosen = unit.orderBy(F.xxhash64("id"), "id").limit(min(groups, CENTRES)).collect()
         centres = np.array([r.v for r in chosen], float)
 
         def place(batches):
