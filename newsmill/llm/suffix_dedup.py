@@ -277,12 +277,11 @@ def repeated_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
     copies = slim.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     whole = F.col("copies") > 1
     per_key = spans.groupBy("key").agg(F.sum("removable").alias("total"))
-    d = slim.join(copies, "key")
+    d = joined(slim, copies, "key", ["doc_id"])  # one text may be a third of all rows
     alone = d.where(~whole).join(spans, "key").select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("removable").alias("n_removable"))
     first = F.col("doc_id").eqNullSafe(F.col("first"))
     copied = (
-        d.where(whole)
-        .join(per_key, "key", "left")
+        joined(d.where(whole), per_key, "key", ["doc_id"], "left")
         .select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n").alias("end_word"), F.when(first, F.coalesce("total", F.lit(0))).otherwise(F.col("n")).cast("long").alias("n_removable"))
     )
     return alone.unionByName(copied)
