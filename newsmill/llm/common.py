@@ -62,19 +62,26 @@ def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
     back = [F.col("row")[c].alias(c) for c in names]
     if gone.count() <= FEW:
         return rows.join(F.broadcast(gone), "key", "left_anti").select(*back)
-    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(gone.select(F.xxhash64("key").alias("h")), "h", 27))
-    marked = small_batches(rows).select("row", "key", F.xxhash64("key").alias("h"))
+    may, cannot = parted(rows, "key", gone)
+    return cannot.unionByName(may.join(gone, "key", "left_anti").select("row", "key")).select(*back)
+
+
+def parted(rows: DataFrame, key: str, keys: DataFrame, bits: int = 27) -> tuple[DataFrame, DataFrame]:
+    """(rows that may, rows that can't have a ``key`` of the table ``keys``), told apart in their tasks by a bitmap of 2**bits bits."""
+    bitmap = rows.sparkSession.sparkContext.broadcast(bitmap_of(keys.select(F.xxhash64(key).alias("h")), "h", bits))
+    marked = small_batches(rows).select("*", F.xxhash64(key).alias("key_hash"))
+    last = len(rows.columns)
 
     def pick(wanted: bool):
         def run(batches):
-            bits = np.frombuffer(bitmap.value, np.uint8)
+            marks = np.frombuffer(bitmap.value, np.uint8)
             for b in batches:
-                hit = in_bitmap(bits, 27, b.column(2).to_numpy().view(np.uint64))
-                yield b.select([0, 1]).filter(pa.array(hit == wanted))
+                hit = in_bitmap(marks, bits, b.column(last).to_numpy().view(np.uint64))
+                yield b.select(list(range(last))).filter(pa.array(hit == wanted))
 
         return marked.mapInArrow(run, rows.schema)
 
-    return pick(False).unionByName(pick(True).join(gone, "key", "left_anti").select("row", "key")).select(*back)
+    return pick(True), pick(False)
 
 
 def text_bytes(col: str = "text"):

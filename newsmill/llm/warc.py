@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
-from .common import new_folder, pieces, stored
+from .common import joined, new_folder, parted, pieces, stored
 
-#: Payload digests that are broadcast at most (about 60 bytes each); more are joined by shuffle.
+#: Payload digests that are broadcast at most (about 60 bytes each); of more, those pages are shuffled that may have one.
 BROADCAST_ROWS = 500_000
 CHUNK = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -124,7 +124,8 @@ def member(plain: bytes, level: int) -> bytes:
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
-    """page_id, url, payload, digest, refers_to. The digest table is broadcast if it is small, else joined by shuffle."""
+    """page_id, url, payload, digest, refers_to. The table of repeated digests is broadcast if it is small; else a bitmap of fixed size picks the pages
+    that may have one, and only those are shuffled, copies of one payload over several tasks."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     p = p.withColumn("digest", F.sha1("payload"))
@@ -136,10 +137,13 @@ def with_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
         .select("digest", "first"),
         "warc-digests",
     )
-    small = shared.count() <= BROADCAST_ROWS
-    out = p.join(F.broadcast(shared) if small else shared, "digest", "left")
-    if not small:  # a shuffle leaves rows in any order; a repeated task must write the same file
-        out = out.sortWithinPartitions("digest", "page_id")
+    if shared.count() <= BROADCAST_ROWS:
+        out = p.join(F.broadcast(shared), "digest", "left")
+    else:
+        may, cannot = parted(p, "digest", shared)
+        found = joined(may, shared, "digest", ["page_id"], "left").select(*p.columns, "first")
+        # A shuffle leaves rows in any order; a repeated task must write the same file.
+        out = found.sortWithinPartitions("digest", "page_id", "url").union(cannot.withColumn("first", F.lit(None).cast("long")))
     return out.withColumn("refers_to", F.when(F.col("page_id") < F.col("first"), F.col("first"))).drop("first")
 
 

@@ -4,7 +4,7 @@ import io
 
 import pytest
 
-from newsmill.llm import files, warc
+from newsmill.llm import common, files, warc
 from newsmill.llm.common import new_folder
 
 SCHEMA = "page_id long, url string, html string, digest string, payload string"
@@ -54,9 +54,19 @@ def test_empty(spark):
     assert go(spark, [])[0].count() == 0
 
 
-def test_shuffled_digests(spark, rows, monkeypatch):
+@pytest.mark.parametrize("crowd", [500, 2])
+def test_shuffled_digests(spark, rows, monkeypatch, crowd):
+    """Beyond what is broadcast, the records are the same, and pages that no other page repeats aren't shuffled."""
+    rows = rows + [(100 + i, "u", "a copied page " * 100) for i in range(40)] + [(200 + i, "u", f"page {i} " * 200) for i in range(20)]
+    read = lambda: sorted((repr(r) for r in go(spark, rows)[0].collect()))
+    want = read()
     monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
-    assert {(r.page_id, r.record_type) for r in go(spark, rows)[0].collect()} >= {(1, "revisit"), (2, "revisit"), (3, "response")}
+    monkeypatch.setattr(common, "CROWD", crowd)
+    assert read() == want
+    df = spark.createDataFrame([(i, u, h) for i, u, h in rows], "page_id long, url string, html string")
+    seen = []
+    monkeypatch.setattr(warc, "joined", lambda left, *rest: seen.append(left.count()) or common.joined(left, *rest))
+    assert warc.with_revisits(df).count() == len(rows) and 45 <= seen[0] < 50
 
 
 @pytest.mark.parametrize("chunk", [1, 7, 1 << 20])
