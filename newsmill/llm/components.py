@@ -17,24 +17,26 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """u and its smaller neighbours are linked to the least of them. ``edges`` have a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-    moved = edges.join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-    return moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    moved = joined(edges, least, "a", ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(a, b) links of any orderable type -> stored table (node, root): the least node that each node with a link reaches.
 
-    Each round is written to the shared folder and the round before deleted. In the large star, links of a node with very
-    many neighbours are dealt out over several tasks. Links with a null end and self-links are ignored; no links give no rows.
+    Both stars of a round are written to the shared folder and what they were made of is deleted. Links of a node with very many
+    neighbours are dealt out over several tasks in either. Links with a null end and self-links are ignored; no links give no rows.
     """
     e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") > F.col("b")))
     e = stored(e.distinct(), "cc")
     digest = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     seen = digest(e)
     while seen[0]:
-        new = stored(_small_star(_large_star(e)), "cc")
+        large = stored(_large_star(e).distinct(), "cc-large")
         drop_stored(e)
+        new = stored(_small_star(large), "cc")
+        drop_stored(large)
         e, last, seen = new, seen, digest(new)
         if seen == last:
             break

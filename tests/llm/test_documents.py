@@ -130,6 +130,28 @@ def test_components(spark):
         assert got.get(n, n) == root(n)
 
 
+def test_components_of_crowded_nodes(spark, monkeypatch):
+    """Stars whose hub has the largest or the least name, with links dealt out over several tasks."""
+    from newsmill.llm import common, components
+
+    monkeypatch.setattr(common, "CROWD", 20)
+    edges = [(9_999, i) for i in range(1000)] + [(2_000, i) for i in range(2_001, 3_000)] + [(i, i + 1) for i in range(4_000, 4_005)]
+    got = {x.node: x.root for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {n: 0 for n in [9_999, *range(1, 1000)]} | {n: 2_000 for n in range(2_001, 3_000)} | {n: 4_000 for n in range(4_001, 4_006)}
+    assert {n: r for n, r in got.items() if n != r} == want
+    # After the large star, the small star's links of the hub with the largest name don't meet in one task.
+    large = common.stored(components._large_star(spark.createDataFrame([(9_999, i) for i in range(1000)], "a long, b long")), "t")
+    least = large.groupBy("a").agg(F.min("b").alias("m"))
+    before = {}
+    for name, value in (("autoBroadcastJoinThreshold", "-1"), ("adaptive.enabled", "false")):
+        before[name] = spark.conf.get(f"spark.sql.{name}")
+        spark.conf.set(f"spark.sql.{name}", value)
+    spread = common.joined(large, least, "a", ["b"]).withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    for name, value in before.items():
+        spark.conf.set(f"spark.sql.{name}", value)
+    assert sum(r["count"] for r in spread) == 1000 and max(r["count"] for r in spread) < 500
+
+
 # --- repeated passages ----------------------------------------------------------------------------
 
 
@@ -667,6 +689,60 @@ def test_shared_lines_are_boilerplate(spark):
     assert line_crf._shared_lines(docs, every, 10, most=1).tolist() == [line_crf.xxhash.xxh3_64_intdigest(menu.encode())]
 
 
+def test_a_planted_menu_is_told_from_content(spark):
+    r = np.random.default_rng(8)
+    say = lambda: " ".join("".join(r.choice(list("abdeiklmnorstu"), r.integers(3, 9))) for _ in range(14)).capitalize() + "."
+    menu, foot = "Home | News | Sport | About | Contact", "# Share # Print # Send #"
+    rows = [(i, f"{menu}\n{say()}\n{say()}\n{say()}\n{foot}", "a") for i in range(40)] + [(100 + i, f"{menu}\n{foot}\n{menu}", "a") for i in range(20)]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 40, 2)] + [(100 + i, 0) for i in range(0, 20, 2)], "doc_id long, quality int")
+    chain = line_crf.fit(docs, labels)
+    text = f"{menu}\n{say()}\n{say()}\n{foot}\n{say()}\n{menu}".encode()
+    emit = [float(np.dot(line_crf.line_statistics(*z), chain.w)) for z in line_crf._lines(text)]
+    assert list(map(int, chain.decode(emit))) == [0, 1, 1, 0, 1, 0]
+    kept = {x.doc_id for x in line_crf.keep_content(docs, chain).collect()}
+    assert kept == set(range(40))
+
+
+def test_trained_weights_are_where_the_posterior_is_flat():
+    """Finite differences of the log posterior, by enumeration of all labellings, vanish at the trained weights."""
+    r = np.random.default_rng(2)
+    width = len(line_crf.PRIOR)
+    chains = [(r.normal(0, 1, (n, width)), r.integers(0, 2, n)) for n in (1, 2, 4, 5, 3, 5)]
+    got = line_crf.train(chains, steps=4000, rate=0.01, l2=1.0)
+    prior = line_crf.Chain.prior()
+
+    def split(v):
+        return v[:width], v[width : width + 4].reshape(2, 2), v[width + 4 :]
+
+    def posterior(v):
+        w, edges, start = split(v)
+        total = 0.0
+        for x, y in chains:
+            score = lambda z: start[z[0]] + sum(float(e @ w) for e, b in zip(x, z) if b) + sum(edges[a, b] for a, b in zip(z, z[1:]))  # noqa: B023, E731
+            total += score(y.tolist()) - np.logaddexp.reduce([score(z) for z in itertools.product((0, 1), repeat=len(y))])
+        return total - sum(((p - q) ** 2).sum() for p, q in zip((w, edges, start), (prior.w, prior.edges, prior.start))) / 2
+
+    flat = lambda c: np.concatenate([c.w, c.edges.ravel(), c.start])
+    slope = lambda v: np.array([(posterior(v + d) - posterior(v - d)) / 2e-5 for d in np.eye(len(v)) * 1e-5])
+    assert np.abs(slope(flat(got))).max() < 1e-2 < np.abs(slope(flat(prior))).max()
+
+
+def test_calibrate():
+    Bin = collections.namedtuple("Bin", "bin n raw y")
+    x, y = quality_model.calibrate([], 0.3)
+    assert x.tolist() == [0, 1] and y.tolist() == [0.3, 0.3]
+    # Bins 1 and 2 violate the order and fall together: 10 rows with 3 labels, mean raw 0.25; every block gets one pseudo-label of 0.5.
+    x, y = quality_model.calibrate([Bin(9, 4, 3.6, 4.0), Bin(1, 5, 1.0, 2.0), Bin(2, 5, 1.5, 1.0), Bin(0, 5, 0.5, 0.0)], 0.5)
+    assert x.tolist() == pytest.approx([0.1, 0.25, 0.9]) and y.tolist() == pytest.approx([0.5 / 6, 3.5 / 11, 4.5 / 5])
+    # Knots rise, whatever the bins are.
+    r = np.random.default_rng(6)
+    for _ in range(50):
+        bins = [Bin(i, int(n), (i + r.random()) / 20 * n, float(r.integers(0, n + 1))) for i, n in enumerate(r.integers(1, 9, 20))]
+        x, y = quality_model.calibrate(bins, 0.4)
+        assert (np.diff(x) > 0).all() and (np.diff(y) >= 0).all() and 0 < y[0] <= y[-1] < 1
+
+
 def test_viterbi_and_training():
     r = np.random.default_rng(1)
     chain = line_crf.Chain(np.zeros(len(line_crf.PRIOR)), r.normal(0, 1, (2, 2)), r.normal(0, 1, 2))
