@@ -273,17 +273,15 @@ def repeated_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
         stretches = stretches.unionByName(_counted(texts, hot_runs))
     spans = stored(_united(stretches), "suffix-spans")
 
-    # Copies of a text repeat as a whole; the first keeps what its text's windows keep.
-    copies = slim.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    whole = F.col("copies") > 1
-    per_key = spans.groupBy("key").agg(F.sum("removable").alias("total"))
-    d = joined(slim, copies, "key", ["doc_id"])  # one text may be a third of all rows
-    alone = d.where(~whole).join(spans, "key").select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("removable").alias("n_removable"))
-    first = F.col("doc_id").eqNullSafe(F.col("first"))
-    copied = (
-        joined(d.where(whole), per_key, "key", ["doc_id"], "left")
-        .select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n").alias("end_word"), F.when(first, F.coalesce("total", F.lit(0))).otherwise(F.col("n")).cast("long").alias("n_removable"))
-    )
+    # Copies of a text repeat as a whole; the first keeps what its text's windows keep. A text without copies is its group's only row.
+    groups = slim.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    alone = groups.where("copies = 1").join(spans, "key")
+    alone = alone.select(F.col("first").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("removable").alias("n_removable"))
+    totals = spans.groupBy("key").agg(F.sum("removable").alias("total"))
+    repeated = stored(groups.where("copies > 1").join(totals, "key", "left").select("key", "first", F.coalesce("total", F.lit(0)).alias("total")), "suffix-copies")
+    n_removable = F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.col("total")).otherwise(F.col("n")).cast("long")
+    copied = joined(slim, repeated, "key", ["doc_id"])  # one text may be a third of all rows
+    copied = copied.select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n").alias("end_word"), n_removable.alias("n_removable"))
     return alone.unionByName(copied)
 
 
