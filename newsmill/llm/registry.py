@@ -7,7 +7,7 @@ from . import decontaminate, katz, line_crf, mixing, near_dedup, quality_model,
 
 
 #: Queries that leave one table; the others leave those that their result is read from and what these were made of.
-_TIDY = ("op1_suffix_dedup", "op5_decontamination", "op7_near_dedup", "op11_vector_codes", "op12_spelling_variants")
+_TIDY = ("op1_suffix_dedup", "op5_decontamination", "op11_vector_codes", "op12_spelling_variants")
 
 
 def _tidy(name: str, query):
