@@ -80,25 +80,78 @@ def first_where(df: DataFrame, column: str, value, order: str) -> DataFrame:
     return df.where(F.col(column) == F.lit(value)).orderBy(order).limit(1)
 
 
-def _nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, digits: int | None) -> pd.DataFrame:
-    """query_id, id, distance: the k nearest rows of ``x`` for each query; NaN last, ties by id."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        d = 1 - (queries @ x.T) / np.linalg.norm(queries, axis=1)[:, None] / np.linalg.norm(x, axis=1)
-    d = d if digits is None else np.round(d, digits) + 0.0  # no negative zero
-    order = np.argsort(ids, kind="stable")
-    best = order[np.argsort(d[:, order], axis=1, kind="stable")[:, :k]]
-    return pd.DataFrame({"query_id": np.repeat(query_ids, best.shape[1]), "id": ids[best].ravel(), "distance": np.take_along_axis(d, best, 1).ravel()})
+#: Queries and vectors whose distances are held at once (8 MB a matrix), and queries that are sent to every task at most.
+TILE, QUERIES = (512, 2048), 16_384
+
+
+class Nearest:
+    """For each query the ``k`` nearest of all vectors added so far: by distance (rounded to ``digits`` if given), NaN last, ties by id. It holds the
+    queries, their k best and one tile of distances, however many vectors are added."""
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, digits: int | None):
+        self.query_ids, self.queries, self.k, self.digits = query_ids, queries, k, digits
+        n = len(query_ids)
+        self.norms = np.linalg.norm(queries, axis=1) if n else np.zeros(0)
+        self.held, self.distances, self.ids = np.zeros(n, np.int64), np.full((n, k), np.inf), np.zeros((n, k), np.int64)  # NaN is held as infinity
+
+    def add(self, ids: np.ndarray, x: np.ndarray, mine: np.ndarray | None = None) -> None:
+        """Vectors, for the queries at the places ``mine`` (all of them if not given)."""
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], x[order]
+        norms = np.linalg.norm(x, axis=1)
+        mine = np.arange(len(self.query_ids)) if mine is None else mine
+        for i in range(0, len(mine), TILE[0]):
+            at = mine[i : i + TILE[0]]
+            q, q_norms = self.queries[at], self.norms[at][:, None]
+            for j in range(0, len(ids), TILE[1]):
+                d = q @ x[j : j + TILE[1]].T
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    d /= q_norms
+                    d /= norms[j : j + TILE[1]]
+                np.subtract(1, d, out=d)
+                if self.digits is not None:
+                    np.round(d, self.digits, out=d)
+                d[np.isnan(d)] = np.inf
+                self._merge(at, d, ids[j : j + TILE[1]])
+
+    def _merge(self, at: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
+        k = self.k
+        bound = self.distances[at, -1:]
+        if d.shape[1] > k and np.isinf(bound).any():
+            bound = np.minimum(bound, np.partition(d, k - 1, axis=1)[:, k - 1 : k])
+        close = d <= bound
+        if close.sum() > 4 * k * len(at):  # of equal ones at the bound, k with the smallest ids are enough
+            tie = d == bound
+            close &= ~tie | (np.cumsum(tie, axis=1) <= k)
+        r, c = np.nonzero(close)
+        if not len(r):
+            return
+        rows, new = np.unique(r, return_counts=True)
+        old = at[rows]
+        row = np.concatenate([np.repeat(rows, k), r])
+        distance = np.concatenate([self.distances[old].ravel(), d[r, c] + 0.0])  # no negative zero
+        which = np.concatenate([self.ids[old].ravel(), ids[c]])
+        free = np.concatenate([(np.arange(k) >= self.held[old][:, None]).ravel(), np.zeros(len(r), bool)])
+        order = np.lexsort((which, distance, free, row))
+        best = order[np.searchsorted(row[order], rows)[:, None] + np.arange(k)]
+        self.distances[old], self.ids[old], self.held[old] = distance[best], which[best], np.minimum(k, self.held[old] + new)
+
+    def frame(self) -> pd.DataFrame:
+        """query_id, id, distance: up to ``k`` rows for each query."""
+        full = np.arange(self.k) < self.held[:, None]
+        d = self.distances[full]
+        return pd.DataFrame({"query_id": np.repeat(self.query_ids, self.held), "id": self.ids[full], "distance": np.where(np.isinf(d), np.nan, d)})
 
 
 def _matrix(embeddings: pd.Series) -> np.ndarray:
     return np.stack(embeddings.to_numpy()).astype(float)
 
 
-def search_batch(vectors_: DataFrame, queries: DataFrame, k: int, query_rows: int = 2048, vector_rows: int = 16384, digits: int | None = None) -> DataFrame:
+def search_batch(vectors_: DataFrame, queries: DataFrame, k: int, query_rows: int = QUERIES, vector_rows: int = 16384, digits: int | None = None) -> DataFrame:
     """query_id, id, distance, rank: the k nearest of ``vectors_`` (id, embedding) for each of ``queries`` (query_id, embedding), exactly.
 
     Up to ``query_rows`` queries are sent to every task, which returns each query's k best of its rows: vectors aren't shuffled. More
-    queries and the vectors are dealt into blocks of bounded size, and a pair of blocks is a task that multiplies two matrices. Best is by
+    queries and the vectors are dealt into blocks of bounded size, and a pair of blocks is a task. Distances are made in tiles of fixed size. Best is by
     distance (rounded to ``digits`` if given) and then id. Zero vectors have distance NaN, which sorts last; null vectors are left out.
     """
     given, rows = queries.where("embedding is not null").select("query_id", "embedding"), vectors_.where("embedding is not null").select("id", "embedding")
@@ -109,15 +162,11 @@ def search_batch(vectors_: DataFrame, queries: DataFrame, k: int, query_rows: in
         sent = vectors_.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in few], np.int64), np.array([r.embedding for r in few], float)))
 
         def near(batches):
-            query_ids, q = sent.value
-            best = None
+            best = Nearest(*sent.value, k, digits)
             for b in batches:
-                if not len(query_ids) or b.empty:
-                    continue
-                new = _nearest(b.id.to_numpy(), _matrix(b.embedding), query_ids, q, k, digits)
-                best = new if best is None else pd.concat([best, new]).sort_values(["query_id", "distance", "id"]).groupby("query_id").head(k)
-            if best is not None:
-                yield best
+                if len(best.query_ids) and len(b):
+                    best.add(b.id.to_numpy(), _matrix(b.embedding))
+            yield best.frame()
 
         found = rows.mapInPandas(near, out)
     else:
@@ -131,7 +180,9 @@ def search_batch(vectors_: DataFrame, queries: DataFrame, k: int, query_rows: in
             a, b = pdf[pdf.is_query], pdf[~pdf.is_query]
             if a.empty or b.empty:
                 return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-            return _nearest(b.id.to_numpy(), _matrix(b.embedding), a.id.to_numpy(), _matrix(a.embedding), k, digits)
+            best = Nearest(a.id.to_numpy(), _matrix(a.embedding), k, digits)
+            best.add(b.id.to_numpy(), _matrix(b.embedding))
+            return best.frame()
 
         found = q.unionByName(v).groupBy("qb", "vb").applyInPandas(nearest, out)
     best = Window.partitionBy("query_id").orderBy("distance", "id")

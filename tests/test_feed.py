@@ -1,5 +1,7 @@
 import itertools
+import tracemalloc
 
+import numpy as np
 import pytest
 
 from newsmill.operators import feed
@@ -68,3 +70,34 @@ def test_search_batch_in_blocks(spark):
     rows = lambda **kw: sorted((a.query_id, a.rank, a.id) for a in feed.search_batch(v, q, 4, digits=6, **kw).collect())
     assert rows() == rows(query_rows=5, vector_rows=20)
     assert len(rows()) == 14 * 4 and feed.search_batch(v, q.limit(0), 4).count() == feed.search_batch(v.limit(0), q, 4).count() == 0
+
+
+@pytest.mark.parametrize("digits", [None, 2])
+def test_nearest_in_tiles(monkeypatch, digits):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(700, 8))
+    x[100:400] = x[7]  # more copies than k, in several tiles
+    x[500:505] = 0
+    q = np.concatenate([x[[7, 3, 500]], r.normal(size=(40, 8))])
+    ids = r.permutation(700) + 10
+    with np.errstate(all="ignore"):
+        d = 1 - (q @ x.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1)
+    want = [[int(i) for _, i in sorted((round(v, digits or 12) if v == v else 9.0, i) for v, i in zip(row, ids))[:10]] for row in d]
+    monkeypatch.setattr(feed, "TILE", (16, 64))
+    best = feed.Nearest(np.arange(len(q)), q, 10, digits or 12)
+    for at in np.array_split(np.arange(700), 3):
+        best.add(ids[at], x[at])
+    got = best.frame()
+    assert got.groupby("query_id").id.apply(list).tolist() == want
+    assert got[got.query_id == 2].distance.isna().all() and not got[got.query_id != 2].distance.isna().any()
+
+
+def test_nearest_holds_one_tile():
+    r = np.random.default_rng(5)
+    q, x = r.normal(size=(4000, 16)), r.normal(size=(10_000, 16))
+    best = feed.Nearest(np.arange(len(q)), q, 10, 6)
+    tracemalloc.start()
+    best.add(np.arange(len(x)), x)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 64e6  # the whole matrix has 320 MB
