@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from .feed import _matrix, _nearest
+from .feed import QUERIES, Nearest, _matrix
 
 #: Vectors that the centroids are learnt from, lists at most, and vectors written by one task.
 SAMPLE, LISTS, SHARD = 65_536, 4096, 100_000
@@ -42,6 +42,18 @@ class Index:
         return _ranked_lists(self.centroids, embeddings)[:, :probes]
 
 
+#: Numbers in a matrix of rows by lists (8 MB), and rows that a step which repeats vectors returns at once.
+CELLS, ROWS = 1 << 20, 1 << 16
+
+
+def _tiles(batches, lists: int, probes: int = 1):
+    """The batches in pieces that keep a matrix of rows by lists within CELLS, and rows by probes within ROWS."""
+    size = max(1, min(CELLS // lists, ROWS // probes))
+    for b in batches:
+        for i in range(0, len(b), size):
+            yield b.iloc[i : i + size]
+
+
 def _ranked_lists(centroids: np.ndarray, embeddings: pd.Series) -> np.ndarray:
     x = _matrix(embeddings)
     norms = np.linalg.norm(x, axis=1)
@@ -81,11 +93,10 @@ def _listed(index: Index, rows: DataFrame, name: str, probes: int) -> DataFrame:
     sent = index.spark.sparkContext.broadcast(index.centroids)
 
     def place(batches):
-        for b in batches:
-            if len(b):
-                lists = _ranked_lists(sent.value, b.embedding)[:, :probes]
-                rank = np.tile(np.arange(lists.shape[1], dtype=np.int32), len(b))
-                yield b.loc[b.index.repeat(lists.shape[1])].assign(list=lists.ravel().astype(np.int32), rank=rank)
+        for b in _tiles(batches, len(sent.value), min(probes, len(sent.value))):
+            lists = _ranked_lists(sent.value, b.embedding)[:, :probes]
+            rank = np.tile(np.arange(lists.shape[1], dtype=np.int32), len(b))
+            yield b.loc[b.index.repeat(lists.shape[1])].assign(list=lists.ravel().astype(np.int32), rank=rank)
 
     return rows.where("embedding is not null").select(name, "embedding").mapInPandas(place, f"{name} long, embedding array<float>, list int, rank int")
 
@@ -99,47 +110,56 @@ def add(index: Index, rows: DataFrame, run: str) -> None:
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("list", "run").parquet(f"{index.path}/lists")
 
 
-def search(index: Index, queries: DataFrame, k: int, probes: int, query_rows: int = 2048, digits: int | None = None) -> DataFrame:
+def _asked(index: Index, queries: DataFrame, probes: int) -> DataFrame:
+    """(query_id, embedding, lists): a row for each query, its ``probes`` nearest lists as set bits, LISTS at most."""
+    sent = index.spark.sparkContext.broadcast(index.centroids)
+
+    def place(batches):
+        for b in _tiles(batches, len(sent.value)):
+            probed = np.zeros((len(b), len(sent.value)), bool)
+            np.put_along_axis(probed, _ranked_lists(sent.value, b.embedding)[:, :probes], True, axis=1)
+            yield b.assign(lists=[bits.tobytes() for bits in np.packbits(probed, axis=1)])
+
+    given = queries.where("embedding is not null").select("query_id", "embedding").dropDuplicates(["query_id"])
+    return given.mapInPandas(place, "query_id long, embedding array<float>, lists binary")
+
+
+def search(index: Index, queries: DataFrame, k: int, probes: int, query_rows: int = QUERIES, digits: int | None = None) -> DataFrame:
     """query_id, id, distance, rank: for each of ``queries`` (query_id, embedding) the ``k`` nearest vectors of its ``probes`` nearest
     lists; with as many probes as lists this is the exact answer. Ties by id; zero vectors have distance NaN, which sorts last.
 
     Which lists are probed is known before the vectors are read (LISTS numbers at most), so other folders are pruned. Up to ``query_rows``
-    queries are sent to every task and vectors aren't shuffled; more queries are taken in as many rounds of pieces by a hash of their ids.
+    queries are sent to every task, each once with its lists as bits, and vectors aren't shuffled; more queries are taken in as many rounds of pieces
+    by a hash of their ids.
     """
     if probes < 1:
         raise ValueError("probes must be at least 1")
-    placed = _listed(index, queries, "query_id", probes)
     pieces = max(1, -(-queries.count() // query_rows))
     found = None
     for i in range(pieces):
-        part = placed if pieces == 1 else placed.where(F.pmod(F.xxhash64("query_id"), F.lit(pieces)) == i)
-        now = _search_few(index, part, k, digits)
+        part = queries if pieces == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(pieces)) == i)
+        now = _search_few(index, _asked(index, part, probes), k, digits)
         found = now if found is None else found.unionByName(now)
     best = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _search_few(index: Index, placed: DataFrame, k: int, digits: int | None) -> DataFrame:
-    few = placed.groupBy("query_id").agg(F.first("embedding").alias("embedding"), F.collect_list("list").alias("lists")).collect()  # some query_rows at most
-    probed = sorted({x for r in few for x in r.lists})
-    asked: dict[int, tuple] = {}
-    for x in probed:
-        mine = [r for r in few if x in r.lists]
-        asked[x] = (np.array([r.query_id for r in mine], np.int64), np.array([r.embedding for r in mine], float))
-    sent = index.spark.sparkContext.broadcast(asked)
+def _search_few(index: Index, asked: DataFrame, k: int, digits: int | None) -> DataFrame:
+    few = asked.collect()  # some query_rows at most
+    lists = len(index.centroids)
+    bits = np.array([np.frombuffer(r.lists, np.uint8) for r in few], np.uint8).reshape(len(few), -(-lists // 8))
+    probed = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(bits, axis=0), count=lists)).tolist()
+    sent = index.spark.sparkContext.broadcast((np.array([r.query_id for r in few], np.int64), np.array([r.embedding for r in few], float), bits))
     rows = index.vectors.where(F.col("list").isin(probed)).select("id", "embedding", "list")
 
     def near(batches):
-        best = None
+        query_ids, q, bits = sent.value
+        best = Nearest(query_ids, q, k, digits)
         for b in batches:
             for x, part in b.groupby("list"):
-                ids, q = sent.value[x]
-                new = _nearest(part.id.to_numpy(), _matrix(part.embedding), ids, q, k, digits)
-                best = new if best is None else pd.concat([best, new])
-            if best is not None:
-                best = best.sort_values(["query_id", "distance", "id"]).groupby("query_id").head(k)
-        if best is not None:
-            yield best
+                mine = np.flatnonzero(bits[:, x >> 3] & (128 >> (x & 7)))
+                best.add(part.id.to_numpy(), _matrix(part.embedding), mine)
+        yield best.frame()
 
     return rows.mapInPandas(near, "query_id long, id long, distance double")
 
@@ -147,10 +167,18 @@ def _search_few(index: Index, placed: DataFrame, k: int, digits: int | None) ->
 def recall_by_probes(index: Index, queries: DataFrame, exact: DataFrame) -> DataFrame:
     """(probes, recall): the share of the true neighbours in ``exact`` (query_id, id) that a search with so many probes would read.
 
-    One pass: a neighbour is found from the number of probes on at which its list's turn comes."""
-    ranks = _listed(index, queries, "query_id", len(index.centroids)).select("query_id", "list", "rank")
-    held = exact.select("query_id", "id").join(index.vectors.select("id", "list"), "id").join(ranks, ["query_id", "list"])
-    at = held.groupBy((F.col("rank") + 1).alias("probes")).count()
+    One pass: a neighbour is found from the number of probes on at which its list's turn comes. Of a query's lists only those that hold one of
+    its neighbours become numbers."""
+    held = exact.select("query_id", "id").join(index.vectors.select("id", "list"), "id").groupBy("query_id").agg(F.collect_list("list").alias("lists"))
+    asked = queries.where("embedding is not null").select("query_id", "embedding").dropDuplicates(["query_id"]).join(held, "query_id")
+    sent = index.spark.sparkContext.broadcast(index.centroids)
+
+    def turns(batches):
+        for b in _tiles(batches, len(sent.value)):
+            turn = np.argsort(_ranked_lists(sent.value, b.embedding), axis=1)  # list -> its place
+            yield pd.DataFrame({"probes": np.concatenate([t[x] for t, x in zip(turn, b.lists)]) + 1})
+
+    at = asked.select("embedding", "lists").mapInPandas(turns, "probes long").groupBy("probes").count()
     total = Window.orderBy("probes").rowsBetween(Window.unboundedPreceding, 0)  # a row for each number of probes: LISTS at most
     return at.select("probes", (F.sum("count").over(total) / F.sum("count").over(Window.partitionBy())).alias("recall"))
 

@@ -122,9 +122,10 @@ def index_recall(spark, d):
     """The stored index asked with the fewest probes that reach a recall of 0.95 on every hundredth vector: per query its neighbours, and how many of
     the ten true ones are among them."""
     from ..operators import vector_index
+    from ..shared import stored
 
     index, e, queries = _index_of(spark, d)
-    exact = feed.search_batch(e, queries, 10)
+    exact = stored(feed.search_batch(e, queries, 10), "true-neighbours")
     probes = vector_index.probes_for(index, queries.where("query_id % 100 = 0"), exact.where("query_id % 100 = 0"), 0.95)
     found = vector_index.search(index, queries, 10, probes).select("query_id", "id", F.lit(True).alias("found"))
     both = exact.join(found, ["query_id", "id"], "left").groupBy("query_id").agg(F.count("found").alias("hits"), F.count("*").alias("true_neighbours"))

@@ -4,6 +4,7 @@ import pathlib
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,14 @@ def test_titles_are_embedded_once(spark, tmp_path):
     assert sorted(r.url for r in left.collect()) == sorted(f"u{i}" for i in range(1, 100, 2))
     seen = [x for f in glob.glob(f"{folder}/seen-*") for x in open(f).read().split("\n") if x]
     assert len(seen) == 150  # 100 new titles and 50 known ones
+
+
+def test_placing_holds_no_large_matrix(spark, tmp_path):
+    rows = pd.DataFrame({"id": range(5000), "embedding": [np.ones(4, np.float32)] * 5000})
+    assert all(len(b) * 4096 <= vector_index.CELLS for b in vector_index._tiles([rows], 4096))
+    assert all(len(b) * 700 <= vector_index.ROWS for b in vector_index._tiles([rows], 700, 700))
+    assert sum(len(b) for b in vector_index._tiles([rows], 4096)) == 5000
+    # What a search sends to a task: each query once, its lists as bits.
+    index = vector_index.build_index(frame(spark, clustered(600)), f"file://{tmp_path}/index", lists=20)
+    asked = vector_index._asked(index, frame(spark, clustered(40), "query_id"), 20).collect()
+    assert len(asked) == 40 and all(len(r.lists) == 3 and np.unpackbits(np.frombuffer(r.lists, np.uint8)).sum() == len(index.centroids) for r in asked)
