@@ -181,9 +181,23 @@ def similar_vectors(vecs: DataFrame, least: float, planes: int = 12, tables: int
     return dealt.groupBy("t", "s", "i", "j").applyInPandas(compare, out).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def story_hits(new: DataFrame, known: DataFrame, least: float, rows: int = 4096) -> DataFrame:
+#: New and known vectors that are multiplied at once (4 MB).
+TILE = 512, 1024
+
+
+def resembled(q: np.ndarray, found: np.ndarray, x: np.ndarray, least: float) -> np.ndarray:
+    """``found``, with the rows of ``q`` marked that a row of ``x`` resembles; rows that were found before aren't compared again."""
+    for j in range(0, len(x), TILE[1]):
+        left = np.flatnonzero(~found)
+        for i in range(0, len(left), TILE[0]):
+            at = left[i : i + TILE[0]]
+            found[at] = (q[at] @ x[j : j + TILE[1]].T >= least).any(1)
+    return found
+
+
+def story_hits(new: DataFrame, known: DataFrame, least: float, rows: int = 16_384) -> DataFrame:
     """id: the new rows (id, embedding), stored ones, that a known row resembles. New rows are sent to every task in blocks of ``rows``, and a task
-    returns an id once; known rows aren't shuffled."""
+    returns an id once; known rows aren't shuffled, and similarities are made in tiles of fixed size."""
     unit = lambda v: v.where(vectors.norm(F.col("embedding")) > 0).select("id", vectors.normalise(F.col("embedding")).alias("v"))
     mine, theirs = unit(new), unit(known)
     blocks = max(1, -(-new.count() // rows))
@@ -198,7 +212,7 @@ def story_hits(new: DataFrame, known: DataFrame, least: float, rows: int = 4096)
             hit = np.zeros(len(ids), bool)
             for b in batches:
                 if len(ids) and len(b):
-                    hit |= (q @ np.stack(b.v.to_numpy()).T >= least).any(1)
+                    hit = resembled(q, hit, np.stack(b.v.to_numpy()), least)
             yield pd.DataFrame({"id": ids[hit]})
 
         now = theirs.mapInPandas(near, "id long")
@@ -228,7 +242,7 @@ def story_pairs(new: DataFrame, known: DataFrame, least: float, rows: int = 4096
     return dealt.groupBy("i", "j").applyInPandas(compare, "id long, known long")
 
 
-def without_stories(new: DataFrame, known: DataFrame, least: float, rows: int = 4096) -> DataFrame:
+def without_stories(new: DataFrame, known: DataFrame, least: float, rows: int = 16_384) -> DataFrame:
     """New rows (id, embedding) that no known row resembles."""
     return new.join(story_hits(new, known, least, rows), "id", "left_anti")
 

@@ -555,7 +555,8 @@ def fresh_stories(spark, d):
 
     rows = articles(spark, d, url=False, embedding=True).where("embedding is not null").select("id", "published_at", "embedding")
     new = stored(rows.where("id % 3 = 0").select("id", "embedding"), "new-stories")
-    return steps.without_stories(new, articles_run.recent(rows.where("id % 3 <> 0"), AS_OF).select("id", "embedding"), 0.35).select("id")
+    known = stored(articles_run.recent(rows.where("id % 3 <> 0"), AS_OF).select("id", "embedding"), "known-stories")  # read once for each block of new ones
+    return steps.without_stories(new, known, 0.35).select("id")
 
 
 def _main_sql(limit: int | None = None) -> str:

@@ -2,6 +2,7 @@
 
 import pathlib
 import re
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -143,3 +144,17 @@ def test_placing_holds_no_large_matrix(spark, tmp_path):
     index = vector_index.build_index(frame(spark, clustered(600)), f"file://{tmp_path}/index", lists=20)
     asked = vector_index._asked(index, frame(spark, clustered(40), "query_id"), 20).collect()
     assert len(asked) == 40 and all(len(r.lists) == 3 and np.unpackbits(np.frombuffer(r.lists, np.uint8)).sum() == len(index.centroids) for r in asked)
+
+
+def test_stories_are_compared_in_tiles():
+    r = np.random.default_rng(3)
+    q, x = r.normal(size=(4096, 16)), r.normal(size=(10_000, 16))
+    q, x = (v / np.linalg.norm(v, axis=1)[:, None] for v in (q, x))
+    want = np.array([(x @ v >= 0.8).any() for v in q])
+    tracemalloc.start()
+    got = steps.resembled(q, np.zeros(len(q), bool), x, 0.8)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == want).all() and 0 < want.sum() < len(q)
+    assert held < 32e6  # all similarities have 328 MB
+    assert steps.resembled(q, ~want, x, 0.8).all()
