@@ -12,10 +12,11 @@ successive words) count once for the words they share, so copies of an article a
 
 The tree is applied on top of what markup itself says (:mod:`page_tree`): menus, footers, asides, forms and what is named so go,
 and an article or main element, where there is one, is the main part. In such an element headings, paragraphs, list items and the
-like without a class of their own stay; elsewhere a branch with more than half of a page's text stays, and headings of the first order always.
+like without a class of their own stay; headings of the first order always do. A branch with more than half of a page's text goes only if all that it
+holds there, texts included, is below ``least`` too, and something else stays.
 
-Odd input: null or empty pages have an empty text; pages without a host form one site; repeated rows give their text each; elements
-nested deeper than ``FOLD`` are judged only with what holds them. No rows give no rows.
+Odd input: null or empty pages have an empty text; pages without a host form one site; repeated rows give their text each; elements are judged
+however deep they are nested. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import WordHashes, bitmap_of, drop_stored, in_bitmap, joined, pieces, small_batches, stored, windows
 from .page_tree import DIGITS, Page
 
-FOLD = 16
+#: A shape's number of depths less two, a power of two that no page's nesting reaches, since a string has fewer bytes.
+FOLD = (1 << 31) - 2
 #: Bits of the bitmaps, as a power of two (16 MB), whatever the number of sites.
 BITS = 27
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption caption".split())
@@ -65,7 +67,7 @@ class Placed:
         self.place, self.rows = {0: _h("site:" + host)}, {}
         self.rows[self.place[0]] = [0, shaped(1, 0, False), 1, {}]
         for i, n in enumerate(nodes):
-            if i not in self.place or n.level >= FOLD:
+            if i not in self.place:
                 continue
             own, runs, members = self.place[i], [], []
             for f in n.flow:
@@ -93,23 +95,37 @@ class Placed:
                         self.place[f] = child
 
     def judged(self) -> dict[int, list[int]]:
-        """id -> nodes that the tree may drop from this page."""
+        """id -> nodes that the tree may drop from this page, whatever their share of its text."""
         page, nodes = self.page, self.page.nodes
-        size, held = [0] * len(nodes), [False] * len(nodes)
+        self.size, held = [0] * len(nodes), [False] * len(nodes)
         for i, text in page.segments:
             if page.main[i] and not nodes[i].aside:
-                size[i] += len(text)
+                self.size[i] += len(text)
         for i in range(len(nodes) - 1, 0, -1):
             held[i] |= nodes[i].tag == "h1"
-            size[nodes[i].parent] += size[i]
+            self.size[nodes[i].parent] += self.size[i]
             held[nodes[i].parent] |= held[i]
         out: dict[int, list[int]] = {}
         for i, place in self.place.items():
             n = nodes[i]
-            if i and size[i] and not held[i] and 2 * size[i] <= size[0] and not (page.explicit and n.key == n.tag and n.tag in PLAIN):
+            if i and self.size[i] and not held[i] and not (page.explicit and n.key == n.tag and n.tag in PLAIN):
                 out.setdefault(place, []).append(i)
         return out
 
+    def dropped(self, low: set[int]) -> list[int]:
+        """Nodes to drop from this page, of which ``low`` are the places of low importance, texts' too."""
+        nodes = self.page.nodes
+        whole = [i not in self.place or self.place[i] in low for i in range(len(nodes))]  # all that it holds is low
+        texts = {row[0] for place, row in self.rows.items() if row[1] % 2 and place not in low}
+        for i in range(len(nodes) - 1, 0, -1):
+            if i in self.place:
+                whole[i] &= self.place[i] not in texts
+                whole[nodes[i].parent] &= whole[i]
+        found = [i for place, at in self.judged().items() if place in low for i in at]
+        small = [i for i in found if 2 * self.size[i] <= self.size[0]]
+        most = [i for i in found if 2 * self.size[i] > self.size[0] and whole[i]]
+        return small + most if most and self.page.blocks(small + most) else small
+
 
 def host_of(url: str | None) -> str:
     m = re.match(r"\s*(?:[A-Za-z][\w+.-]*:)?//([^/?#\\]*)", url or "")
@@ -177,65 +193,81 @@ def site_tree(pages: DataFrame) -> DataFrame:
     return stored(facts.where("m > 1"), "site-tree")
 
 
-def low_branches(tree: DataFrame, least: float, pages: int, decay: float = 0.9) -> DataFrame:
-    """(node) of the tree's branches whose composite importance is below ``least`` and that ``pages`` pages have.
+def importances(tree: DataFrame, decay: float = 0.9) -> DataFrame:
+    """Stored (node, m, text, lacks): what each node of the tree lacks of a composite importance of 1. Nodes that aren't in the tree lack nothing.
 
-    Summed from the deepest level up, in one plan of FOLD + 1 joins at most. Each node passes on what it lacks of importance 1, by its
-    share in its parent; nodes that aren't in the tree lack nothing."""
-    place = F.floor(F.col("shape") / 2)
+    Each node passes on what it lacks to its parent, by its share. In each round a node takes in what its descendants ``up`` to it have
+    summed, and looks twice as far up from then on, so rounds grow with the logarithm of the depth."""
     log_m = F.log("m")
     apart = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.log("times") - F.col("nlogn") / F.col("times")) / log_m))
-    nodes = tree.select(
-        "node", "parent", "m", "times", (place % (FOLD + 2)).cast("int").alias("depth"), (F.col("runs") / F.floor(place / (FOLD + 2))).alias("weight"),
-        (F.col("shape") % 2 == 1).alias("text"), F.pow(F.lit(decay), "styles").alias("g"), (1 - apart).alias("alike"), (F.col("logs") / F.col("styles") / log_m).alias("shared"),
-    )
-    levels = [r.depth for r in nodes.groupBy("depth").count().orderBy(F.desc("depth")).collect()]  # FOLD + 2 rows at most
-    below, low = None, None
-    for d in levels:
-        here = nodes.where(F.col("depth") == d)
-        here = here.join(below, "node", "left") if below is not None else here.withColumn("below", F.lit(0.0))
-        lacks = F.when(F.col("text"), F.col("shared")).otherwise((1 - F.col("g")) * F.col("alike") + F.col("g") * F.coalesce("below", F.lit(0.0)) / F.col("times"))
-        here = here.withColumn("lacks", lacks)
-        below = here.groupBy(F.col("parent").alias("node")).agg(F.sum(F.col("weight") * F.col("lacks")).alias("below"))
-        hit = here.where((F.col("lacks") > 1 - least) & (F.col("m") >= pages) & ~F.col("text")).select("node")
-        low = hit if low is None else low.unionByName(hit)
-    return low if low is not None else nodes.select("node")
+    g, text = F.pow(F.lit(decay), "styles"), F.col("shape") % 2 == 1
+    own = F.when(text, F.col("logs") / F.col("styles") / log_m).otherwise((1 - g) * (1 - apart))
+    width = F.floor(F.shiftright("shape", 1) / (FOLD + 2))
+    nodes = tree.select("node", F.col("parent").alias("up"), "m", text.alias("text"), own.alias("lacks"), (F.col("runs") / width).alias("share"))
+    holders = tree.select(F.col("node").alias("up"), F.col("node").alias("holder"), (g / F.col("times")).alias("given"))
+    at = joined(nodes, holders, "up", ["node"], "left").select("node", "m", "text", "lacks", F.col("holder").alias("up"), (F.col("share") * F.col("given")).alias("share"))
+    at = stored(at, "site-importance")
+    while not (rising := at.where("up is not null")).isEmpty():
+        taken = rising.groupBy(F.col("up").alias("node")).agg(F.sum(F.col("share") * F.col("lacks")).alias("taken"))
+        further = rising.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("share").alias("next_share"))
+        summed = at.join(taken, "node", "left").withColumn("lacks", F.col("lacks") + F.coalesce("taken", F.lit(0.0))).drop("taken")
+        rises = joined(summed, further, "up", ["node"], "left")
+        last, at = at, stored(rises.select("node", "m", "text", "lacks", F.col("next").alias("up"), (F.col("share") * F.col("next_share")).alias("share")), "site-importance")
+        drop_stored(last)
+    return at.select("node", "m", "text", "lacks")
+
+
+def low_nodes(tree: DataFrame, least: float, pages: int) -> DataFrame:
+    """Stored (node, text) of the tree's nodes, texts too, whose composite importance is below ``least`` and that ``pages`` pages have."""
+    found = importances(tree)
+    low = stored(found.where((F.col("lacks") > 1 - least) & (F.col("m") >= pages)).select("node", "text"), "site-low")
+    drop_stored(found)
+    return low
+
+
+def low_branches(tree: DataFrame, least: float, pages: int) -> DataFrame:
+    """(node) of the branches among :func:`low_nodes`."""
+    return low_nodes(tree, least, pages).where("not text").select("node")
 
 
 # --- extraction ----------------------------------------------------------------------------------
 
 
 def _dropped(pages: DataFrame, low: DataFrame) -> DataFrame:
-    """Stored (key, nodes): for pages that have low branches, their places among the page's nodes. ``low`` is stored."""
+    """Stored (key, nodes): for pages that have low branches, the places of theirs that are in ``low`` (node, text), which is stored."""
     bitmap = pages.sparkSession.sparkContext.broadcast(bitmap_of(low.select("node"), "node", BITS))
 
     def run(batches):
         bits = np.frombuffer(bitmap.value, np.uint8)
         for b in pieces(batches, 200):
-            keys, ids, places = [], [], []
+            keys, ids = [], []
             for key, url, source in zip(*(c.to_pylist() for c in b.columns)):
-                found = _placed(source, url).judged()
-                nodes = list(found)
-                for at in np.flatnonzero(in_bitmap(bits, BITS, np.array(nodes, np.int64).view(np.uint64))):
-                    keys.append(key)
-                    ids.append(nodes[at])
-                    places.append(found[nodes[at]])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ids, pa.int64()), pa.array(places, pa.list_(pa.int32()))], names=["key", "node", "places"])
-
-    hits = pages.select(F.col("page").alias("key"), "url", "html").mapInArrow(run, "key string, node long, places array<int>")
+                p = _placed(source, url)
+                may = lambda places: np.array(places, np.int64)[in_bitmap(bits, BITS, np.array(places, np.int64).view(np.uint64))]
+                if len(may(list(p.judged()))):
+                    found = may(list(p.rows)).tolist()
+                    keys += [key] * len(found)
+                    ids += found
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ids, pa.int64())], names=["key", "node"])
+
+    hits = pages.select(F.col("page").alias("key"), "url", "html").mapInArrow(run, "key string, node long")
     hits = stored(hits, "site-hits")
-    sure = joined(hits, low.distinct(), "node", ["key"]).dropDuplicates(["key", "node"])  # pages repeated as rows drop the same nodes
-    out = stored(sure.groupBy("key").agg(F.flatten(F.collect_list("places")).alias("nodes")), "site-dropped")
+    sure = joined(hits, low.select("node").distinct(), "node", ["key"]).dropDuplicates(["key", "node"])  # pages repeated as rows drop the same nodes
+    out = stored(sure.groupBy("key").agg(F.collect_list("node").alias("nodes")), "site-dropped")
     drop_stored(hits)
     return out
 
 
 def _texts(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns with ``text``, from html and the nodes to drop."""
+    """``keep`` columns with ``text``, from html, url and the page's places of low importance."""
+
+    def text_of(source, url, low):
+        page = Page(source)
+        return "\n".join(page.blocks(Placed(page, host_of(url)).dropped(set(low)) if low else ()))
 
     def run(batches):
         for b in pieces(batches, 200):
-            out = ["\n".join(Page(h).blocks(d or ())) for h, d in zip(b.column("html").to_pylist(), b.column("dropped").to_pylist())]
+            out = [text_of(*x) for x in zip(*(b.column(c).to_pylist() for c in ("html", "url", "low")))]
             yield b.select(keep).append_column("text", pa.array(out, pa.string()))
 
     schema = rows.select(*keep).withColumn("text", F.lit("")).schema
@@ -248,19 +280,19 @@ def main_texts(df: DataFrame, html_col: str, url_col: str, keep: list[str], leas
     Pages whose tree drops nothing are read in place; only those with a branch to drop are joined with their lists, which needs a shuffle of their html.
     """
     tree = site_tree(_pages(df, html_col, url_col))
-    low = stored(low_branches(tree, least, pages), "site-low")
+    low = low_nodes(tree, least, pages)
     drop_stored(tree)
     html_of = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
     names = [f"k{i}" for i in range(len(keep))]
     rows = small_batches(df, 200).select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], html_of.alias("html"), F.col(f"`{url_col}`").alias("url"))
     back = lambda t: t.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "text")
-    none = F.lit(None).cast("array<int>").alias("dropped")
-    if not low.limit(1).count():
+    none = F.lit(None).cast("array<long>").alias("low")
+    if low.where("not text").isEmpty():
         drop_stored(low)
-        return back(_texts(rows.select(*names, "html", none), names))
+        return back(_texts(rows.select(*names, "html", "url", none), names))
     lists = _dropped(_pages(df, html_col, url_col), low)
     drop_stored(low)
-    rows = rows.withColumn("key", _page_key(F.col("url"), F.col("html"))).drop("url")
+    rows = rows.withColumn("key", _page_key(F.col("url"), F.col("html")))
     bitmap = rows.sparkSession.sparkContext.broadcast(bitmap_of(lists.select(F.xxhash64("key").alias("h")), "h", BITS))
     marked = rows.select("*", F.xxhash64("key").alias("h"))
 
@@ -273,8 +305,8 @@ def main_texts(df: DataFrame, html_col: str, url_col: str, keep: list[str], leas
 
         return marked.mapInArrow(run, rows.schema)
 
-    listed = joined(pick(True), lists.withColumnRenamed("nodes", "dropped"), "key", names, "left")
-    return back(_texts(pick(False).select(*names, "html", none).unionByName(listed.select(*names, "html", "dropped")), names))
+    listed = joined(pick(True), lists.withColumnRenamed("nodes", "low"), "key", names, "left")
+    return back(_texts(pick(False).select(*names, "html", "url", none).unionByName(listed.select(*names, "html", "url", "low")), names))
 
 
 def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -265,6 +265,27 @@ def test_copies_of_an_article_are_no_frame(spark):
     assert all("at length" in t for _, _, t in main_of(spark, near))
 
 
+@pytest.mark.parametrize("levels", [20, 300])
+def test_deep_frames_are_dropped(spark, levels):
+    rows = [(i, u, h.replace("<body>", "<body>" + "<div>" * levels).replace("</body>", "</div>" * levels + "</body>")) for i, u, h in site(6, "a.example")]
+    plain = {i: t for i, _, t in main_of(spark, site(6, "a.example"))}
+    got = main_of(spark, rows)
+    assert {i: t for i, _, t in got} == plain and all("Our fine" not in t and "at length" in t for t in plain.values())
+
+
+def test_a_frame_with_most_of_the_text_is_dropped(spark):
+    word = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    long = "We take great care of what you send us and keep it for a year. " * 5
+    page = "<body><div class=a><p>{w} is short</p></div><div class=z>{long}<p>Ask us</p>{more}</div></body>"
+    rows = [(i, f"http://h.example/{i}", page.format(w=word(i), long=long, more="")) for i in range(6)]
+    assert {i: t for i, _, t in main_of(spark, rows)} == {i: f"{word(i)} is short" for i in range(6)}
+    # What holds a page's own words stays, and so does a page of which nothing else would be left.
+    rows = [(i, u, page.format(w=word(i), long=long, more=f"<p>{word(-i)}</p>")) for i, u, _ in rows]
+    assert all(word(i) in t and word(-i) in t for i, _, t in main_of(spark, rows))
+    rows = [(i, f"http://h.example/{i}", f"<body><div>{long}</div><script>{i}</script></body>") for i in range(6)]
+    assert all(t == long.strip() for _, _, t in main_of(spark, rows))
+
+
 def importance_brute(pages):
     """node -> (pages, composite importance), straight from the definition, for pages whose sketches all differ."""
     held = collections.defaultdict(list)
