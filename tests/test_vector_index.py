@@ -158,3 +158,16 @@ def test_stories_are_compared_in_tiles():
     assert (got == want).all() and 0 < want.sum() < len(q)
     assert held < 32e6  # all similarities have 328 MB
     assert steps.resembled(q, ~want, x, 0.8).all()
+
+
+def test_recall_ranks_only_lists_with_neighbours(spark, tmp_path, monkeypatch):
+    data = clustered(600) + [(5000, [0.0] * 16)]
+    index = vector_index.build_index(frame(spark, data), f"file://{tmp_path}/index", lists=12)
+    queries = frame(spark, clustered(600)[::30], "query_id")
+    exact = feed.search_batch(frame(spark, data), queries, 10)
+    of = {r.id: r.list for r in index.vectors.select("id", "list").collect()}
+    turn = {(r.query_id, r.list): r["rank"] + 1 for r in vector_index._listed(index, queries, "query_id", 12).collect()}
+    at = sorted(turn[r.query_id, of[r.id]] for r in exact.collect())
+    monkeypatch.setattr(vector_index, "_listed", None)  # no row for each query and list
+    got = {r.probes: r.recall for r in vector_index.recall_by_probes(index, queries, exact).collect()}
+    assert got == {p: pytest.approx(sum(a <= p for a in at) / len(at)) for p in set(at)}
