@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from .feed import QUERIES, Nearest, _matrix
 
-#: Vectors that the centroids are learnt from, lists at most, and vectors written by one task.
-SAMPLE, LISTS, SHARD = 65_536, 4096, 100_000
+#: Vectors that the centroids are learnt from, of these in one task, lists at most, and vectors written by one task.
+SAMPLE, LEARNT, LISTS, SHARD = 65_536, 4096, 4096, 100_000
 
 
 class Index:
@@ -74,7 +74,10 @@ def build_index(rows: DataFrame, path: str, lists: int | None = None, sample: in
     lists = min(LISTS, lists or max(1, math.isqrt(n)))
     unit = whole.where(vectors.norm(F.col("embedding")) > 0)
     drawn = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < math.ceil(min(1.0, 1.2 * sample / max(1, n)) * (1 << 20))
-    learnt = unit.where(drawn).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select(array_to_vector(vectors.normalise(F.col("embedding"))).alias("features"))
+    taken = unit.where(drawn).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample)
+    # The limit leaves one partition, in which every round of k-means would be one task.
+    dealt = taken.repartition(-(-min(n, sample) // LEARNT), "id") if min(n, sample) > LEARNT else taken
+    learnt = dealt.select(array_to_vector(vectors.normalise(F.col("embedding"))).alias("features"))
     if lists == 1 or learnt.limit(2).count() < 2:  # nothing to divide
         first = unit.orderBy(F.xxhash64("id"), "id").select(vectors.normalise(F.col("embedding")).alias("v")).first()
         centres = [first.v if first else [1.0]]

@@ -171,3 +171,21 @@ def test_recall_ranks_only_lists_with_neighbours(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(vector_index, "_listed", None)  # no row for each query and list
     got = {r.probes: r.recall for r in vector_index.recall_by_probes(index, queries, exact).collect()}
     assert got == {p: pytest.approx(sum(a <= p for a in at) / len(at)) for p in set(at)}
+
+
+def test_centroids_are_learnt_by_several_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    seen, fit = [], KMeans.fit
+
+    def watched(self, rows):
+        seen.append(rows.rdd.glom().map(len).collect())
+        return fit(self, rows)
+
+    monkeypatch.setattr(KMeans, "fit", watched)
+    monkeypatch.setattr(vector_index, "LEARNT", 100, raising=False)
+    index = vector_index.build_index(frame(spark, clustered(1200)), f"file://{tmp_path}/index", lists=12)
+    assert len(seen[0]) == 12 and sum(seen[0]) == 1200 and max(seen[0]) < 200
+    assert index.vectors.count() == 1200
+    vector_index.build_index(frame(spark, clustered(1200)), f"file://{tmp_path}/sampled", lists=12, sample=300)
+    assert len(seen[1]) == 3 and sum(seen[1]) == 300
